@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tranchery.llm import decontaminate, language_id, license_scan, line_dedup, secret_scan, token_cache, weak_quality
+from tranchery.llm import decontaminate, jaccard_join, language_id, lattice_score, license_scan, line_dedup, secret_scan, segment_sampling, token_cache, weak_quality
 from tranchery.llm.shared import fresh_path, table
 
 
+SUBWORD_MODEL = "piece_bpe_32k.model"
+
+
+def op1_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_sampling.sample_segmentations(table(spark, sf_dir, "documents"), token_cache.tokenizer_path(SUBWORD_MODEL), k=3, ids=False)
+
+
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", language_id.fold("doc_id", 10) == 0)
+    return lattice_score.score(docs, ~F.col("held_out"), token_cache.tokenizer_path(SUBWORD_MODEL), keep=["doc_id", "held_out"])
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_exact", "n_near", F.char_length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
@@ -50,5 +66,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(found)
 
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op5_token_counts, op6_language_id, op7_license_scan, op8_quality_rules, op9_secret_scan, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_segmentations, op2_jaccard_join, op3_lm_scores, op4_line_dedup, op5_token_counts, op6_language_id, op7_license_scan, op8_quality_rules, op9_secret_scan, op10_decontamination)}
 SQL: dict[str, str] = {}

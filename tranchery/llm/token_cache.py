@@ -11,10 +11,8 @@ an empty result and leaves the cache as it is; columns other than the id and the
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import os
-import re
 from functools import lru_cache
 
 import pyarrow as pa
@@ -38,42 +36,23 @@ def tokenizer_version(name: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-#: Texts of these characters only: letters, digits and spaces among them are classed alike by both libraries
-_PLAIN = re.compile("[\\x00-\u024f\u2010-\u2027\u2030-\u205e]*")
-
-
 @lru_cache(maxsize=2)
 def _counter(name: str):
-    """A function from texts to token counts, without begin, end or added special tokens, as the file's library counts.
-
-    A .json file belongs to ``tokenizers``.  Where its vocabulary is also there as .tiktoken ranks, texts of plain
-    characters go to ``tiktoken``, which gives the same tokens in a fifth of the time (tests hold both together);
-    all other texts go to ``tokenizers`` itself.
-    """
+    """A function from texts to token counts, without begin, end or added special tokens: .json files belong to
+    ``tokenizers`` (special strings in a text as its default has them), .model files to ``sentencepiece``."""
     path = tokenizer_path(name)
     if name.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
     model.no_truncation()
     model.no_padding()
-    library = lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
-    ranks = path.removesuffix(".json") + ".tiktoken"
-    if not os.path.exists(ranks):
-        return library
-    import public_tokenizers
-    import tiktoken
-
-    with open(ranks, "rb") as f:
-        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    special = {x.content: i for i, x in model.get_added_tokens_decoder().items() if x.special}
-    fast = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens=special)
-    return lambda texts: [len(fast.encode(x, allowed_special="all")) if _PLAIN.fullmatch(x) else library([x])[0] for x in texts]
+    return lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def encode_counts(texts: DataFrame, tokenizer: str) -> DataFrame:
