@@ -5,10 +5,11 @@ Lines are the ``\n``-separated parts of a text, compared without the white space
 then line number), or when a line within ``tau`` edits of it has its first place earlier.
 
 1. Equal lines meet by a 128-bit hash; each distinct line keeps its first place.
-2. Each distinct line is cut into ``tau + 1`` segments of even length.  At most ``tau`` edits leave one segment
+2. Each line is cut into ``tau + 1`` segments of even length.  At most ``tau`` edits leave one segment
    whole, so every partner at most as long as a line has a segment that occurs in the line near its own place:
    the line probes, for each partner length within ``tau``, the substrings whose start agrees with the edits that
-   the left and the right side can hold.  Index and probes meet by (length, segment number, substring) hashes.
+   the left and the right side can hold.  Index and probes are
+   made distinct (equal lines give equal rows) and meet by (length, segment number, substring) hashes.
 3. Pairs that also pass a bound on letter counts are verified by a bit-parallel edit distance over the diagonals of
    the band: bit d of a state word stands for diagonal d - tau, and one word per error count advances all of them.
 4. Removed places go back to their documents, whose remaining lines are joined again.
@@ -30,39 +31,31 @@ MIN_CHARS = 20
 _SPACE = " \t\n\x0b\f\r"
 
 
-def _segment(k: int, length: Column, tau: int) -> tuple[Column, Column]:
-    """0-based start and length of segment k of a line of that many characters; the last segments take the rest."""
-    parts = tau + 1
-    base = F.floor(length / parts).cast("int")
-    longer = (length - base * parts).cast("int")  # so many last segments are one longer
-    short = F.lit(parts) - longer
-    start = base * k + F.greatest(F.lit(0), F.lit(k) - short)
-    return start, base + F.when(F.lit(k) >= short, 1).otherwise(0)
+def index_parts(tau: int) -> Column:
+    """What a line puts into the index: (gap 0, segment, shift 0)."""
+    return F.array(*[_part(0, k, 0) for k in range(tau + 1)])
 
 
-def _key(length: Column, k: int, piece: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(k), piece)
+def probe_parts(tau: int) -> Column:
+    """What a line looks up: for each partner length (its own less ``gap``) and segment, the shifts that the edits
+    before the segment (at most its number) and behind it (at most tau less its number) allow."""
+    return F.array(*[_part(gap, k, shift) for gap in range(tau + 1) for k in range(tau + 1) for shift in range(max(-k, gap - (tau - k)), min(k, gap + (tau - k)) + 1)])
 
 
-def index_keys(line: Column, length: Column, tau: int) -> Column:
-    keys = []
-    for k in range(tau + 1):
-        start, size = _segment(k, length, tau)
-        keys.append(_key(length, k, F.substring(line, start + 1, size)))
-    return F.array(*keys)
+def _part(gap: int, k: int, shift: int) -> Column:
+    return F.struct(F.lit(gap).alias("gap"), F.lit(k).alias("k"), F.lit(shift).alias("shift"))
 
 
-def probe_keys(line: Column, length: Column, tau: int) -> Column:
-    """Keys of all substrings that a partner of length ``length - gap`` may share; null where a start is out of range."""
-    keys = []
-    for gap in range(tau + 1):
-        partner = length - gap
-        for k in range(tau + 1):
-            start, size = _segment(k, partner, tau)
-            for shift in range(max(-k, gap - (tau - k)), min(k, gap + (tau - k)) + 1):
-                at = start + shift
-                keys.append(F.when((at >= 0) & (at + size <= length), _key(partner, k, F.substring(line, at + 1, size))))
-    return F.array_compact(F.array_distinct(F.array(*keys)))
+def keyed(lines: DataFrame, parts: Column, tau: int) -> DataFrame:
+    """(key, h1, h2), distinct, for the lines (line, h1, h2): hashes of (length, segment, substring)."""
+    each = lines.select("h1", "h2", "line", F.char_length("line").alias("n"), F.explode(parts).alias("p")).select("h1", "h2", "line", "n", "p.*")
+    sized = each.withColumn("of", F.col("n") - F.col("gap"))
+    base = F.expr(f"of div {tau + 1}").cast("int")
+    short = F.lit(tau + 1) - (F.col("of") - F.col("base") * (tau + 1))  # so many first segments are one shorter
+    placed = sized.withColumn("base", base).withColumn("short", short)
+    placed = placed.withColumn("at", F.col("base") * F.col("k") + F.greatest(F.lit(0), F.col("k") - F.col("short")) + F.col("shift")).withColumn("size", F.col("base") + F.when(F.col("k") >= F.col("short"), 1).otherwise(0))
+    inside = placed.where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n")))
+    return inside.select(F.xxhash64("of", "k", F.substring("line", F.col("at") + 1, F.col("size"))).alias("key"), "h1", "h2").distinct()
 
 
 def within(a: Column, b: Column, tau: int) -> Column:
@@ -122,19 +115,27 @@ def close_counts(a: Column, b: Column, tau: int) -> Column:
     return apart <= 2 * tau
 
 
-def near_lines(distinct: DataFrame, tau: int) -> DataFrame:
+def lines_of(docs: DataFrame, row: str, text: str, min_chars: int) -> DataFrame:
+    """(row, place, line, h1, h2) of the lines that take part; h1 and h2 are the halves of a line's 128-bit hash."""
+    at = docs.select(F.col(row).alias("row"), F.posexplode(F.split(F.col(text), "\n")).alias("place", "raw"))
+    lines = at.select("row", "place", F.btrim("raw", F.lit(_SPACE)).alias("line")).where(F.char_length("line") >= min_chars)
+    return lines.select("row", "place", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+
+
+def near_lines(lines: DataFrame, first: DataFrame, tau: int) -> DataFrame:
     """Ids (h1, h2) of the distinct lines that have a line within ``tau`` edits and an earlier first place.
 
-    ``distinct``: h1, h2, line, at (a sortable first place)."""
-    sized = distinct.select("h1", "h2", "line", F.char_length("line").alias("n"))
-    index = sized.select("h1", "h2", F.explode(index_keys(F.col("line"), F.col("n"), tau)).alias("key"))
-    probe = sized.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.explode(probe_keys(F.col("line"), F.col("n"), tau)).alias("key"))
-    met = probe.join(index.hint("shuffle_hash"), "key").where("h1 != p1 or h2 != p2")
+    ``lines``: h1, h2, line; ``first``: h1, h2, at (the first place, which sorts).  Text is shuffled for candidates only."""
+    spark = lines.sparkSession
+    index, probe = keyed(lines, index_parts(tau), tau), keyed(lines, probe_parts(tau), tau)
+    met = probe.withColumnsRenamed({"h1": "p1", "h2": "p2"}).join(index.hint("shuffle_hash"), "key").where("h1 != p1 or h2 != p2")
     one, two = F.struct("h1", "h2"), F.struct(F.col("p1").alias("h1"), F.col("p2").alias("h2"))
     pairs = staged(met.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct(), "line-pairs")
-    release(distinct.sparkSession)
+    release(spark)
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct().select("id.h1", "id.h2")
-    text = staged(distinct.join(wanted, ["h1", "h2"], "left_semi").select(F.struct("h1", "h2").alias("id"), "line", "at"), "line-texts")
+    text = lines.join(wanted, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line")).join(first, ["h1", "h2"])
+    text = staged(text.select(F.struct("h1", "h2").alias("id"), "line", "at"), "line-texts")
+    release(spark)
     x = text.select(F.col("id").alias("x"), F.col("line").alias("a"), F.col("at").alias("at_x"))
     y = text.select(F.col("id").alias("y"), F.col("line").alias("b"), F.col("at").alias("at_y"))
     both = pairs.join(x, "x").join(y, "y").where(close_counts(F.col("a"), F.col("b"), tau))
@@ -144,16 +145,14 @@ def near_lines(distinct: DataFrame, tau: int) -> DataFrame:
 
 def removed_lines(docs: DataFrame, row: str, text: str, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """Per row of ``docs`` with removed lines: row, exact and near (arrays of 0-based line numbers).  ``row`` sorts: the least is the earliest."""
-    lines = docs.select(F.col(row).alias("row"), F.posexplode(F.split(F.col(text), "\n")).alias("place", "raw"))
-    lines = lines.select("row", "place", F.btrim("raw", F.lit(_SPACE)).alias("line")).where(F.char_length("line") >= min_chars)
-    hashed = lines.select("row", "place", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    distinct = staged(hashed.groupBy("h1", "h2").agg(F.min(F.struct("row", "place")).alias("at"), F.first("line").alias("line")), "lines")
-    release(docs.sparkSession)
-    near = near_lines(distinct, tau).withColumn("near", F.lit(True))
-    first = distinct.select("h1", "h2", "at").join(near, ["h1", "h2"], "left")
+    lines = lines_of(docs, row, text, min_chars)
+    places = staged(lines.select("h1", "h2", F.struct("row", "place").alias("here")), "line-places")
+    first = staged(places.groupBy("h1", "h2").agg(F.min("here").alias("at")), "line-firsts")
+    near = near_lines(lines.select("h1", "h2", "line"), first, tau).withColumn("near", F.lit(True))
+    known = first.join(near, ["h1", "h2"], "left")
     # of a line that stays, the first place stays; of a near line no place does
-    gone = hashed.select("h1", "h2", F.struct("row", "place").alias("here")).join(first, ["h1", "h2"])
-    gone = gone.where("near or here != at").select(F.col("here.row").alias(row), F.col("here.place").alias("place"), F.coalesce("near", F.lit(False)).alias("near"))
+    gone = places.join(known, ["h1", "h2"]).where("near or here != at")
+    gone = gone.select(F.col("here.row").alias(row), F.col("here.place").alias("place"), F.coalesce("near", F.lit(False)).alias("near"))
     return gone.groupBy(row).agg(F.collect_list(F.when(~F.col("near"), F.col("place"))).alias("exact"), F.collect_list(F.when(F.col("near"), F.col("place"))).alias("near"))
 
 
