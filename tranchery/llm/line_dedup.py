@@ -28,6 +28,8 @@ from tranchery.llm.shared import release, staged
 
 TAU = 2
 MIN_CHARS = 20
+#: Lines that are probed once instead of at every place, and ids that are broadcast: both bounds are fixed
+FREQUENT, FEW = 10_000, 500_000
 _SPACE = " \t\n\x0b\f\r"
 
 
@@ -47,7 +49,7 @@ def _part(gap: int, k: int, shift: int) -> Column:
 
 
 def keyed(lines: DataFrame, parts: Column, tau: int) -> DataFrame:
-    """(key, h1, h2), distinct, for the lines (line, h1, h2): hashes of (length, segment, substring)."""
+    """(key, h1, h2), distinct and dealt by key, for the lines (line, h1, h2): hashes of (length, segment, substring)."""
     each = lines.select("h1", "h2", "line", F.char_length("line").alias("n"), F.explode(parts).alias("p")).select("h1", "h2", "line", "n", "p.*")
     sized = each.withColumn("of", F.col("n") - F.col("gap"))
     base = F.expr(f"of div {tau + 1}").cast("int")
@@ -55,7 +57,8 @@ def keyed(lines: DataFrame, parts: Column, tau: int) -> DataFrame:
     placed = sized.withColumn("base", base).withColumn("short", short)
     placed = placed.withColumn("at", F.col("base") * F.col("k") + F.greatest(F.lit(0), F.col("k") - F.col("short")) + F.col("shift")).withColumn("size", F.col("base") + F.when(F.col("k") >= F.col("short"), 1).otherwise(0))
     inside = placed.where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n")))
-    return inside.select(F.xxhash64("of", "k", F.substring("line", F.col("at") + 1, F.col("size"))).alias("key"), "h1", "h2").distinct()
+    rows = inside.select(F.xxhash64("of", "k", F.substring("line", F.col("at") + 1, F.col("size"))).alias("key"), "h1", "h2")
+    return rows.repartition("key").distinct()  # one exchange serves both the distinct rows and the join
 
 
 def within(a: Column, b: Column, tau: int) -> Column:
@@ -122,18 +125,32 @@ def lines_of(docs: DataFrame, row: str, text: str, min_chars: int) -> DataFrame:
     return lines.select("row", "place", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
+def once_if_frequent(lines: DataFrame, first: DataFrame) -> DataFrame:
+    """``lines`` with each of the most frequent ones (at most ``FREQUENT``, a broadcast of fixed size) once instead of
+    at all its places, so that a line in a third of all rows makes no hot keys."""
+    often = F.broadcast(first.where("n >= 50").orderBy(F.desc("n"), "h1", "h2").limit(FREQUENT).select("h1", "h2"))
+    return lines.join(often, ["h1", "h2"], "left_anti").unionByName(lines.join(often, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line")))
+
+
+def only(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The lines with a wanted id: by a broadcast of the ids up to ``FEW`` of them, beyond that by a shuffle."""
+    few = wanted.limit(FEW + 1).count() <= FEW
+    return lines.join(F.broadcast(wanted) if few else wanted, ["h1", "h2"], "left_semi")
+
+
 def near_lines(lines: DataFrame, first: DataFrame, tau: int) -> DataFrame:
     """Ids (h1, h2) of the distinct lines that have a line within ``tau`` edits and an earlier first place.
 
-    ``lines``: h1, h2, line; ``first``: h1, h2, at (the first place, which sorts).  Text is shuffled for candidates only."""
+    ``lines``: h1, h2, line; ``first``: h1, h2, at (the first place, which sorts), n.  Text is shuffled for candidates only."""
     spark = lines.sparkSession
-    index, probe = keyed(lines, index_parts(tau), tau), keyed(lines, probe_parts(tau), tau)
+    each = once_if_frequent(lines, first)
+    index, probe = keyed(each, index_parts(tau), tau), keyed(each, probe_parts(tau), tau)
     met = probe.withColumnsRenamed({"h1": "p1", "h2": "p2"}).join(index.hint("shuffle_hash"), "key").where("h1 != p1 or h2 != p2")
     one, two = F.struct("h1", "h2"), F.struct(F.col("p1").alias("h1"), F.col("p2").alias("h2"))
     pairs = staged(met.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct(), "line-pairs")
     release(spark)
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct().select("id.h1", "id.h2")
-    text = lines.join(wanted, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line")).join(first, ["h1", "h2"])
+    wanted = staged(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct().select("id.h1", "id.h2"), "line-wanted")
+    text = only(lines, wanted).groupBy("h1", "h2").agg(F.first("line").alias("line")).join(first, ["h1", "h2"])
     text = staged(text.select(F.struct("h1", "h2").alias("id"), "line", "at"), "line-texts")
     release(spark)
     x = text.select(F.col("id").alias("x"), F.col("line").alias("a"), F.col("at").alias("at_x"))
@@ -147,9 +164,9 @@ def removed_lines(docs: DataFrame, row: str, text: str, tau: int = TAU, min_char
     """Per row of ``docs`` with removed lines: row, exact and near (arrays of 0-based line numbers).  ``row`` sorts: the least is the earliest."""
     lines = lines_of(docs, row, text, min_chars)
     places = staged(lines.select("h1", "h2", F.struct("row", "place").alias("here")), "line-places")
-    first = staged(places.groupBy("h1", "h2").agg(F.min("here").alias("at")), "line-firsts")
+    first = staged(places.groupBy("h1", "h2").agg(F.min("here").alias("at"), F.count("*").alias("n")), "line-firsts")
     near = near_lines(lines.select("h1", "h2", "line"), first, tau).withColumn("near", F.lit(True))
-    known = first.join(near, ["h1", "h2"], "left")
+    known = first.drop("n").join(near, ["h1", "h2"], "left")
     # of a line that stays, the first place stays; of a near line no place does
     gone = places.join(known, ["h1", "h2"]).where("near or here != at")
     gone = gone.select(F.col("here.row").alias(row), F.col("here.place").alias("place"), F.coalesce("near", F.lit(False)).alias("near"))
