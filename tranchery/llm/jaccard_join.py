@@ -8,15 +8,17 @@ their sets reaches ``threshold`` percent).  Equal sets are one set from the star
    binary blocks by token range; a block group, whose size is bounded by the number of ranges, returns the postings of
    tokens that at least two sets have.  Tokens of one set alone can be shared with nobody.
 2. *Prefixes under several global orders.*  Under any one order of all tokens, two sets that link share a token among
-   the first |x| - ceil(t |x|) + 1 of each.  Order k sorts by document frequency and then by hash k: rare tokens come
-   first, tokens of one set alone fill the prefix without being emitted, and passages that many documents share come
-   last.  Most sets have no shared token in their prefix and are done here.
-3. *Groups of near copies* have long posting lists.  Instead of all pairs of a list, each list names a few pivots; a
-   member and its pivots, if also sharing a prefix token under every other order, are verified and linked, so a group
-   of near copies becomes one component in a number of pairs linear in its size.
-4. *The rest, exactly.*  Pairs in one list but not yet in one component are candidates when they share prefix
-   tokens under all orders and their sizes allow the overlap; of a pair's common tokens only the first under order 0
-   yields it.  Verification counts the common tokens.
+   the first |x| - ceil(t |x|) + 1 of each.  In every order the tokens of one set alone come first; they fill the
+   prefix without being emitted, and most sets have no shared token left in it and are done here.  Order 0 goes on by
+   document frequency (passages that many documents share come last), order k by hash k.
+3. *Groups of near copies* have long posting lists.  Instead of all pairs of a list, each list names its centre, the
+   member with the least share of tokens of its own, and each set takes the best centre of its lists as its hub.  The
+   pair of a set and its hub, one per set, is checked: it links them, and it gives the set's common tokens with the hub
+   as a bit map.
+4. *The rest, exactly.*  Pairs in one list of order 0 but not yet in one component are candidates when their sizes
+   allow the overlap and, for sets of one hub, when their bit maps do: common tokens inside the hub are the common
+   bits, those outside are at most the shared tokens that either has outside.  Candidates must then share prefix tokens
+   under the other orders as well before verification counts the common tokens.
 
 Defined cases: null or wordless texts have no tokens and link with nothing; a text of fewer words than a shingle is
 one token, its whole sequence; repeated ids: each row is reported, with the least id of its component; null ids are
@@ -35,7 +37,6 @@ from tranchery.llm.shared import release, staged
 from tranchery.llm.text import Words, mix, pieces_of, shingles
 
 ORDERS = 3
-PIVOTS = 3
 #: Postings in one block group, on average, and in one slice of the token space
 BLOCK = 1_000_000
 SLICE = 40_000_000
@@ -128,8 +129,8 @@ def _hash(k: int, token: np.ndarray) -> np.ndarray:
 
 
 def prefixes(postings: DataFrame, sizes: DataFrame, threshold: int, orders: int) -> DataFrame:
-    """(sid, n, tokens, heads): for each set with a shared token in each of its prefixes, all its shared tokens
-    (sorted) and, per order, the shared tokens of the prefix in that order."""
+    """(sid, n, shared, tokens, head, heads): for each set with a shared token in its prefixes, the number of its shared
+    tokens, these (sorted), and the shared tokens of the prefix in order 0 and in each other order."""
 
     def gather(group: pa.Table) -> pa.Table:
         join = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind)
@@ -148,61 +149,91 @@ def prefixes(postings: DataFrame, sizes: DataFrame, threshold: int, orders: int)
                 token, df = np.frombuffer(t, np.uint64), np.frombuffer(c, np.uint32)
                 room = prefix_length(n, threshold) - (n - len(token))  # tokens of this set alone come first
                 if room > 0:
-                    out.append((sid, n, t, [token[np.lexsort((_hash(k, token), df))[:room]].view(np.int64).tolist() for k in range(orders)]))
-            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.list_(pa.list_(pa.int64())))], ["sid", "n", "tokens", "heads"])
+                    first = token[np.lexsort((_hash(0, token), df))[:room]].view(np.int64).tolist()
+                    out.append((sid, n, len(token), t, first, [token[np.argsort(_hash(k, token), kind="stable")[:room]].tobytes() for k in range(1, orders)]))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["sid", "n", "shared", "tokens", "head", "heads"])
 
     grouped = postings.groupBy("part").applyInArrow(gather, "sid long, tokens binary, counts binary")
-    return grouped.join(sizes, "sid").select("sid", "n", "tokens", "counts").mapInArrow(heads, "sid long, n long, tokens binary, heads array<array<bigint>>")
+    return grouped.join(sizes, "sid").select("sid", "n", "tokens", "counts").mapInArrow(heads, "sid long, n long, shared long, tokens binary, head array<bigint>, heads array<binary>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: int, orders: int) -> DataFrame:
-    """The pairs (x, y) that share a prefix token under every order and reach the threshold."""
+def _u64(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.uint64)
 
-    def run(batches):
-        for batch in batches:
-            x, y = [], []
-            for a, b, na, nb, ta, tb, ha, hb in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "nx", "ny", "tx", "ty", "hx", "hy")), strict=True):
-                if any(set(ha[k]).isdisjoint(hb[k]) for k in range(orders)):
-                    continue
-                both = np.intersect1d(np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64), assume_unique=True).size
-                if 100 * both >= threshold * (na + nb - both):
-                    x.append(a)
-                    y.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
 
-    side = lambda v: sets.select(F.col("sid").alias(v), F.col("n").alias(f"n{v}"), F.col("tokens").alias(f"t{v}"), F.col("heads").alias(f"h{v}"))
-    return pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(run, "x long, y long")
+def _sides(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    for v in ("x", "y"):
+        pairs = pairs.join(sets.select(F.col("sid").alias(v), *[F.col(c).alias(f"{c}_{v}") for c in columns]), v)
+    return pairs
+
 
+def hubs(sets: DataFrame) -> DataFrame:
+    """(x, y): each set and its hub, the best centre of its posting lists (least share of own tokens, then hash)."""
+    rank = F.struct((1 - F.col("shared") / F.col("n")).alias("own"), F.xxhash64("sid").alias("h"), "sid")
+    lists = sets.select("sid", rank.alias("r"), F.explode("head").alias("token"))
+    # aggregates only: no list is ever gathered
+    centres = lists.groupBy("token").agg(F.min("r").alias("r"), F.count("*").alias("members")).where("members > 1").select("token", "r")
+    return lists.select("sid", "token").join(centres, "token").groupBy("sid").agg(F.min("r").alias("r")).select(F.col("sid").alias("x"), F.col("r.sid").alias("y"))
 
-def candidates_by_pivot(sets: DataFrame, threshold: int, pivots: int) -> DataFrame:
-    """(x, y): each member of a posting list with the list's pivots, the members of least hash."""
-    lists = sets.select("sid", "n", F.explode(F.get("heads", F.lit(0))).alias("token"))
-    hubs = lists.groupBy("token").agg(*[F.min_by(F.struct("sid", "n"), F.xxhash64(F.lit(r), "sid")).alias(f"p{r}") for r in range(pivots)], F.min("sid").alias("lo"), F.max("sid").alias("hi"))
-    hubs = hubs.where("lo != hi").select("token", F.array_distinct(F.array(*[f"p{r}" for r in range(pivots)])).alias("p"))
-    met = lists.join(hubs, "token").select("sid", "n", F.explode("p").alias("p")).where("sid != p.sid")
-    fits = 100 * F.least("n", "p.n") >= threshold * F.greatest("n", "p.n")
-    return met.where(fits).select(F.least("sid", "p.sid").alias("x"), F.greatest("sid", "p.sid").alias("y")).distinct()
 
+def compared(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(x, y, linked, outside, bits): a set and its hub; the set's shared tokens outside the hub, and a bit map (64 per
+    word) of the hub's tokens that the set has."""
 
-def candidates_left(sets: DataFrame, labels: DataFrame, threshold: int, orders: int) -> DataFrame:
-    """(x, y): all pairs of different components that share a prefix token under every order."""
-    labelled = staged(sets.join(labels, sets["sid"] == labels["v"], "left").select("sid", "n", "heads", F.coalesce("c", "sid").alias("c")), "labelled")
-    lists = labelled.select("sid", "n", "c", F.explode(F.get("heads", F.lit(0))).alias("token"))
+    def run(batches):
+        for batch in batches:
+            out = []
+            for x, y, na, nb, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n_x", "n_y", "tokens_x", "tokens_y")), strict=True):
+                a, b = _u64(ta), _u64(tb)
+                has = np.isin(b, a, assume_unique=True)
+                both = int(has.sum())
+                bits = np.packbits(np.append(has, np.zeros(-len(has) % 64, bool)), bitorder="little").view(np.int64)
+                out.append((x, y, x != y and 100 * both >= threshold * (na + nb - both), len(a) - both, bits.tolist()))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["x", "y", "linked", "outside", "bits"])
+
+    return _sides(pairs, sets, ["n", "tokens"]).mapInArrow(run, "x long, y long, linked boolean, outside long, bits array<bigint>")
+
+
+def candidates_left(sets: DataFrame, labels: DataFrame, by_hub: DataFrame, threshold: int) -> DataFrame:
+    """(x, y): the pairs of different components in one posting list whose sizes and bit maps allow a link."""
+    known = sets.join(labels, sets["sid"] == labels["v"], "left").join(by_hub.select(F.col("x").alias("sid"), F.col("y").alias("hub"), "outside", "bits"), "sid")
+    known = staged(known.select("sid", "n", F.coalesce("c", "sid").alias("c"), "head", "hub", "outside", "bits"), "labelled")
+    lists = known.select("sid", "n", "c", "hub", "outside", "bits", F.explode("head").alias("token"))
     # lists of one component have nothing left
     mixed = lists.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
-    left = staged(lists.join(mixed, "token").join(labelled.select("sid", "heads"), "sid"), "lists-left")
+    left = staged(lists.join(mixed, "token"), "lists-left")
     a, b = left.alias("a"), left.alias("b")
+    total = F.col("a.n") + F.col("b.n")
+    fits = lambda both: 100 * both >= threshold * (total - both)
+    inside = F.aggregate(F.zip_with("a.bits", "b.bits", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
     ok = (F.col("a.token") == F.col("b.token")) & (F.col("a.c") != F.col("b.c")) & (F.col("a.sid") < F.col("b.sid"))
-    ok &= 100 * F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n")
-    # a pair comes out once: at the least of its common prefix tokens
-    ok &= F.array_min(F.array_intersect(F.get("a.heads", F.lit(0)), F.get("b.heads", F.lit(0)))) == F.col("a.token")
-    for k in range(1, orders):
-        ok &= F.arrays_overlap(F.get("a.heads", F.lit(k)), F.get("b.heads", F.lit(k)))
-    return a.join(b, ok).select(F.col("a.sid").alias("x"), F.col("b.sid").alias("y"))
+    ok &= fits(F.least("a.n", "b.n"))
+    ok &= F.when(F.col("a.hub") == F.col("b.hub"), fits(inside + F.least("a.outside", "b.outside"))).otherwise(F.lit(True))
+    return a.join(b, ok).select(F.col("a.sid").alias("x"), F.col("b.sid").alias("y")).distinct()
+
 
+def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs that share a prefix token under every other order and reach the threshold."""
 
-def classes(docs: DataFrame, words: int = 5, threshold: int = 80, orders: int = ORDERS, doc_id: str = "doc_id", text: str = "text", pivots: int = PIVOTS) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            x, y = [], []
+            for a, b, na, nb, ta, tb, ha, hb in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n_x", "n_y", "tokens_x", "tokens_y", "heads_x", "heads_y")), strict=True):
+                if all(np.isin(_u64(p), _u64(q), assume_unique=True).any() for p, q in zip(ha, hb, strict=True)):
+                    both = np.intersect1d(_u64(ta), _u64(tb), assume_unique=True).size
+                    if 100 * both >= threshold * (na + nb - both):
+                        x.append(a)
+                        y.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
+
+    return _sides(pairs, sets, ["n", "tokens", "heads"]).mapInArrow(run, "x long, y long")
+
+
+def classes(docs: DataFrame, words: int = 5, threshold: int = 80, orders: int = ORDERS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) per row: the size of its set, the least id it can reach by links,
     and the number of verified links its set has (copies and links implied by a component are not counted)."""
     spark = docs.sparkSession
@@ -225,9 +256,11 @@ def classes(docs: DataFrame, words: int = 5, threshold: int = 80, orders: int =
         release(spark)
     sets = staged(prefixes(postings, per_set.select("sid", "n"), threshold, orders), "prefixes")
     release(spark)
-    links = staged(verified(candidates_by_pivot(sets, threshold, pivots), sets, threshold, orders), "pivot-links")
+    by_hub = staged(compared(hubs(sets), sets, threshold), "hubs")
+    links = by_hub.where("linked").select("x", "y")
     labels = components(links)
-    more = staged(verified(candidates_left(sets, labels, threshold, orders), sets, threshold, orders), "other-links")
+    more = staged(verified(candidates_left(sets, labels, by_hub, threshold), sets, threshold), "other-links")
+    release(spark)
     every = links.unionByName(more)
     labels = components(every) if more.limit(1).count() else labels
     number = every.select(F.explode(F.array("x", "y")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_links"))
