@@ -10,10 +10,11 @@ from tranchery.llm.shared import fresh_path, table
 
 
 SUBWORD_MODEL = "piece_bpe_32k.model"
+SEGMENT_SAMPLES = 3
 
 
 def op1_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment_sampling.sample_segmentations(table(spark, sf_dir, "documents"), token_cache.tokenizer_path(SUBWORD_MODEL), k=3, ids=False)
+    return segment_sampling.sample_segmentations(table(spark, sf_dir, "documents"), token_cache.tokenizer_path(SUBWORD_MODEL), k=SEGMENT_SAMPLES, ids=False)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

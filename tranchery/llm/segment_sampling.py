@@ -302,7 +302,7 @@ def sample_segmentations(docs: DataFrame, model_file: str, k: int = 4, seed: int
                     rows["row"].append(i)
                     for c, v in zip(kinds, (s, len(seq), phi, g, q), strict=True):
                         rows[c].append(v)
-                    rows["out"].append(seq.tolist() if ids else hashlib.sha256(seq.astype("<i4").tobytes()).hexdigest())
+                    rows["out"].append(seq if ids else hashlib.sha256(seq.astype("<i4").tobytes()).hexdigest())
 
                 if full:
                     seeds = row_keys([keys[i] for i in full], seed)
@@ -312,7 +312,11 @@ def sample_segmentations(docs: DataFrame, model_file: str, k: int = 4, seed: int
                     if not t:
                         add(i, 1, np.zeros(0, np.int32), 0.0, 0.0, 1.0)
                 take = pa.array(rows["row"], pa.int64())
-                last = pa.array(rows["out"], pa.list_(pa.int32()) if ids else pa.string())
+                if ids:
+                    ends = np.concatenate([[0], np.cumsum([len(x) for x in rows["out"]])]).astype(np.int32)
+                    last = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *rows["out"]]).astype(np.int32)))
+                else:
+                    last = pa.array(rows["out"], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), *(pa.array(rows[c], t) for c, t in kinds.items()), last], ["doc_id", *kinds, "out"])
 
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
