@@ -99,19 +99,17 @@ class Vocabulary:
                 self.tables[size] = (h[order], np.array(at, np.int32)[order])
                 self.filter[(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
-    def lookup(self, total: np.ndarray, size: int, count: int) -> np.ndarray:
-        """Index of the piece at each of ``count`` starts, -1 for none."""
-        out = np.full(count, -1, np.int32)
-        if size not in self.tables or len(total) - size <= 0:
-            return out
+    def lookup(self, total: np.ndarray, size: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The starts at which a piece of that size stands, and the indexes of these pieces."""
+        if size not in self.tables or not len(start):
+            return start[:0], np.zeros(0, np.int32)
         known, at = self.tables[size]
-        n = min(count, len(total) - size)
-        h = slices(total, np.arange(n), size)
+        h = slices(total, start, size)
         maybe = np.flatnonzero(self.filter[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        place = np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)
-        hit = known[place] == h[maybe]
-        out[maybe[hit]] = at[place[hit]]
-        return out
+        h = h[maybe]
+        place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        hit = known[place] == h
+        return start[maybe[hit]], at[place[hit]]
 
 
 @lru_cache(maxsize=2)
@@ -132,8 +130,13 @@ class Lattice:
         total = rolling(codes)
         self.longest = int(min(vocab.longest, size.max(initial=1)))
         self.pid = np.full((self.longest + 1, n), -1, np.int32)
+        # characters from each place to the end of its unit: longer pieces need not be looked up
+        room = np.repeat(start + size, size) - np.arange(n)
+        place = np.arange(n)
         for k in range(1, self.longest + 1):
-            self.pid[k] = vocab.lookup(total, k, n)
+            place = place[room[place] >= k]
+            where, piece = vocab.lookup(total, k, place)
+            self.pid[k, where] = piece
         width = np.where(codes < 0x80, 1, np.where(codes < 0x800, 2, np.where(codes < 0x10000, 3, 4)))
         self.single = np.where(self.pid[1] >= 0, vocab.logp[self.pid[1]], width * vocab.byte_logp)
         self.node = start + np.arange(len(start))
@@ -207,7 +210,10 @@ def _one(vocab: Vocabulary, unit: str) -> float:
     """The same recursion for one long unit, in time linear in its length."""
     codes = np.frombuffer(unit.encode("utf-32-le"), np.uint32)
     total, n = rolling(codes), len(codes)
-    pid = [None, *(vocab.lookup(total, k, n) for k in range(1, vocab.longest + 1))]
+    pid = np.full((vocab.longest + 1, n), -1, np.int32)
+    for k in range(1, min(vocab.longest, n) + 1):
+        where, piece = vocab.lookup(total, k, np.arange(n - k + 1))
+        pid[k, where] = piece
     alpha = np.full(n + 1, -np.inf)
     alpha[0] = 0
     width = len(unit[0].encode())
