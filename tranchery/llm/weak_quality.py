@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 
 from tranchery.llm.shared import staged
 
-ITERATIONS = 12
+ITERATIONS = 15
 THRESHOLD = 0.5
 _SPACE = r"[\\x20\\x09-\\x0D]+"
 
 #: Rules as SQL over the counts of one text.
 RULES = {
     "symbols": "case when n_words = 0 then 0 when n_symbols * 1.0 > 0.25 * n_words then -1 when n_symbols * 1.0 <= 0.10 * n_words then 1 else 0 end",
+    "marks": "case when word_chars = 0 then 0 when n_marks * 1.0 > 0.09 * word_chars then -1 when n_marks * 1.0 <= 0.06 * word_chars then 1 else 0 end",
     "capitals": "case when word_chars = 0 then 0 when n_capitals * 1.0 > 0.30 * word_chars then -1 when n_capitals * 1.0 <= 0.15 * word_chars then 1 else 0 end",
     "shouts": "case when n_words = 0 then 0 when n_shouts * 1.0 > 0.25 * n_words then -1 when n_shouts * 1.0 <= 0.05 * n_words then 1 else 0 end",
     "word_length": "case when n_words = 0 then 0 when word_chars * 1.0 > 12.0 * n_words or word_chars * 1.0 < 2.5 * n_words then -1 when word_chars * 1.0 <= 9.0 * n_words and word_chars >= 3.0 * n_words then 1 else 0 end",
@@ -48,7 +49,7 @@ def counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     step = step.selectExpr(
         "doc_id", "cast(size(words) as bigint) n_words", "cast(char_length(array_join(words, '')) as bigint) word_chars", f"{gone('[#*$%&|<>]')} n_symbols",
         "cast(size(lines) as bigint) n_lines", "cast(size(lines) - size(array_distinct(lines)) as bigint) n_dup_lines",
-        f"{gone('[A-Z]')} n_capitals", f"{gone('!')} n_shouts", f"{gone('[.?]')} n_stops", f"{windows} windows",
+        f"{gone('[A-Z]')} n_capitals", gone("[!-/:-@{-~]") + " n_marks", f"{gone('!')} n_shouts", f"{gone('[.?]')} n_stops", f"{windows} windows",
     )
     ordered = "sort_array(transform(windows, (h, i) -> named_struct('h', h, 'i', i)))"
     again = f"transform(array({ordered}), t -> filter(t, (x, k) -> x.h = get(t, k - 1).h or x.h = get(t, k + 1).h))[0]"
@@ -69,22 +70,29 @@ def posterior(p: str, a: list[str], b: list[str]) -> str:
 def updates() -> list[str]:
     """SQL aggregates over patterns (n: documents, q: posterior) that give the next prior and accuracies.
 
-    Pseudo-counts of ten documents at 80 % keep every accuracy inside (0, 1)."""
-    out = ["(sum(n * q) + 8) / (sum(n) + 10) p"]
+    Prior knowledge enters as pseudo-counts: a rule seldom fires on good documents (98 % right, weighing as much as
+    the data), and bad documents differ, so that each rule finds a part of them only (30 %, ten documents)."""
+    out = ["(sum(n * q) + 8.5) / (sum(n) + 10) p"]
     for name in RULES:
         v = f"v_{name}"
-        out.append(f"(sum(case when {v} = 1 then n * q else 0 end) + 8) / (sum(case when {v} != 0 then n * q else 0 end) + 10) a_{name}")
-        out.append(f"(sum(case when {v} = -1 then n * (1 - q) else 0 end) + 8) / (sum(case when {v} != 0 then n * (1 - q) else 0 end) + 10) b_{name}")
+        good, bad = f"sum(case when {v} != 0 then n * q else 0 end)", f"sum(case when {v} != 0 then n * (1 - q) else 0 end)"
+        out.append(f"(sum(case when {v} = 1 then n * q else 0 end) + 0.98 * ({good} + 10)) / (2 * {good} + 10) a_{name}")
+        out.append(f"(sum(case when {v} = -1 then n * (1 - q) else 0 end) + 3) / ({bad} + 10) b_{name}")
     return out
 
 
+START = {"p": 0.85} | {f"a_{n}": 0.98 for n in RULES} | {f"b_{n}": 0.3 for n in RULES}
+
+
 def fit(voted: DataFrame, iterations: int = ITERATIONS) -> dict[str, float]:
     """Prior ``p`` and accuracies ``a_rule`` (on good) and ``b_rule`` (on bad documents), from all documents' votes."""
     names = [f"v_{n}" for n in RULES]
     patterns = staged(voted.groupBy(*names).agg(F.count("*").cast("double").alias("n")).coalesce(1), "vote-patterns")
-    now = {"p": 0.8} | {f"{x}_{n}": 0.8 for n in RULES for x in "ab"}
+    now = dict(START)
     for _ in range(iterations):
         now = patterns.selectExpr("*", f"{_posterior_at(now)} q").selectExpr(*updates()).first().asDict()
+        if now["p"] is None:  # no documents at all
+            return dict(START)
     return now
 
 
