@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tranchery.llm import decontaminate, jaccard_join, language_id, lattice_score, license_scan, line_dedup, secret_scan, segment_sampling, token_cache, weak_quality
+from tranchery.llm.check_sql import SQL  # noqa: F401
 from tranchery.llm.shared import fresh_path, table
 
 
@@ -18,7 +19,7 @@ def op1_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+    return jaccard_join.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +69,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_segmentations, op2_jaccard_join, op3_lm_scores, op4_line_dedup, op5_token_counts, op6_language_id, op7_license_scan, op8_quality_rules, op9_secret_scan, op10_decontamination)}
-SQL: dict[str, str] = {}
+
