@@ -10,7 +10,7 @@ then line number), or when a line within ``tau`` edits of it has its first place
    the line probes, for each partner length within ``tau``, the substrings whose start agrees with the edits that
    the left and the right side can hold.  Index and probes are
    made distinct (equal lines give equal rows) and meet by (length, segment number, substring) hashes.
-3. Pairs that also pass a bound on letter counts are verified by a bit-parallel edit distance over the diagonals of
+3. Pairs whose letter counts allow ``tau`` edits are verified by a bit-parallel edit distance over the diagonals of
    the band: bit d of a state word stands for diagonal d - tau, and one word per error count advances all of them.
 4. Removed places go back to their documents, whose remaining lines are joined again.
 
@@ -31,6 +31,7 @@ MIN_CHARS = 20
 #: Lines that are probed once instead of at every place, and ids that are broadcast: both bounds are fixed
 FREQUENT, FEW = 10_000, 500_000
 _SPACE = " \t\n\x0b\f\r"
+_LETTERS = "eanitrosh ldcuw"
 
 
 def index_parts(tau: int) -> Column:
@@ -49,15 +50,17 @@ def _part(gap: int, k: int, shift: int) -> Column:
 
 
 def keyed(lines: DataFrame, parts: Column, tau: int) -> DataFrame:
-    """(key, h1, h2), distinct and dealt by key, for the lines (line, h1, h2): hashes of (length, segment, substring)."""
-    each = lines.select("h1", "h2", "line", F.char_length("line").alias("n"), F.explode(parts).alias("p")).select("h1", "h2", "line", "n", "p.*")
+    """(key, h1, h2, letters), distinct and dealt by key, for the lines (line, h1, h2): hashes of (length, segment,
+    substring), and the letter counts that :func:`may_be_close` compares."""
+    counted = lines.select("h1", "h2", "line", F.char_length("line").alias("n"), letters(F.col("line")).alias("letters"))
+    each = counted.select("*", F.explode(parts).alias("p")).select("h1", "h2", "letters", "line", "n", "p.*")
     sized = each.withColumn("of", F.col("n") - F.col("gap"))
     base = F.expr(f"of div {tau + 1}").cast("int")
     short = F.lit(tau + 1) - (F.col("of") - F.col("base") * (tau + 1))  # so many first segments are one shorter
     placed = sized.withColumn("base", base).withColumn("short", short)
     placed = placed.withColumn("at", F.col("base") * F.col("k") + F.greatest(F.lit(0), F.col("k") - F.col("short")) + F.col("shift")).withColumn("size", F.col("base") + F.when(F.col("k") >= F.col("short"), 1).otherwise(0))
     inside = placed.where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n")))
-    rows = inside.select(F.xxhash64("of", "k", F.substring("line", F.col("at") + 1, F.col("size"))).alias("key"), "h1", "h2")
+    rows = inside.select(F.xxhash64("of", "k", F.substring("line", F.col("at") + 1, F.col("size"))).alias("key"), "h1", "h2", "letters")
     return rows.repartition("key").distinct()  # one exchange serves both the distinct rows and the join
 
 
@@ -110,14 +113,29 @@ def _advance(state: Column, match: Column, tau: int, full: int) -> list[Column]:
     return out
 
 
-def close_counts(a: Column, b: Column, tau: int) -> Column:
-    """A bound that every pair within ``tau`` passes: one edit changes two letter counts by one at most."""
+def letters(line: Column) -> Column:
+    """The counts of fifteen letters and the length, each modulo 16, in one 64-bit number."""
+    out = F.char_length(line).cast("long").bitwiseAND(F.lit(15))
+    for i, c in enumerate(_LETTERS, 1):
+        count = F.char_length(line) - F.char_length(F.replace(line, F.lit(c), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft(count.cast("long").bitwiseAND(F.lit(15)), 4 * i))
+    return out
+
+
+def may_be_close(a: Column, b: Column, tau: int) -> Column:
+    """A bound that the ``letters`` of every pair within ``tau`` pass: one edit changes two counts by one at most, and
+    counts apart by d modulo 16 are at least min(d, 16 - d) apart."""
     apart = F.lit(0)
-    for c in "eanitros ":
-        apart = apart + F.abs(F.char_length(F.replace(a, F.lit(c), F.lit(""))) - F.char_length(a) - F.char_length(F.replace(b, F.lit(c), F.lit(""))) + F.char_length(b))
+    for i in range(1, len(_LETTERS) + 1):
+        d = F.abs(_digit(a, i) - _digit(b, i))
+        apart = apart + F.least(d, F.lit(16) - d)
     return apart <= 2 * tau
 
 
+def _digit(x: Column, i: int) -> Column:
+    return F.shiftrightunsigned(x, 4 * i).bitwiseAND(F.lit(15)).cast("int")
+
+
 def lines_of(docs: DataFrame, row: str, text: str, min_chars: int) -> DataFrame:
     """(row, place, line, h1, h2) of the lines that take part; h1 and h2 are the halves of a line's 128-bit hash."""
     at = docs.select(F.col(row).alias("row"), F.posexplode(F.split(F.col(text), "\n")).alias("place", "raw"))
@@ -145,7 +163,10 @@ def near_lines(lines: DataFrame, first: DataFrame, tau: int) -> DataFrame:
     spark = lines.sparkSession
     each = once_if_frequent(lines, first)
     index, probe = keyed(each, index_parts(tau), tau), keyed(each, probe_parts(tau), tau)
-    met = probe.withColumnsRenamed({"h1": "p1", "h2": "p2"}).join(index.hint("shuffle_hash"), "key").where("h1 != p1 or h2 != p2")
+    probe = probe.withColumnsRenamed({"h1": "p1", "h2": "p2", "letters": "p_letters"})
+    # lines of equal length probe each other: one of both directions is enough
+    twice = (_digit(F.col("letters"), 0) == _digit(F.col("p_letters"), 0)) & (F.struct("h1", "h2") >= F.struct(F.col("p1").alias("h1"), F.col("p2").alias("h2")))
+    met = probe.join(index.hint("shuffle_hash"), "key").where(~twice & may_be_close(F.col("letters"), F.col("p_letters"), tau))
     one, two = F.struct("h1", "h2"), F.struct(F.col("p1").alias("h1"), F.col("p2").alias("h2"))
     pairs = staged(met.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct(), "line-pairs")
     release(spark)
@@ -155,7 +176,7 @@ def near_lines(lines: DataFrame, first: DataFrame, tau: int) -> DataFrame:
     release(spark)
     x = text.select(F.col("id").alias("x"), F.col("line").alias("a"), F.col("at").alias("at_x"))
     y = text.select(F.col("id").alias("y"), F.col("line").alias("b"), F.col("at").alias("at_y"))
-    both = pairs.join(x, "x").join(y, "y").where(close_counts(F.col("a"), F.col("b"), tau))
+    both = pairs.join(x, "x").join(y, "y")
     linked = both.where(within(F.col("a"), F.col("b"), tau))
     return linked.select(F.when(F.col("at_x") < F.col("at_y"), F.col("y")).otherwise(F.col("x")).alias("id")).distinct().select("id.h1", "id.h2")
 
