@@ -117,9 +117,9 @@ def missing_cross(spark, sf_dir):
     return loan_raw(spark, sf_dir).agg(F.count_if(C("issue_d").isNull()).alias("no_issue"), F.count_if(C("loan_status").isNull()).alias("no_status"), F.count("issue_d").alias("expected_rows"))
 
 
-@query("distinct_counts", S.with_parts("select count(distinct issue_month) months, count(distinct grade) grades, count(distinct loan_id) loans from facts", "facts"))
+@query("distinct_counts", S.with_parts("select count(distinct issue_month) n_months, count(distinct grade) grades, count(distinct loan_id) loans from facts", "facts"))
 def distinct_counts(spark, sf_dir):
-    return _facts(spark, sf_dir).agg(F.count_distinct("issue_month").alias("months"), F.count_distinct("grade").alias("grades"), F.count_distinct("loan_id").alias("loans"))
+    return _facts(spark, sf_dir).agg(F.count_distinct("issue_month").alias("n_months"), F.count_distinct("grade").alias("grades"), F.count_distinct("loan_id").alias("loans"))
 
 
 @query("having_dups", "select l_orderkey, l_linenumber, count(*) cnt from lineitem group by 1, 2 having count(*) > 1")

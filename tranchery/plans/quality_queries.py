@@ -200,6 +200,6 @@ def lineage_check(spark, sf_dir):
     return quality.lineage_faults(edges, names)
 
 
-@query("freshness_volume", "select day, cnt, round(trailing, 4) trailing, round(cnt / nullif(round(trailing, 4), 0) - 1, 4) swing, coalesce(abs(round(cnt / nullif(round(trailing, 4), 0) - 1, 4)) > 0.5, false) flagged from (select *, avg(cnt) over (order by day rows between 3 preceding and 1 preceding) trailing from (select strftime(ts, '%Y-%m-%d') as day, count(*) cnt from events group by 1))")
+@query("freshness_volume", "select day, cnt, round(t, 4) as \"trailing\", round(cnt / nullif(round(t, 4), 0) - 1, 4) swing, coalesce(abs(round(cnt / nullif(round(t, 4), 0) - 1, 4)) > 0.5, false) flagged from (select *, avg(cnt) over (order by day rows between 3 preceding and 1 preceding) t from (select strftime(ts, '%Y-%m-%d') as day, count(*) cnt from events group by 1))")
 def freshness_volume(spark, sf_dir):
     return quality.volume_swing(read_table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")), "day")
