@@ -53,7 +53,9 @@ def keyed(lines: DataFrame, parts: Column, tau: int) -> DataFrame:
     """(key, h1, h2, letters), distinct and dealt by key, for the lines (line, h1, h2): hashes of (length, segment,
     substring), and the letter counts that :func:`may_be_close` compares."""
     counted = lines.select("h1", "h2", "line", F.char_length("line").alias("n"), letters(F.col("line")).alias("letters"))
-    each = counted.select("*", F.explode(parts).alias("p")).select("h1", "h2", "letters", "line", "n", "p.*")
+    # a generator that refers to the columns has them worked out once per line; else generated code does so per row
+    all_known = (F.col("letters") != -1) & (F.col("h1") != 0) & (F.col("h2") != 0) & (F.col("n") > 0) & (F.col("line") != "")
+    each = counted.select("*", F.explode(F.when(all_known, parts).otherwise(F.reverse(parts))).alias("p")).select("h1", "h2", "letters", "line", "n", "p.*")
     sized = each.withColumn("of", F.col("n") - F.col("gap"))
     base = F.expr(f"of div {tau + 1}").cast("int")
     short = F.lit(tau + 1) - (F.col("of") - F.col("base") * (tau + 1))  # so many first segments are one shorter
