@@ -15,7 +15,7 @@ SEGMENT_SAMPLES = 3
 
 
 def op1_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment_sampling.sample_segmentations(table(spark, sf_dir, "documents"), token_cache.tokenizer_path(SUBWORD_MODEL), k=SEGMENT_SAMPLES, ids=False)
+    return segment_sampling.sample_segmentations(table(spark, sf_dir, "documents"), token_cache.tokenizer_path(SUBWORD_MODEL), k=SEGMENT_SAMPLES, ids=False, chunk=2 << 20)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

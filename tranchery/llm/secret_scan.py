@@ -98,7 +98,7 @@ def link(found: DataFrame, window: int) -> DataFrame:
     weak = found.select("row", F.explode("weak").alias("p")).select("row", F.col("p.start"), F.col("p.kind").alias("role"), F.col("p.end"), F.lit(True).alias("weak"))
     # only rows with a weak part matter
     every = strong.join(weak.select("row").distinct(), "row", "left_semi").unionByName(weak)
-    # per (row, block, role) the part that reaches farthest each way is enough to tell whether one lies within the window
+    # a block is as wide as the window, so it holds few parts, and a row full of parts is spread over its blocks
     block = lambda c: F.floor(c / F.lit(window))
     at = every.withColumn("block", F.explode(F.sequence(block(F.col("start")), block(F.col("end")))))
     left = weak.withColumn("block", F.explode(F.sequence(block(F.col("start") - window), block(F.col("end") + window))))

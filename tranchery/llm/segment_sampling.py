@@ -283,16 +283,17 @@ def row_keys(keys: list, seed: int) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(f"{seed}:{x}".encode(), digest_size=8).digest(), "little") for x in keys], np.uint64)
 
 
-def sample_segmentations(docs: DataFrame, model_file: str, k: int = 4, seed: int = 0, doc_id: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
+def sample_segmentations(docs: DataFrame, model_file: str, k: int = 4, seed: int = 0, doc_id: str = "doc_id", text: str = "text", ids: bool = True, chunk: int = 1 << 20) -> DataFrame:
     """One row per document and sample: id, sample (1 is the largest perturbed value), n_pieces, log_prob, perturbed,
-    inclusion, and the token ids (``ids``), or their SHA-256 as little-endian 32-bit integers (``ids_sha256``)."""
+    inclusion, and the token ids (``ids``), or their SHA-256 as little-endian 32-bit integers (``ids_sha256``).  Texts
+    are worked on in slices of about ``chunk`` bytes, which bounds memory (a longer text is a slice of its own)."""
     id_type = docs.schema[doc_id].dataType.simpleString()
     kinds = {"sample": pa.int32(), "n_pieces": pa.int64(), "log_prob": pa.float64(), "perturbed": pa.float64(), "inclusion": pa.float64()}
 
     def run(batches):
         vocab = vocabulary(model_file)
         for whole in batches:
-            for batch in pieces_of(whole, "text", 2 << 20):
+            for batch in pieces_of(whole, "text", chunk):
                 keys = batch.column("doc_id").to_pylist()
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 full = [i for i, t in enumerate(texts) if t]

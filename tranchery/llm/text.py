@@ -119,12 +119,6 @@ def chain(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def hash_words(words: list[bytes]) -> np.uint64:
-    """The chained hash of one phrase, as :func:`chain` gives it."""
-    w = Words(pa.array([b" ".join(words).decode()]))
-    return chain(w.hashes(), len(words))[0]
-
-
 def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-word shingles as (row, hash), sorted by row and hash; a row with fewer words gives its whole sequence."""
     h = words.hashes()
