@@ -195,8 +195,8 @@ def log_marginals(vocab: Vocabulary, units: list[str], longest: int = 64) -> np.
     """Natural log of the total probability of all segmentations of each unit."""
     out = np.zeros(len(units))
     short = [i for i, u in enumerate(units) if 0 < len(u) <= longest]
-    for a in range(0, len(short), 50_000):
-        some = short[a : a + 50_000]
+    for a in range(0, len(short), 20_000):
+        some = short[a : a + 20_000]
         codes = np.frombuffer("".join(units[i] for i in some).encode("utf-32-le"), np.uint32)
         size = np.array([len(units[i]) for i in some])
         out[some] = Lattice(vocab, codes, np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64), size).totals()

@@ -96,9 +96,10 @@ def score(docs: DataFrame, train: Column, model_file: str, text: str = "text", k
     release(docs.sparkSession)
     n, types, once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1)).first()
     totals = WordScores(n, types, once, ends)
-    top = counts.orderBy(F.desc("n"), "word").limit(hot).collect()
-    words = [bytes(r["word"]) for r in top]
-    table = {w: (totals.base(r["n"]), totals.model(r["n"], s)) for w, r, s in zip(words, top, spelled(model_file, words).tolist(), strict=True)}
+    top = counts.orderBy(F.desc("n"), "word").limit(hot).toArrow()
+    words, often = top.column("word").to_pylist(), top.column("n").to_pylist()
+    table = {w: (totals.base(n), totals.model(n, s)) for w, n, s in zip(words, often, spelled(model_file, words).tolist(), strict=True)}
+    del top, words, often
     shared = docs.sparkSession.sparkContext.broadcast(table)
     end = totals.base(ends)
     fields = {p: docs.schema[c].dataType.simpleString() for c, p in zip(keep, plain, strict=True)}
