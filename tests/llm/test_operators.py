@@ -279,6 +279,70 @@ def test_licence_rules_need_order_and_nearness(spark):
     assert got == {1: ["MIT"], 2: [], 3: [], 4: ["MIT", "CC-BY-NC-4.0"], 5: []}
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+
+
+def test_wrapped_licence_notices(spark):
+    each = [(MIT, ["MIT"]), (BSD, ["BSD-2-Clause", "BSD-3-Clause"]), (GPL, ["GPL-3.0-or-later"]), (APACHE, ["Apache-2.0"])]
+    forms = [
+        lambda t: t,
+        lambda t: "Some File\nCopyright (c) 2020 A. Person\n\n" + t + "\n\nMore text.",
+        lambda t: "/*\n" + "\n".join(" * " + x for x in t.split("\n")) + "\n */\nint main() {}",
+        lambda t: "\r\n".join("# " + x for x in t.split("\n")),
+        lambda t: "\n".join("dnl " + x for x in t.split("\n")),
+        lambda t: re.sub(r"(?m)^([123])\.", r"(\1)", t),
+        lambda t: re.sub(r"\s+", " ", t.replace("\n\n    http", "\n\nhttp")).replace(" http", "\nhttp"),
+    ]
+    rows = [(i, form(t), wanted) for i, (form, (t, wanted)) in enumerate((f, e) for f in forms for e in each)]
+    rows += [(100, GPL.replace("version 3", "version 2"), []), (101, "He said permission is hereby granted. " + MIT[10:], []), (102, MIT.replace("granted, free", "granted.\nFree"), []), (103, MIT.replace("a copy\nof", "a copy\n\nof"), [])]
+    rows += [(104, "Licensed under the Apache License, Version 2.0\n(the \"License\").", ["Apache-2.0"])]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")).collect()}
+    for i, _, wanted in rows:
+        assert sorted({m["licence"] for m in got[i]["matches"]}) == wanted, i
+    assert [(x["sentence_id"], x["sentence"], MIT[x["start"] : x["end"]].split()[-1]) for x in got[0]["found"]] == [("mit-grant", 0, "conditions"), ("mit-include", 1, "Software"), ("mit-as-is", 2, "NONINFRINGEMENT")]
+    assert got[0]["n_sentences"] == 4
+
+
 def test_repeat_words_and_counts(spark):
     r = random.Random(2)
     rows = [(i, "\n".join(" ".join(r.choice("ab") for _ in range(r.randint(0, 14))) for _ in range(r.randint(1, 4))) + r.choice(["", "#*|", "\r\n\x0b"])) for i in range(60)] + [(99, None), (98, " ".join(["w"] * 40))]

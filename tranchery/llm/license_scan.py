@@ -1,14 +1,18 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences (at line ends, and at . ! ? ; : before white space), each is normalised (ASCII-lower-case,
-runs of anything but ASCII letters and digits are one space) and looked up among the known licence sentences.  The
-identifiers found, in order of position, are matched against licence rules: a rule is an ordered list of identifiers
-which must occur one after the other with at most ``max_gap`` unknown sentences in between.
+Known licence sentences are found as runs of words (ASCII-lower-case, anything but ASCII letters and digits parts words)
+that start and end at a line end, at . ! ? ; : before white space, behind a list mark or at the text's ends.  Wrapped
+lines are joined: a known sentence may run over line ends, comment marks, ':' and ';', but not over a blank line (one
+without letters and digits) or over . ! ? before white space.  The rest of the text falls into sentences at blank lines
+and at . ! ? ; : before white space.  The identifiers found, in order of position, are matched against licence rules: a
+rule is an ordered list of identifiers which must occur one after the other with at most ``max_gap`` unknown sentences
+in between.
 
 Both tables are fixed, small and broadcast.  Documents are neither shuffled nor exploded.
 
 Defined cases: a null or empty text has no sentences and no licence; repeated matches count each; a rule whose
-identifiers overlap another's is reported beside it; columns other than the id and the text are not read.
+identifiers overlap another's is reported beside it; of known sentences that overlap, as where one is the beginning of
+the other, each is found, and they are one sentence in the count; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -58,24 +62,95 @@ RULES = [
     ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse"]),
 ]
 MAX_GAP = 2
-#: A sentence ends at a line feed, or at . ! ? ; : before white space or the end.
-_END = re.compile(r"\n|[.!?;:](?=[\x20\x09-\x0D]|\Z)")
-_OTHER = re.compile(r"[^a-z0-9]+")
+#: A known sentence starts and ends at a line feed, or at . ! ? ; : before white space or the end.
+_BREAK = re.compile(r"\n|[.!?;:](?=[\x20\x09-\x0D]|\Z)")
+#: It does not run over a blank line or over . ! ? before white space.
+_HARD = re.compile(r"\n[^\w\n]*\n|[.!?](?=[\x20\x09-\x0D]|\Z)")
+#: Other sentences end there, and at ; : before white space.
+_END = re.compile(r"\n[^\w\n]*\n|[.!?;:](?=[\x20\x09-\x0D]|\Z)")
+_INSIDE = re.compile(r"\w")
+_WORD = re.compile(r"[A-Za-z0-9]+")
+_NO_WORD = re.compile(r"[^A-Za-z0-9]*")
+#: Comment marks made of letters, which wrapped lines may begin with.
+_COMMENT = {"dnl", "rem"}
+#: What may stand in a line before a known sentence: comment marks and one list mark, as 1. (a) iii)
+_MARKS = re.compile(r"[^A-Za-z0-9]*(?:(?:dnl|rem)[^A-Za-z0-9]+)?(?:[0-9A-Za-z]{1,4}[.)\]][^A-Za-z0-9]*)?", re.I | re.A)
+_MARKS_LONG = 80
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def normalise(sentence: str) -> str:
-    return _OTHER.sub(" ", sentence.translate(_LOWER)).strip(" ")
+def n_sentences(text: str) -> int:
+    """Sentences that have a letter or digit, of any script."""
+    return sum(1 for x in _END.split(text) if _INSIDE.search(x))
+
+
+class Known:
+    """The known sentences (normalised text to identifier) as a tree of words, and a pattern of their first two words."""
+
+    def __init__(self, by_text: dict[str, str]):
+        self.tree: dict = {}
+        for text, name in by_text.items():
+            node = self.tree
+            for word in text.split():
+                node = node.setdefault(word, {})
+            node[None] = name
+        gap = rf"[^a-z0-9]+(?:(?:{'|'.join(sorted(_COMMENT))})[^a-z0-9]+)?"
+        heads = sorted({tuple(x.split()[:2]) for x in by_text})
+        some = "|".join(f"{w[0][0]}(?={gap.join([w[0][1:], *w[1:]])}(?![a-z0-9]))" for w in heads)
+        self.heads = re.compile(f"(?<![a-z0-9])(?:{some})", re.I | re.A)
+
+    def at(self, body: str, place: int) -> list[tuple[int, str]]:
+        """(end, identifier) of the known sentences whose words begin at a place and which end at a break."""
+        out, node, last = [], self.tree, None
+        while True:
+            gap = body[last : _NO_WORD.match(body, last).end() + 1] if last is not None else ""
+            name = node.get(None) if last is not None else None
+            if name is not None:
+                m = _BREAK.search(gap)
+                if m:
+                    out.append((last + m.start(), name))
+                elif _NO_WORD.fullmatch(gap):
+                    out.append((len(body), name))
+            if _HARD.search(gap):
+                return out
+            m = _WORD.search(body, place if last is None else last)
+            word = m and m[0].translate(_LOWER)
+            if word in _COMMENT and word not in node and "\n" in gap:
+                m = _WORD.search(body, m.end())
+                word = m and m[0].translate(_LOWER)
+            node = node.get(word) if word else None
+            if node is None:
+                return out
+            last = m.end()
+
+    def find(self, body: str) -> list[tuple[int, int, str]]:
+        """(start, end, identifier), sorted."""
+        out = []
+        for m in self.heads.finditer(body):
+            begin = before = m.start()
+            while before and not (body[before - 1].isascii() and body[before - 1].isalnum()):
+                before -= 1
+            breaks = [before + x.end() for x in _BREAK.finditer(body[before : begin + 1])]
+            if breaks or not before:
+                start = breaks[-1] if breaks else 0
+            else:
+                line = body.rfind("\n", 0, begin) + 1
+                if begin - line > _MARKS_LONG or not _MARKS.fullmatch(body, line, begin):
+                    continue
+                start = begin
+            out += [(start, end, name) for end, name in self.at(body, begin)]
+        return sorted(out)
 
 
-def sentences(text: str):
-    """(normalised, start, end) of the sentences that have an ASCII letter or digit, without the ending mark."""
-    at = 0
-    for m in [*_END.finditer(text), None]:
-        end = m.start() if m else len(text)
-        if at < end:
-            yield at, end
-        at = m.end() if m else end
+def numbered(body: str, found: list[tuple[int, int, str]]) -> tuple[int, list[int]]:
+    """The number of sentences, and which sentence each known one is; ``found`` is sorted."""
+    n, at, out = 0, 0, []
+    for start, end, _ in found:
+        if not out or start >= at:
+            n += n_sentences(body[at:start]) + 1
+        at = max(at, end)
+        out.append(n - 1)
+    return n + n_sentences(body[at:]), out
 
 
 def match_rules(found: list[tuple[int, str]], rules, max_gap: int) -> list[tuple[str, int, int]]:
@@ -90,6 +165,8 @@ def match_rules(found: list[tuple[int, str]], rules, max_gap: int) -> list[tuple
             for name in wanted[1:]:
                 later = places.get(name, [])
                 i = bisect_left(later, k + 1)
+                while i < len(later) and found[later[i]][0] == found[k][0]:
+                    i += 1
                 if i == len(later) or found[later[i]][0] - found[k][0] - 1 > max_gap:
                     break
                 k = later[i]
@@ -102,29 +179,19 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: dic
     """Per document: id, n_sentences, found (identifier, sentence number, start, end) and matches (licence, start, end)."""
     by_text = {v: k for k, v in (known or SENTENCES).items()}
     order = rules or RULES
-    longest, shortest = max(map(len, by_text)), min(map(len, by_text))
     shared = docs.sparkSession.sparkContext.broadcast((by_text, order))
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
         table, wanted = shared.value
-        openings = {x[:4] for x in table}
+        sought = Known(table)
         for whole in batches:
             for batch in pieces_of(whole, "text"):
                 counts, every, matched = [], [], []
                 for body in batch.column("text").to_pylist():
-                    found, n = [], 0
-                    for start, end in sentences(body or ""):
-                        n += 1
-                        # a normalised sentence is no longer than its source; most sentences are ruled out by their length or first letters
-                        if end - start < shortest:
-                            continue
-                        head = normalise(body[start : min(end, start + 4 * longest)])
-                        if head[:4] not in openings:
-                            continue
-                        name = table.get(normalise(body[start:end]) if end - start > 4 * longest else head)
-                        if name:
-                            found.append((n - 1, name, start, end))
+                    spans = sought.find(body) if body else []
+                    n, place = numbered(body or "", spans)
+                    found = [(k, name, start, end) for k, (start, end, name) in zip(place, spans, strict=True)]
                     counts.append(n)
                     every.append([{"sentence_id": x[1], "sentence": x[0], "start": x[2], "end": x[3]} for x in found])
                     matched.append([{"licence": x, "start": found[a][2], "end": found[b][3]} for x, a, b in match_rules([y[:2] for y in found], wanted, max_gap)] if found else [])
