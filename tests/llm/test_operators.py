@@ -385,6 +385,16 @@ def test_secrets(spark):
     assert not got[3]["spans"] and not got[4]["spans"] and not got[5]["spans"]
 
 
+def test_long_secrets_and_secrets_in_urls(spark):
+    token, name = "aB3" * 100, "u" * 100
+    rows = [(1, f"db.example.com:5432 ASIA{'Q' * 16} {token}"), (2, f"user: {name} host db.example.com:5432 pass {'aB3' * 9}"), (3, "client_id: myclient https://host/x?token=abcdefgh1"), (4, "https://host/x?token=abcdefgh1"), (5, f"client_id: myclient {'x ' * 200} https://host/x?token=abcdefgh1")]
+    got = {r["doc_id"]: [(secret_scan.KINDS[x["kind"]], rows[r["doc_id"] - 1][1][x["start"] : x["end"]]) for x in r["spans"]] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == [("linked_endpoint", "db.example.com:5432"), ("linked_identifier", f"ASIA{'Q' * 16}"), ("linked_secret", token)]
+    assert got[2][0] == ("linked_identifier", f"user: {name}") and len(got[2]) == 3
+    assert got[3] == [("linked_identifier", "client_id: myclient"), ("assign", "token=abcdefgh1")]
+    assert got[4] == got[5] == [("assign", "token=abcdefgh1")]
+
+
 def brute_contamination(rows, items, n=10):
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
     out = {}
