@@ -209,6 +209,45 @@ def test_sampling_round_trip_and_repeatability(spark):
     assert len(digest["ids_sha256"]) == 64
 
 
+def test_long_units_are_not_cut():
+    vocab, n = lattice.vocabulary(MODEL), 1500
+    text = ("understandingneverthelessinternationalcommunication" * 4)[:199]
+    unit = "▁" + text
+    whole = lattice.log_marginals(vocab, [unit], longest=10)[0]
+    weight = {int(i): x for i, x in zip(vocab.ids[:-1], vocab.logp[:-1], strict=True)}
+    sampler = segment_sampling.Sampler(vocab, [text] * n, segment_sampling.row_keys(range(n), 4))
+    assert len(sampler.at) == n
+    at, drawn = collections.Counter(), collections.defaultdict(set)
+    for d, s, ids, phi, g, q, same in sampler.decoded(3):
+        assert same and segment_sampling.decode(vocab, ids) == text
+        assert math.isclose(phi, sum(weight[int(i)] for i in ids) - whole, rel_tol=1e-6)
+        drawn[d].add(tuple(ids))
+        if s == 1:
+            at.update(set(np.cumsum([len(vocab.text_of[int(i)]) for i in ids]).tolist()))
+    assert all(len(x) == 3 for x in drawn.values())
+    for place in [30, 60, 63, 64, 65, 100, 120, 128, 180]:
+        left, right = lattice.log_marginals(vocab, [unit[:place], unit[place:]], longest=10)
+        assert abs(at[place] / n - math.exp(left + right - whole)) < 0.05, place
+    assert at[60] < n
+
+
+def test_sampling_of_very_long_units_and_round_trips(spark):
+    texts = ["x" * 5000, "https://example.com/" + "aB3/" * 200, " " * 700, "a▁b", "", None, "naïve \u65e5\u672c \U0001F600 word"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = segment_sampling.sample_segmentations(df, MODEL, k=3).collect()
+    vocab = lattice.vocabulary(MODEL)
+    for r in got:
+        text = texts[r["doc_id"]]
+        assert r["round_trip"] is (None if text is None else "▁" not in text)
+        assert not text or segment_sampling.decode(vocab, r["ids"]) == text.replace("▁", " ")
+    assert collections.Counter(r["doc_id"] for r in got) == {0: 3, 1: 3, 2: 3, 3: 3, 4: 1, 5: 1, 6: 3}
+    totals = {i: lattice.log_marginals(vocab, ["▁" + texts[i].replace(" ", "▁")], longest=10)[0] for i in (0, 2)}
+    weight = {int(i): x for i, x in zip(vocab.ids[:-1], vocab.logp[:-1], strict=True)}
+    for r in got:
+        if r["doc_id"] in totals:
+            assert math.isclose(r["log_prob"], sum(weight[i] for i in r["ids"]) - totals[r["doc_id"]], rel_tol=1e-6, abs_tol=1e-3)
+
+
 @pytest.mark.parametrize("hot", [0, 3, 1000])
 def test_lattice_score_against_brute_force(spark, hot):
     rows = [(1, "the cat sat on the mat"), (2, "The dog"), (3, None), (4, "the unseen cat"), (5, "")]

@@ -15,6 +15,8 @@ import numpy as np
 from tranchery.llm.text import mix
 
 MARK = 0x2581
+#: units over this length are worked on one by one
+LONG = 64
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -82,6 +84,12 @@ class Vocabulary:
         self.pieces = pieces
         self.ids = np.append(np.array(piece_ids, np.int32), -1)
         self.text_of = dict(zip(piece_ids, pieces, strict=True))
+        raw = [sp.id_to_piece(i).encode() for i in ids]
+        for b, i in enumerate(self.byte_ids):
+            if i >= 0:
+                raw[i] = bytes([b])
+        #: the bytes of all ids, one after the other, and where those of an id begin (one more than ids)
+        self.id_bytes = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
         self.longest = max(map(len, pieces))
         # marks only at the start of pieces: a mark after another character is a sure boundary
         self.mark_cuts = all("▁" not in p.lstrip("▁") for p in pieces)
@@ -141,8 +149,10 @@ class Lattice:
         self.single = np.where(self.pid[1] >= 0, vocab.logp[self.pid[1]], width * vocab.byte_logp)
         self.node = start + np.arange(len(start))
         self.forward = np.zeros(n + len(start))
-        for length in np.unique(size):
+        for length in np.unique(size[size <= LONG]):
             self._group(int(length), np.flatnonzero(size == length))
+        for u in np.flatnonzero(size > LONG).tolist():
+            self._alone(u)
 
     def _group(self, length: int, who: np.ndarray) -> None:
         at, node = self.start[who], self.node[who]
@@ -159,6 +169,23 @@ class Lattice:
         for j in range(length + 1):
             self.forward[node + j] = alpha[j]
 
+    def _alone(self, unit: int) -> None:
+        """The same recursion for one long unit, in time linear in its length."""
+        a, n = int(self.start[unit]), int(self.size[unit])
+        size, begin = np.nonzero(self.pid[2:, a : a + n] >= 0)
+        order = np.argsort(begin + size, kind="stable")
+        size, begin = size[order] + 2, begin[order]
+        logp = self.vocab.logp[self.pid[size, a + begin]].tolist()
+        first = np.searchsorted(begin + size, np.arange(n + 2)).tolist()
+        begin, single = begin.tolist(), self.single[a : a + n].tolist()
+        alpha = [0.0]
+        for j in range(1, n + 1):
+            every = [alpha[-1] + single[j - 1], *(alpha[begin[i]] + logp[i] for i in range(first[j], first[j + 1]))]
+            top = max(every)
+            alpha.append(top + math.log(sum(math.exp(x - top) for x in every)) if len(every) > 1 else top)
+        at = int(self.node[unit])
+        self.forward[at : at + n + 1] = alpha
+
     def totals(self) -> np.ndarray:
         return self.forward[self.node + self.size]
 

@@ -2,8 +2,7 @@
 
 The text, with a mark in front and marks for spaces, is a lattice of pieces.  It falls apart into units at places that
 no piece can cross (before a mark that follows another character, and around characters that occur in no longer
-piece); a unit over ``LONGEST`` characters is cut there, and pieces do not cross that cut.  The probability of a
-segmentation is its share of the lattice's total.
+piece), however long they are.  The probability of a segmentation is its share of the lattice's total.
 
 Perturbed A* search: a region is a set of segmentations (units before unit i fixed, some segmentations of unit i
 excluded, the rest free) with its exact log mass, and its priority is the maximum of the Gumbel-perturbed log
@@ -15,7 +14,8 @@ the inclusion score 1 - exp(-exp(phi - kappa)).  All variates are hashes of (see
 row gives the same samples whatever the partitioning.
 
 Decoding joins pieces and bytes and takes the marks back: ``decode`` of any sample is the text itself (a text that
-itself contains the mark character U+2581 decodes with spaces there, as SentencePiece does).
+itself contains the mark character U+2581 decodes with spaces there, as SentencePiece does).  Each sample is decoded;
+``round_trip`` says whether that gives the text again (null for a null text).
 
 Defined cases: a null or empty text has one segmentation, the empty one; a text with fewer than k segmentations
 emits all it has, with inclusion score 1; rows with equal keys and texts get equal samples; other columns pass unread.
@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 from tranchery.llm.lattice import MARK, Lattice, Vocabulary, rolling, slices, vocabulary
 from tranchery.llm.text import mix, pieces_of
 
-LONGEST = 60
 _LEAST_MASS = 1e-12
 
 
@@ -62,7 +61,8 @@ def uniform(key: int, tag: int) -> float:
 
 def _tag(which: int, purpose: int, step: int = 0) -> int:
     """A number for each use of a variate: sample, purpose (0 free, 1 branch, 2 rest, 3 rest of a branch, 4 root), step."""
-    return ((which * 5 + purpose) << 8) + step + 1
+    use = which * 5 + purpose
+    return (use << 8) + step + 1 if step < 255 else (use << 40) + (1 << 39) + step
 
 
 def truncated_gumbel(u, mass, top):
@@ -81,28 +81,27 @@ def cut_units(vocab: Vocabulary, codes: np.ndarray, text_start: np.ndarray) -> n
     alone = ~vocab.joined[codes]
     start |= alone
     start[1:] |= alone[:-1]
-    at = np.flatnonzero(start)
-    size = np.diff(np.append(at, len(codes)))
-    over = np.flatnonzero(size > LONGEST)
-    if len(over):
-        more = [np.arange(at[i] + LONGEST, at[i] + size[i], LONGEST) for i in over]
-        at = np.sort(np.concatenate([at, *more]))
-    return at
+    return np.flatnonzero(start)
 
 
 class Sampler:
     """The lattices of a chunk of texts and their sampled segmentations.
 
-    A unit's segmentation is a 64-bit mask of the places (1-based) where pieces end."""
+    A unit's segmentation is a mask of the places (1-based) where pieces end, in as many 64-bit words as it takes."""
 
     def __init__(self, vocab: Vocabulary, texts: list[str], keys: np.ndarray):
         self.vocab, self.keys = vocab, keys
         marked = ["▁" + t.replace(" ", "▁") for t in texts]
+        #: a mark in the text itself is decoded as a space
+        self.has_mark = ["▁" in t for t in texts]
         self.codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
         sizes = np.array([len(t) for t in marked])
         self.text_start = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
         self.at = cut_units(vocab, self.codes, self.text_start)
         self.size = np.diff(np.append(self.at, len(self.codes)))
+        self.n_words = (self.size >> 6) + 1
+        #: places of the words of a unit's mask, one more than units
+        self.word = np.concatenate([[0], np.cumsum(self.n_words)]).astype(np.int64)
         h = slices(rolling(self.codes), self.at, self.size)
         _, first, self.kind = np.unique(h, return_index=True, return_inverse=True)
         # distinct units, one after the other
@@ -122,15 +121,22 @@ class Sampler:
         x = self.lattice
         return np.where(k == 1, x.single[begin], self.vocab.logp[x.pid[k, begin]])
 
+    def words_of(self, units: np.ndarray) -> np.ndarray:
+        """Places of the mask words of these units, one unit after the other."""
+        n = self.n_words[units]
+        return np.repeat(self.word[units] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
     def sample(self, which: int, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Masks and log probabilities of free samples of the units ``who``."""
+        """Masks (words, one unit after the other) and log probabilities of free samples of the units ``who``."""
         x, kind = self.lattice, self.kind[who]
-        mask, logp = np.zeros(len(who), np.uint64), -x.totals()[kind]
+        n = self.n_words[who]
+        word = np.cumsum(n) - n
+        mask, logp = np.zeros(int(n.sum()), np.uint64), -x.totals()[kind]
         end = x.size[kind].copy()
         live, step = np.arange(len(who)), 0
         key = self.unit_key[who]
         while len(live):
-            mask[live] |= np.uint64(1) << end[live].astype(np.uint64)
+            mask[word[live] + (end[live] >> 6)] |= np.uint64(1) << (end[live] & 63).astype(np.uint64)
             node = x.node[kind[live]] + end[live]
             u = uniforms(key[live], _tag(which, 0, step))
             k = np.minimum((self.cdf[node] < u[:, None]).sum(1) + 1, end[live])
@@ -140,21 +146,24 @@ class Sampler:
             step += 1
         return mask, logp
 
-    def sample_other(self, which: int, unit: int, excluded: list[tuple[int, float]]) -> tuple[int, float]:
-        """One segmentation of a unit that is not among the excluded (mask, log probability): exact, by walking back
+    def ends_of(self, mask: np.ndarray) -> list[int]:
+        """The places where the pieces of one unit end, last first, with 0 behind them."""
+        return [*np.flatnonzero(np.unpackbits(mask.astype("<u8").view(np.uint8), bitorder="little"))[::-1].tolist(), 0]
+
+    def sample_other(self, which: int, unit: int, excluded: list[tuple[list[int], float]]) -> tuple[np.ndarray, float]:
+        """One segmentation of a unit that is not among the excluded (ends, log probability): exact, by walking back
         with each step's probability less that of the excluded segmentations which agree so far."""
         x, kind = self.lattice, int(self.kind[unit])
-        end, mask, logp, agree = int(x.size[kind]), 0, 0.0, list(excluded)
+        end, ends, logp, agree = int(x.size[kind]), [], 0.0, list(excluded)
         step, key = 0, int(self.unit_key[unit])
         while end:
-            mask |= 1 << end
+            ends.append(end)
             row = x.arc_probabilities(kind, end)
             p = list(row)
             by_length: dict[int, list] = {}
+            # those that agree so far have taken as many steps
             for m, lp in agree:
-                below = m & ((1 << end) - 1)
-                k = end - (below.bit_length() - 1 if below else 0)
-                by_length.setdefault(k, []).append((m, lp))
+                by_length.setdefault(end - m[step + 1], []).append((m, lp))
             for k, ones in by_length.items():
                 p[k - 1] = max(p[k - 1] - sum(math.exp(lp - logp) for _, lp in ones), 0.0)
             sums = list(accumulate(p))
@@ -163,6 +172,8 @@ class Sampler:
             agree = by_length.get(k, [])
             end -= k
             step += 1
+        mask, ends = np.zeros(int(self.n_words[unit]), np.uint64), np.array(ends)
+        np.bitwise_or.at(mask, ends >> 6, np.uint64(1) << (ends & 63).astype(np.uint64))
         return mask, logp
 
     def top_k(self, k: int):
@@ -181,16 +192,17 @@ class Sampler:
             # only the units behind a branch are drawn anew
             from_unit = np.array([len(every) if b is None else b[2] + (b[1] is not None) for b in branch])
             who = every if not which else np.flatnonzero(every >= from_unit[self.text_of])
-            mask = np.zeros(len(every), np.uint64)
+            mask = np.zeros(int(self.word[-1]), np.uint64)
             logp = np.zeros(len(every))
-            mask[who], logp[who] = self.sample(which, who)
+            mask[self.words_of(who)], logp[who] = self.sample(which, who)
             for d in open_:
                 _, leaf, unit, excluded = branch[d]
                 a = self.unit_first[d]
                 if leaf is not None:
                     old_mask, old_logp = leaves[d][leaf][0], leaves[d][leaf][3]
-                    mask[a:unit], logp[a:unit] = old_mask[: unit - a], old_logp[: unit - a]
-                    mask[unit], logp[unit] = self.sample_other(which, unit, excluded)
+                    w, v = self.word[a], self.word[unit]
+                    mask[w:v], logp[a:unit] = old_mask[: v - w], old_logp[: unit - a]
+                    mask[v : self.word[unit + 1]], logp[unit] = self.sample_other(which, unit, excluded)
             # masses of what is left of each popped region, unit by unit
             before = np.cumsum(logp) - logp
             before -= before[self.unit_first[self.text_of]]
@@ -203,10 +215,10 @@ class Sampler:
             for d in open_:
                 g, leaf, unit, excluded = branch[d]
                 a, b = self.unit_first[d], self.unit_after[d]
-                leaves[d].append((mask[a:b].copy(), float(logp[a:b].sum()), g, logp[a:b].copy()))
+                leaves[d].append((mask[self.word[a] : self.word[b]].copy(), float(logp[a:b].sum()), g, logp[a:b].copy()))
                 mine, me = queues[d], len(leaves[d]) - 1
                 if excluded:
-                    out = [*excluded, (int(mask[unit]), float(logp[unit]))]
+                    out = [*excluded, (self.ends_of(mask[self.word[unit] : self.word[unit + 1]]), float(logp[unit]))]
                     left = 1.0 - sum(np.exp(lp) for _, lp in out)
                     if left > _LEAST_MASS:
                         u = uniform(int(self.unit_key[unit]), _tag(which, 3))
@@ -220,11 +232,14 @@ class Sampler:
                 for i in pick.tolist():
                     if np.isfinite(some[i]):
                         t = int(first + i)
-                        mine.append((float(some[i]), me, t, [(int(mask[t]), float(logp[t]))]))
+                        mine.append((float(some[i]), me, t, [(mask[self.word[t] : self.word[t + 1]], float(logp[t]))]))
                 mine.sort(key=lambda r: -r[0])
                 del mine[need:]
                 kappa[d] = mine[0][0] if mine else -np.inf
                 branch[d] = mine.pop(0) if mine and which + 1 < k else None
+                if branch[d] is not None:
+                    # masks become lists of ends for the few regions that are sampled again
+                    branch[d] = (*branch[d][:3], [(self.ends_of(m) if isinstance(m, np.ndarray) else m, lp) for m, lp in branch[d][3]])
         return leaves, kappa
 
     def ids(self, unit: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +248,9 @@ class Sampler:
         after = np.cumsum(size)
         which = np.repeat(np.arange(len(unit)), size)
         inside = np.arange(len(which)) - np.repeat(after - size, size)
-        ends = np.flatnonzero((mask[which] >> (inside + 1).astype(np.uint64)) & np.uint64(1))
+        n = self.n_words[unit]
+        word = (np.cumsum(n) - n)[which] + ((inside + 1) >> 6)
+        ends = np.flatnonzero((mask[word] >> ((inside + 1) & 63).astype(np.uint64)) & np.uint64(1))
         starts = np.concatenate([[0], ends[:-1] + 1])
         place = begin[which[starts]] + inside[starts]
         out = self.vocab.ids[self.lattice.pid[ends - starts + 1, place]]
@@ -254,6 +271,13 @@ class Sampler:
 
     def samples(self, k: int):
         """(text, sample number, token ids, log probability, perturbed value, inclusion score) of each sample."""
+        return (x[:6] for x in self.decoded(k))
+
+    def decoded(self, k: int):
+        """The same with whether the sample decodes to its text."""
+        raw = np.frombuffer(self.codes.tobytes().decode("utf-32-le").encode(), np.uint8)
+        byte_end = np.concatenate([[0], np.cumsum(utf8_width(self.codes))])
+        text_byte = byte_end[np.append(self.text_start, len(self.codes))]
         leaves, kappa = self.top_k(k)
         for s in range(k):
             some = [d for d in range(len(leaves)) if len(leaves[d]) > s]
@@ -262,16 +286,27 @@ class Sampler:
             unit = np.concatenate([np.arange(self.unit_first[d], self.unit_after[d]) for d in some])
             out, number = self.ids(unit, np.concatenate([leaves[d][s][0] for d in some]))
             ends = np.cumsum(np.bincount(self.text_of[unit], number, len(leaves)).astype(np.int64))
+            back, token_byte = decode_bytes(self.vocab, out)
             for d in some:
                 _, phi, g, _ = leaves[d][s]
                 q = -math.expm1(-math.exp(min(phi - kappa[d], 700.0))) if np.isfinite(kappa[d]) else 1.0
-                yield d, s + 1, out[ends[d - 1] if d else 0 : ends[d]], phi, g, q
+                first = ends[d - 1] if d else 0
+                same = np.array_equal(back[token_byte[first] : token_byte[ends[d]]], raw[text_byte[d] : text_byte[d + 1]])
+                yield d, s + 1, out[first : ends[d]], phi, g, q, same and not self.has_mark[d]
 
 
 def utf8_width(codes: np.ndarray) -> np.ndarray:
     return np.where(codes < 0x80, 1, np.where(codes < 0x800, 2, np.where(codes < 0x10000, 3, 4)))
 
 
+def decode_bytes(vocab: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of token ids, marks still in them, and where each id's bytes begin (one more than ids)."""
+    flat, at = vocab.id_bytes
+    size = (at[1:] - at[:-1])[ids]
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    return flat[np.repeat(at[ids] - ends[:-1], size) + np.arange(ends[-1])], ends
+
+
 def decode(vocab: Vocabulary, ids) -> str:
     """The text of token ids: pieces and bytes joined, marks as spaces, without the one in front."""
     byte_of = {int(i): b for b, i in enumerate(vocab.byte_ids) if i >= 0}
@@ -285,33 +320,34 @@ def row_keys(keys: list, seed: int) -> np.ndarray:
 
 def sample_segmentations(docs: DataFrame, model_file: str, k: int = 4, seed: int = 0, doc_id: str = "doc_id", text: str = "text", ids: bool = True, chunk: int = 1 << 20) -> DataFrame:
     """One row per document and sample: id, sample (1 is the largest perturbed value), n_pieces, log_prob, perturbed,
-    inclusion, and the token ids (``ids``), or their SHA-256 as little-endian 32-bit integers (``ids_sha256``).  Texts
+    inclusion, round_trip (the sample decodes to the text), and the token ids (``ids``), or their SHA-256 as little-endian 32-bit integers (``ids_sha256``).  Texts
     are worked on in slices of about ``chunk`` bytes, which bounds memory (a longer text is a slice of its own)."""
     id_type = docs.schema[doc_id].dataType.simpleString()
-    kinds = {"sample": pa.int32(), "n_pieces": pa.int64(), "log_prob": pa.float64(), "perturbed": pa.float64(), "inclusion": pa.float64()}
+    kinds = {"sample": pa.int32(), "n_pieces": pa.int64(), "log_prob": pa.float64(), "perturbed": pa.float64(), "inclusion": pa.float64(), "round_trip": pa.bool_()}
 
     def run(batches):
         vocab = vocabulary(model_file)
         for whole in batches:
             for batch in pieces_of(whole, "text", chunk):
                 keys = batch.column("doc_id").to_pylist()
-                texts = [t or "" for t in batch.column("text").to_pylist()]
+                given = batch.column("text").to_pylist()
+                texts = [t or "" for t in given]
                 full = [i for i, t in enumerate(texts) if t]
                 rows: dict[str, list] = {c: [] for c in ("row", *kinds, "out")}
 
-                def add(i, s, seq, phi, g, q, rows=rows):
+                def add(i, s, seq, phi, g, q, same, rows=rows):
                     rows["row"].append(i)
-                    for c, v in zip(kinds, (s, len(seq), phi, g, q), strict=True):
+                    for c, v in zip(kinds, (s, len(seq), phi, g, q, same), strict=True):
                         rows[c].append(v)
                     rows["out"].append(seq if ids else hashlib.sha256(seq.astype("<i4").tobytes()).hexdigest())
 
                 if full:
                     seeds = row_keys([keys[i] for i in full], seed)
-                    for d, s, seq, phi, g, q in Sampler(vocab, [texts[i] for i in full], seeds).samples(k):
-                        add(full[d], s, seq, phi, g, q)
+                    for d, s, seq, phi, g, q, same in Sampler(vocab, [texts[i] for i in full], seeds).decoded(k):
+                        add(full[d], s, seq, phi, g, q, same)
                 for i, t in enumerate(texts):
                     if not t:
-                        add(i, 1, np.zeros(0, np.int32), 0.0, 0.0, 1.0)
+                        add(i, 1, np.zeros(0, np.int32), 0.0, 0.0, 1.0, None if given[i] is None else True)
                 take = pa.array(rows["row"], pa.int64())
                 if ids:
                     ends = np.concatenate([[0], np.cumsum([len(x) for x in rows["out"]])]).astype(np.int32)
@@ -321,5 +357,5 @@ def sample_segmentations(docs: DataFrame, model_file: str, k: int = 4, seed: int
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), *(pa.array(rows[c], t) for c, t in kinds.items()), last], ["doc_id", *kinds, "out"])
 
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    done = given.mapInArrow(run, f"doc_id {id_type}, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, out {'array<int>' if ids else 'string'}")
+    done = given.mapInArrow(run, f"doc_id {id_type}, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, round_trip boolean, out {'array<int>' if ids else 'string'}")
     return done.withColumnsRenamed({"doc_id": doc_id, "out": "ids" if ids else "ids_sha256"})
