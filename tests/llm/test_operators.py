@@ -93,6 +93,18 @@ def test_jaccard_join_is_exact(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
 
 
+def test_keep_one_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, "x"), (1, a, "y"), (2, a, "z"), (5, b, "p"), (None, b, "q"), (None, c, "r"), (None, c + " end", "s"), (1, c + " other " + b, "t"), (8, None, "u"), (8, None, "v"), (None, "", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    for some in (docs, docs.repartition(3), docs.withColumn("_kept_row", F.lit(1))):
+        kept = jaccard_join.keep_one(some)
+        assert kept.columns == some.columns
+        got = sorted(r["tag"] for r in kept.collect())
+        assert len(got) == 7 and len({"x", "y"} & set(got)) == 1 and len({"r", "s"} & set(got)) == 1
+        assert {"p", "t", "u", "v", "w"} <= set(got)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(20)] + [(40, 41)], "x long, y long")
     assert {tuple(r) for r in components.components(links).collect()} == {(i, 0) for i in range(21)} | {(40, 40), (41, 40)}

@@ -272,7 +272,15 @@ def classes(docs: DataFrame, words: int = 5, threshold: int = 80, orders: int =
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each component: that of the least id."""
-    found = classes(docs, doc_id=doc_id, text=text, **options)
-    first = found.where(F.col(doc_id).isNull() | (F.col(doc_id) == F.col("component_id"))).select(doc_id).distinct()
-    return docs.join(first.withColumnRenamed(doc_id, "_first"), docs[doc_id].eqNullSafe(F.col("_first")), "left_semi")
+    """One row of each component: that of the least id, nulls last, ties by the text's hash; of rows with equal ids and
+    texts any one.  Rows are told apart by a key of their own, so repeated and null ids are no exception.  Each row
+    without words is a component."""
+    row = "_kept_row"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = classes(rows, doc_id=row, text=text, **options).select(F.col(row).alias("r"), F.col("component_id").alias("c"))
+    ids = rows.select(F.col(row).alias("own"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"))
+    best = found.join(ids, found["r"] == ids["own"]).groupBy("c").agg(F.min(F.struct(F.col("id").isNull(), "id", "h", "r")).alias("m"))
+    first = best.select(F.col("m.r").alias("r"))
+    return rows.join(first, rows[row] == first["r"], "left_semi").drop(row)
