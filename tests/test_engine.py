@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tranchery.operators import changelog, layers, metrics, profile, quality
+from tranchery.plans import quality_queries
 from tranchery.plans.check_sql import END
 from tranchery.plans.scratch import scratch
 from tranchery.sources import fixtures, tables
@@ -126,6 +127,15 @@ def test_watermark_drops_only_what_is_two_batches_late(spark):
     assert first["cnt"] == 1  # both late rows came after the window had been closed
 
 
+def test_row_conservation_sees_lost_facts(spark, monkeypatch):
+    whole = quality_queries._facts
+    row = lambda: quality_queries._build("dq_row_conservation", spark, SF).first()
+    assert row()["passed"]
+    monkeypatch.setattr(quality_queries, "_facts", lambda *x: whole(*x).where(F.crc32("loan_id") % 5 != 0))
+    lost = row()
+    assert not lost["passed"] and lost["actual"] < lost["expected"] == fixtures.loan_raw(spark, SF).count()
+
+
 def test_two_runs_append_versions(spark):
     out = scratch(spark, "versions")
     write = st.merge_totals(out)

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from tranchery.functions import loan as L
 
 
+def conserved_counts(raw: DataFrame, facts: DataFrame, rejects: DataFrame) -> DataFrame:
+    """One row with the row counts n_raw, n_facts and n_rejects, each of its own table; they agree when no row is lost."""
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    return one(raw, "n_raw").crossJoin(one(facts, "n_facts")).crossJoin(one(rejects, "n_rejects"))
+
+
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("cnt")).where("cnt > 1")
 

@@ -36,8 +36,9 @@ def _build(name, spark, sf_dir):
     facts, level, table = _facts(spark, sf_dir), *_CHECKS[name][:2]
     row = lambda df, actual, expected=None: quality.check_row(df, name, level, table, actual, expected)
     if name == "dq_row_conservation":
-        graded = layers.application_facts(loan_raw(spark, sf_dir))
-        return row(graded, F.count_if(C("dq_level") != "REJECT") + F.count_if(C("dq_level") == "REJECT"), F.count("*"))
+        raw = loan_raw(spark, sf_dir)
+        rejects = layers.split_rejects(layers.application_facts(raw))[1]
+        return row(quality.conserved_counts(raw, facts, rejects), F.first("n_facts") + F.first("n_rejects"), F.first("n_raw"))
     if name == "dq_pk_unique":
         return row(quality.duplicates(facts, ["loan_id"]), F.count("*"))
     if name == "dq_agg_consistency":
