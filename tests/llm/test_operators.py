@@ -85,14 +85,31 @@ def brute_components(rows, n=5, threshold=80):
     return {i: (len(sets[i]), label[i]) for i in sets}
 
 
-def test_jaccard_join_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "SLICE", 700)  # several slices and blocks
-    monkeypatch.setattr(jaccard_join, "BLOCK", 200)
-    rows = near_texts()
-    got = jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+@pytest.mark.parametrize("few", [1_000_000, 5])
+@pytest.mark.parametrize("frequent", [0, 40])
+def test_jaccard_join_is_exact(spark, monkeypatch, few, frequent):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 200)  # several ranges
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard_join, "NOTED", 3)
+    rows = near_texts(seed=frequent + 3)
+    got = jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
 
 
+def test_jaccard_join_reads_the_texts_three_times(spark, monkeypatch):
+    """The number of passes does not grow with the tables."""
+    passes = []
+    monkeypatch.setattr(jaccard_join, "BLOCK", 500)
+    frame = type(spark.range(0))
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **k: passes.append(self.columns) or plain(self, *a, **k))
+    for n in (60, 300):
+        passes.clear()
+        jaccard_join.classes(spark.createDataFrame(near_texts(n), "doc_id long, text string")).count()
+        assert sum("text" in c and "own" not in c for c in passes) == 3
+
+
 def test_keep_one_by_row(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     rows = [(1, a, "x"), (1, a, "y"), (2, a, "z"), (5, b, "p"), (None, b, "q"), (None, c, "r"), (None, c + " end", "s"), (1, c + " other " + b, "t"), (8, None, "u"), (8, None, "v"), (None, "", "w")]

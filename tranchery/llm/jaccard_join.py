@@ -1,28 +1,31 @@
 """N-gram Jaccard join with multiple-global-order prefix filters.
 
 A document's tokens are its distinct word shingles (64-bit hashes; two documents link when the Jaccard similarity of
-their sets reaches ``threshold`` percent).  Equal sets are one set from the start.
-
-1. *Document frequency.*  All tokens of all sets are counted, slice by slice of the token space (each slice shuffles
-   its share and is released before the next, so the disk holds a part only): tasks pack (token, set) postings into
-   binary blocks by token range; a block group, whose size is bounded by the number of ranges, returns the postings of
-   tokens that at least two sets have.  Tokens of one set alone can be shared with nobody.
-2. *Prefixes under several global orders.*  Under any one order of all tokens, two sets that link share a token among
-   the first |x| - ceil(t |x|) + 1 of each.  In every order the tokens of one set alone come first; they fill the
-   prefix without being emitted, and most sets have no shared token left in it and are done here.  Order 0 goes on by
-   document frequency (passages that many documents share come last), order k by hash k.
-3. *Groups of near copies* have long posting lists.  Instead of all pairs of a list, each list names its centre, the
-   member with the least share of tokens of its own, and each set takes the best centre of its lists as its hub.  The
-   pair of a set and its hub, one per set, is checked: it links them, and it gives the set's common tokens with the hub
-   as a bit map.
-4. *The rest, exactly.*  Pairs in one list of order 0 but not yet in one component are candidates when their sizes
-   allow the overlap and, for sets of one hub, when their bit maps do: common tokens inside the hub are the common
-   bits, those outside are at most the shared tokens that either has outside.  Candidates must then share prefix tokens
-   under the other orders as well before verification counts the common tokens.
+their sets reaches ``threshold`` percent).  Equal sets are one set from the start.  The texts are read three times,
+whatever their size.
+
+1. *Digests.*  Every set gets a 128-bit digest.  Tokens that many sets of one slice of text have are noted; the
+   ``FREQUENT`` most frequent ones, a table of fixed size, are broadcast.
+2. *Document frequency.*  Of the other tokens those with an even hash ("counted" tokens, half of all) are counted: tasks
+   pack (token, set) postings into binary blocks by token range, and each range returns the postings of tokens that two
+   sets or more have.  As the frequent tokens are out, no token has more postings than a fixed part of all.
+3. *Prefixes under several global orders.*  Under any one order of all tokens, two sets that link share a token among
+   the first |x| - ceil(t |x|) + 1 of each.  In every order the counted tokens of one set alone come first; they fill
+   the prefix without being emitted, and most sets are done here.  Order 0 goes on with the other counted tokens by
+   document frequency, then the uncounted ones by hash, and the frequent ones come last; order k goes on by hash k.
+   Only sets with room left in the prefix have their texts fetched and their prefixes worked out.
+4. *Groups of near copies* have long posting lists.  Instead of all pairs of a list, each list names its centre, the
+   member with the least share of tokens of its own, and each set takes the best centre of its lists as its hub.
+   Where the prefixes of a set and its hub also meet under all other orders, their tokens are compared: that links
+   them, and it gives the set's common tokens with the hub as a bit map.
+5. *The rest, exactly.*  Pairs in one list of order 0 but not yet in one component are candidates when their sizes
+   allow the overlap and, for sets of one hub, when their bit maps do.  The candidates' prefixes must meet under the
+   other orders as well; only then do tokens move, and verification counts the common ones.
 
 Defined cases: null or wordless texts have no tokens and link with nothing; a text of fewer words than a shingle is
-one token, its whole sequence; repeated ids: each row is reported, with the least id of its component; null ids are
-reported with a null component unless linked; an empty table gives an empty result; other columns are not read.
+one token, its whole sequence; very long texts are a slice of their own; ties in frequency go by hash; repeated ids:
+each row is reported, with the least id of its component; null ids are reported with a null component unless linked; an
+empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,13 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tranchery.llm.components import components
-from tranchery.llm.shared import release, staged
+from tranchery.llm.shared import discard, staged
 from tranchery.llm.text import Words, mix, pieces_of, shingles
 
 ORDERS = 3
-#: Postings in one block group, on average, and in one slice of the token space
+#: Postings in one range of tokens, on average
 BLOCK = 1_000_000
-SLICE = 40_000_000
+#: Frequent tokens that are broadcast, and the sets of a slice that must have a token for it to be noted
+FREQUENT, NOTED = 100_000, 32
+#: Digests of candidate sets that are broadcast; beyond that they are joined by a shuffle
+FEW = 1_000_000
+_SLICE = 4 << 20
 _COLLIDES = "two different token sets have one 64-bit digest; another seed is needed"
 
 
@@ -56,67 +63,114 @@ def _sets(batch: pa.RecordBatch, words: int, seed: int):
     return bounds, token, mix(a + n.astype(np.uint64)), mix(b ^ n.astype(np.uint64))
 
 
+def _new(sid: np.ndarray, n: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which rows bring a set that is not empty and that this task has not seen; ``seen`` holds a task's sets only."""
+    out = np.zeros(len(sid), bool)
+    for r, s in enumerate(sid.tolist()):
+        if s not in seen and n[r]:
+            seen.add(s)
+            out[r] = True
+    return out
+
+
+def _edges(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.append(np.flatnonzero(np.append(True, x[1:] != x[:-1])), len(x)) if len(x) else np.zeros(1, np.int64)
+
+
+def _within(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether each of x is in ``known``, which is sorted."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+def _dealt(part: np.ndarray, *columns: np.ndarray):
+    """Parts that occur and, for each of them, the bytes of its share of the columns."""
+    order = np.argsort(part, kind="stable")
+    at = _edges(part[order])
+    cut = [[x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)] for x in (c[order] for c in columns)]
+    return part[order][at[:-1]], *[pa.array(c, pa.binary()) for c in cut]
+
+
 def digests(docs: DataFrame, words: int, doc_id: str, text: str, seed: int = 0) -> DataFrame:
-    """(doc_id, n, sid, check): the size and the 128-bit digest (two halves) of each document's token set."""
+    """(doc_id, n, sid, check, noted): the size and the 128-bit digest (two halves) of each document's token set.
+    Where ``noted``, sid is a token instead, and n the number of sets of one slice that have it."""
+    kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
+        seen: set[int] = set()
         for whole in batches:
-            for batch in pieces_of(whole, "text"):
-                bounds, _, a, b = _sets(batch, words, seed)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["doc_id", "n", "sid", "check"])
+            for batch in pieces_of(whole, "text", _SLICE):
+                bounds, token, a, b = _sets(batch, words, seed)
+                n = np.diff(bounds)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.zeros(len(n), bool))], ["doc_id", "n", "sid", "check", "noted"])
+                many = np.sort(token[np.repeat(_new(a, n, seen), n)])
+                at = _edges(many)
+                times = np.diff(at)
+                often = np.flatnonzero(times >= NOTED)
+                no_id = pa.nulls(len(often), batch.schema.field("doc_id").type)
+                yield pa.RecordBatch.from_arrays([no_id, pa.array(times[often], pa.int64()), pa.array(many[at[:-1][often]].view(np.int64)), pa.array(np.zeros(len(often), np.int64)), pa.array(np.ones(len(often), bool))], ["doc_id", "n", "sid", "check", "noted"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, sid long, check long")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, sid long, check long, noted boolean")
+
+
+def frequent_tokens(noted: DataFrame) -> np.ndarray:
+    """At most ``FREQUENT`` tokens, the most frequent of those noted, sorted."""
+    top = noted.groupBy("sid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sid").limit(FREQUENT)
+    return np.sort(top.select("sid").toArrow().column("sid").to_numpy().view(np.uint64))
 
 
-def shared_postings(docs: DataFrame, words: int, text: str, seed: int, ranges: int, slice_no: int, slices: int, back: int) -> DataFrame:
-    """Blocks (part, sids, tokens, counts) of the postings whose token two sets or more have, dealt by set."""
+def _counted(token: np.ndarray) -> np.ndarray:
+    return token & np.uint64(1) == 0
+
+
+def shared_postings(docs: DataFrame, words: int, text: str, seed: int, frequent, ranges: int, back: int) -> DataFrame:
+    """Blocks dealt by set (``back`` parts): the sets (sids; counts: size and number of counted tokens of each), and the
+    postings (sids, tokens, counts) of counted tokens that two sets or more have."""
 
     def pack(batches):
-        seen: set[int] = set()  # sets this task has packed already; at most its number of documents
+        seen: set[int] = set()
         for whole in batches:
-            for batch in pieces_of(whole, "text", 2 << 20):
+            for batch in pieces_of(whole, "text", _SLICE):
                 bounds, token, sid, _ = _sets(batch, words, seed)
-                fresh = np.zeros(len(sid), bool)
-                for r, s in enumerate(sid.tolist()):
-                    if s not in seen:
-                        seen.add(s)
-                        fresh[r] = True
-                owner = np.repeat(sid, np.diff(bounds))
-                keep = np.repeat(fresh, np.diff(bounds))
-                if slices > 1:
-                    keep &= (token >> np.uint64(20)) % np.uint64(slices) == slice_no
-                token, owner = token[keep], owner[keep]
-                part = ((token >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
-                order = np.argsort(part, kind="stable")
-                token, owner, part = token[order], owner[order], part[order]
-                at = np.searchsorted(part, np.arange(ranges + 1))
-                some = [p for p in range(ranges) if at[p] < at[p + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([token[at[p] : at[p + 1]].tobytes() for p in some], pa.binary()), pa.array([owner[at[p] : at[p + 1]].tobytes() for p in some], pa.binary())], ["part", "tokens", "sids"])
+                n = np.diff(bounds)
+                new = _new(sid, n, seen)
+                sent = _counted(token) & np.repeat(new, n)
+                sent[sent] = ~_within(frequent.value, token[sent])
+                before = np.append(0, np.cumsum(sent))
+                counts = np.stack([n, before[bounds[1:]] - before[bounds[:-1]]], 1).astype(np.uint32)[new]
+                part, sids, counts = _dealt((mix(sid[new]) % np.uint64(back)).astype(np.int64), sid[new], counts)
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - part), sids, pa.nulls(len(part), pa.binary()), counts], ["part", "sids", "tokens", "counts"])
+                owner, token = np.repeat(sid, n)[sent], token[sent]
+                part, tokens, sids = _dealt(((token >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64), token, owner)
+                yield pa.RecordBatch.from_arrays([pa.array(part), sids, tokens, pa.nulls(len(part), pa.binary())], ["part", "sids", "tokens", "counts"])
 
     def count(group: pa.Table) -> pa.Table:
+        if group.column("part")[0].as_py() < 0:  # sets, on their way to their part
+            return group.set_column(0, "part", pa.array(-1 - group.column("part").to_numpy()))
         token = np.frombuffer(b"".join(group.column("tokens").to_pylist()), np.uint64)
         sid = np.frombuffer(b"".join(group.column("sids").to_pylist()), np.uint64)
+        order = np.argsort(token, kind="stable")
+        token, sid = token[order], sid[order]
+        alike = np.zeros(len(token), bool)  # has a neighbour with the same token
+        alike[1:] = token[1:] == token[:-1]
+        alike[:-1] |= alike[1:].copy()
+        token, sid = token[alike], sid[alike]
         order = np.lexsort((sid, token))
         token, sid = token[order], sid[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])  # a set that several tasks packed counts once
         token, sid = token[new], sid[new]
-        edge = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
-        df = np.diff(np.append(edge, len(token)))
+        df = np.diff(_edges(token))
         df = np.repeat(df, df)
         many = df > 1
-        token, sid, df = token[many], sid[many], df[many]
-        to = (mix(sid) % np.uint64(back)).astype(np.int32)
-        order = np.argsort(to, kind="stable")
-        token, sid, df, to = token[order], sid[order], df[order], to[order]
-        at = np.searchsorted(to, np.arange(back + 1))
-        some = [p for p in range(back) if at[p] < at[p + 1]]
-        cut = lambda x, kind: pa.array([x[at[p] : at[p + 1]].astype(kind).tobytes() for p in some], pa.binary())
-        return pa.table([pa.array(some, pa.int32()), cut(sid, np.uint64), cut(token, np.uint64), cut(df, np.uint32)], ["part", "sids", "tokens", "counts"])
+        token, sid, df = token[many], sid[many], df[many].astype(np.uint32)
+        part, sids, tokens, counts = _dealt((mix(sid) % np.uint64(back)).astype(np.int64), sid, token, df)
+        return pa.table([pa.array(part), sids, tokens, counts], ["part", "sids", "tokens", "counts"])
 
-    packed = docs.select(F.col(text).alias("text")).mapInArrow(pack, "part int, tokens binary, sids binary")
-    return packed.groupBy("part").applyInArrow(count, "part int, sids binary, tokens binary, counts binary")
+    shape = "part long, sids binary, tokens binary, counts binary"
+    return docs.select(F.col(text).alias("text")).mapInArrow(pack, shape).groupBy("part").applyInArrow(count, shape)
 
 
 def prefix_length(n, threshold: int):
@@ -128,35 +182,73 @@ def _hash(k: int, token: np.ndarray) -> np.ndarray:
     return mix(token * np.uint64(2 * k + 1) + np.uint64(0xA5A5 + k))
 
 
-def prefixes(postings: DataFrame, sizes: DataFrame, threshold: int, orders: int) -> DataFrame:
-    """(sid, n, shared, tokens, head, heads): for each set with a shared token in its prefixes, the number of its shared
-    tokens, these (sorted), and the shared tokens of the prefix in order 0 and in each other order."""
+def open_sets(postings: DataFrame, threshold: int) -> DataFrame:
+    """(sid, n, own, tokens, counts): the sets whose counted tokens of their own do not fill the prefix, the number of
+    these, and the other counted tokens (sorted) with their document frequencies."""
 
     def gather(group: pa.Table) -> pa.Table:
-        join = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind)
-        sid, token, df = join("sids", np.uint64), join("tokens", np.uint64), join("counts", np.uint32)
+        sets = group.filter(group.column("tokens").is_null())
+        lists = group.filter(group.column("tokens").is_valid())
+        join = lambda t, c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
+        every, first = np.unique(join(sets, "sids", np.uint64), return_index=True)
+        n, counted = join(sets, "counts", np.uint32).reshape(-1, 2)[first].astype(np.int64).T
+        sid, token, df = join(lists, "sids", np.uint64), join(lists, "tokens", np.uint64), join(lists, "counts", np.uint32)
         order = np.lexsort((token, sid))
         sid, token, df = sid[order], token[order], df[order]
-        edge = np.flatnonzero(np.append(True, sid[1:] != sid[:-1])) if len(sid) else np.zeros(0, np.int64)
-        ends = np.append(edge, len(sid))
-        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-        return pa.table([pa.array(sid[edge].view(np.int64)), cut(token), cut(df)], ["sid", "tokens", "counts"])
+        a, b = np.searchsorted(sid, every), np.searchsorted(sid, every, "right")
+        own = counted - (b - a)
+        some = np.flatnonzero(own < prefix_length(n, threshold)).tolist()
+        cut = lambda x: pa.array([x[a[i] : b[i]].tobytes() for i in some], pa.binary())
+        return pa.table([pa.array(every[some].view(np.int64)), pa.array(n[some]), pa.array(own[some]), cut(token), cut(df)], ["sid", "n", "own", "tokens", "counts"])
 
-    def heads(batches):
-        for batch in batches:
-            out = []
-            for sid, n, t, c in zip(*(batch.column(x).to_pylist() for x in ("sid", "n", "tokens", "counts")), strict=True):
-                token, df = np.frombuffer(t, np.uint64), np.frombuffer(c, np.uint32)
-                room = prefix_length(n, threshold) - (n - len(token))  # tokens of this set alone come first
-                if room > 0:
-                    first = token[np.lexsort((_hash(0, token), df))[:room]].view(np.int64).tolist()
-                    out.append((sid, n, len(token), t, first, [token[np.argsort(_hash(k, token), kind="stable")[:room]].tobytes() for k in range(1, orders)]))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["sid", "n", "shared", "tokens", "head", "heads"])
+    return postings.groupBy("part").applyInArrow(gather, "sid long, n long, own long, tokens binary, counts binary")
+
+
+def texts_of(docs: DataFrame, words: int, text: str, seed: int, wanted: DataFrame) -> DataFrame:
+    """(sid, text): a text of each wanted set."""
+    spark = docs.sparkSession
+    few = wanted.limit(FEW + 1).count() <= FEW
+    ids = spark.sparkContext.broadcast(np.sort(wanted.select("sid").toArrow().column("sid").to_numpy()) if few else None)
+
+    def run(batches):
+        seen: set[int] = set()
+        for whole in batches:
+            for batch in pieces_of(whole, "text", _SLICE):
+                bounds, _, sid, _ = _sets(batch, words, seed)
+                new = _new(sid, np.diff(bounds), seen)
+                if ids.value is not None:
+                    new[new] = _within(ids.value, sid[new].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(sid[new].view(np.int64)), batch.column("text").filter(pa.array(new))], ["sid", "text"])
 
-    grouped = postings.groupBy("part").applyInArrow(gather, "sid long, tokens binary, counts binary")
-    return grouped.join(sizes, "sid").select("sid", "n", "tokens", "counts").mapInArrow(heads, "sid long, n long, shared long, tokens binary, head array<bigint>, heads array<binary>")
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "sid long, text string").groupBy("sid").agg(F.first("text").alias("text"))
+
+
+def prefixes(sets: DataFrame, texts: DataFrame, words: int, seed: int, threshold: int, orders: int, frequent) -> DataFrame:
+    """(sid, n, own, tokens, head, heads): for each open set all tokens (sorted), and the tokens of its prefix, without
+    the counted ones of its own, in order 0 and in each other order."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in pieces_of(whole, "text", _SLICE):
+                bounds, every, _, _ = _sets(batch, words, seed)
+                head, heads, tokens = [], [], []
+                given = zip(*(batch.column(c).to_pylist() for c in ("n", "own", "tokens", "counts")), strict=True)
+                for r, (n, own, shared, counts) in enumerate(given):
+                    token = every[bounds[r] : bounds[r + 1]]
+                    shared, counts = _u64(shared), np.frombuffer(counts, np.uint32)
+                    often = _within(frequent.value, token)
+                    place = np.where(often, 1 << 41, 1 << 40)  # by document frequency, then uncounted, then frequent
+                    met = _within(shared, token)
+                    place[met] = counts  # both are sorted by token
+                    rest = np.flatnonzero(met | often | ~_counted(token))
+                    room = prefix_length(n, threshold) - own
+                    order = rest[np.lexsort((_hash(0, token[rest]), place[rest]))[:room]]
+                    head.append(token[order].view(np.int64).tolist())
+                    heads.append([token[rest[np.argsort(_hash(k, token[rest]), kind="stable")[:room]]].view(np.int64).tolist() for k in range(1, orders)])
+                    tokens.append(token.tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("n"), batch.column("own"), pa.array(tokens, pa.binary()), pa.array(head, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.list_(pa.int64())))], ["sid", "n", "own", "tokens", "head", "heads"])
+
+    return sets.join(texts, "sid").select("sid", "n", "own", "tokens", "counts", "text").mapInArrow(run, "sid long, n long, own long, tokens binary, head array<bigint>, heads array<array<bigint>>")
 
 
 def _u64(x: bytes) -> np.ndarray:
@@ -171,26 +263,31 @@ def _sides(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
 
 def hubs(sets: DataFrame) -> DataFrame:
     """(x, y): each set and its hub, the best centre of its posting lists (least share of own tokens, then hash)."""
-    rank = F.struct((1 - F.col("shared") / F.col("n")).alias("own"), F.xxhash64("sid").alias("h"), "sid")
+    rank = F.struct((F.col("own") / F.col("n")).alias("own"), F.xxhash64("sid").alias("h"), "sid")
     lists = sets.select("sid", rank.alias("r"), F.explode("head").alias("token"))
     # aggregates only: no list is ever gathered
     centres = lists.groupBy("token").agg(F.min("r").alias("r"), F.count("*").alias("members")).where("members > 1").select("token", "r")
     return lists.select("sid", "token").join(centres, "token").groupBy("sid").agg(F.min("r").alias("r")).select(F.col("sid").alias("x"), F.col("r.sid").alias("y"))
 
 
+def meeting(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose prefixes share a token under every order but order 0."""
+    met = F.zip_with("heads_x", "heads_y", F.arrays_overlap)
+    return _sides(pairs, sets, ["heads"]).where(F.forall(met, lambda ok: ok)).select("x", "y")
+
+
 def compared(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(x, y, linked, outside, bits): a set and its hub; the set's shared tokens outside the hub, and a bit map (64 per
-    word) of the hub's tokens that the set has."""
+    """(x, y, linked, outside, bits): a set and its hub; the set's tokens outside the hub, and a bit map (64 per word)
+    of the hub's tokens that the set has."""
 
     def run(batches):
         for batch in batches:
             out = []
             for x, y, na, nb, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n_x", "n_y", "tokens_x", "tokens_y")), strict=True):
-                a, b = _u64(ta), _u64(tb)
-                has = np.isin(b, a, assume_unique=True)
+                has = _within(_u64(ta), _u64(tb))
                 both = int(has.sum())
                 bits = np.packbits(np.append(has, np.zeros(-len(has) % 64, bool)), bitorder="little").view(np.int64)
-                out.append((x, y, x != y and 100 * both >= threshold * (na + nb - both), len(a) - both, bits.tolist()))
+                out.append((x, y, x != y and 100 * both >= threshold * (na + nb - both), na - both, bits.tolist()))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["x", "y", "linked", "outside", "bits"])
@@ -198,11 +295,11 @@ def compared(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return _sides(pairs, sets, ["n", "tokens"]).mapInArrow(run, "x long, y long, linked boolean, outside long, bits array<bigint>")
 
 
-def candidates_left(sets: DataFrame, labels: DataFrame, by_hub: DataFrame, threshold: int) -> DataFrame:
-    """(x, y): the pairs of different components in one posting list whose sizes and bit maps allow a link."""
-    known = sets.join(labels, sets["sid"] == labels["v"], "left").join(by_hub.select(F.col("x").alias("sid"), F.col("y").alias("hub"), "outside", "bits"), "sid")
-    known = staged(known.select("sid", "n", F.coalesce("c", "sid").alias("c"), "head", "hub", "outside", "bits"), "labelled")
-    lists = known.select("sid", "n", "c", "hub", "outside", "bits", F.explode("head").alias("token"))
+def candidates_left(sets: DataFrame, labels: DataFrame, by_hub: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(x, y): the pairs of different components in one posting list whose sizes and bit maps allow a link; and the
+    staged lists they are made of."""
+    known = sets.select("sid", "n", "head").join(labels.select(F.col("v").alias("sid"), "c"), "sid", "left").join(by_hub.select(F.col("x").alias("sid"), F.col("y").alias("hub"), "outside", "bits"), "sid", "left")
+    lists = known.select("sid", "n", F.coalesce("c", "sid").alias("c"), "hub", "outside", "bits", F.explode("head").alias("token"))
     # lists of one component have nothing left
     mixed = lists.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
     left = staged(lists.join(mixed, "token"), "lists-left")
@@ -213,24 +310,18 @@ def candidates_left(sets: DataFrame, labels: DataFrame, by_hub: DataFrame, thres
     ok = (F.col("a.token") == F.col("b.token")) & (F.col("a.c") != F.col("b.c")) & (F.col("a.sid") < F.col("b.sid"))
     ok &= fits(F.least("a.n", "b.n"))
     ok &= F.when(F.col("a.hub") == F.col("b.hub"), fits(inside + F.least("a.outside", "b.outside"))).otherwise(F.lit(True))
-    return a.join(b, ok).select(F.col("a.sid").alias("x"), F.col("b.sid").alias("y")).distinct()
+    return a.join(b, ok).select(F.col("a.sid").alias("x"), F.col("b.sid").alias("y")).distinct(), left
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs that share a prefix token under every other order and reach the threshold."""
+    """The pairs that reach the threshold."""
 
     def run(batches):
         for batch in batches:
-            x, y = [], []
-            for a, b, na, nb, ta, tb, ha, hb in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n_x", "n_y", "tokens_x", "tokens_y", "heads_x", "heads_y")), strict=True):
-                if all(np.isin(_u64(p), _u64(q), assume_unique=True).any() for p, q in zip(ha, hb, strict=True)):
-                    both = np.intersect1d(_u64(ta), _u64(tb), assume_unique=True).size
-                    if 100 * both >= threshold * (na + nb - both):
-                        x.append(a)
-                        y.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
+            keep = [100 * (both := int(_within(_u64(ta), _u64(tb)).sum())) >= threshold * (na + nb - both) for na, nb, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("n_x", "n_y", "tokens_x", "tokens_y")), strict=True)]
+            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return _sides(pairs, sets, ["n", "tokens", "heads"]).mapInArrow(run, "x long, y long")
+    return _sides(pairs, sets, ["n", "tokens"]).mapInArrow(run, "x long, y long")
 
 
 def classes(docs: DataFrame, words: int = 5, threshold: int = 80, orders: int = ORDERS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,35 +329,37 @@ def classes(docs: DataFrame, words: int = 5, threshold: int = 80, orders: int =
     and the number of verified links its set has (copies and links implied by a component are not counted)."""
     spark = docs.sparkSession
     for seed in range(8):
-        own = staged(digests(docs, words, doc_id, text, seed), "sets")
+        rows = staged(digests(docs, words, doc_id, text, seed), "sets")
+        own = rows.where("not noted").select("doc_id", "n", "sid", "check")
         per_set = own.where("n > 0").groupBy("sid").agg(F.min("check").alias("lo"), F.max("check").alias("hi"), F.max("n").alias("n"), F.min("doc_id").alias("least"))
         per_set = staged(per_set, "distinct-sets")
         if not per_set.where("lo != hi").limit(1).count():
             break
+        discard(rows, per_set)
     else:
         raise RuntimeError(_COLLIDES)
     total = per_set.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    slices = -(-total // SLICE) or 1
-    ranges = -(-total // (slices * BLOCK)) or 1
-    back = -(-total // BLOCK) or 1
-    postings = None
-    for s in range(slices):
-        part = staged(shared_postings(docs, words, text, seed, ranges, s, slices, back), "postings")
-        postings = part if postings is None else postings.unionByName(part)
-        release(spark)
-    sets = staged(prefixes(postings, per_set.select("sid", "n"), threshold, orders), "prefixes")
-    release(spark)
-    by_hub = staged(compared(hubs(sets), sets, threshold), "hubs")
+    frequent = spark.sparkContext.broadcast(frequent_tokens(rows.where("noted")))
+    blocks = -(-total // (2 * BLOCK)) or 1
+    postings = staged(shared_postings(docs, words, text, seed, frequent, blocks, blocks), "postings")
+    open_ = staged(open_sets(postings, threshold), "open-sets")
+    discard(postings)
+    sets = staged(prefixes(open_, texts_of(docs, words, text, seed, open_), words, seed, threshold, orders, frequent), "prefixes")
+    discard(open_)
+    by_hub = staged(compared(meeting(hubs(sets), sets), sets, threshold), "hubs")
     links = by_hub.where("linked").select("x", "y")
     labels = components(links)
-    more = staged(verified(candidates_left(sets, labels, by_hub, threshold), sets, threshold), "other-links")
-    release(spark)
+    pairs, lists = candidates_left(sets, labels, by_hub, threshold)
+    more = staged(verified(meeting(pairs, sets), sets, threshold), "other-links")
     every = links.unionByName(more)
-    labels = components(every) if more.limit(1).count() else labels
+    if more.limit(1).count():
+        discard(labels)
+        labels = components(every)
     number = every.select(F.explode(F.array("x", "y")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_links"))
-    labelled = per_set.join(labels, per_set["sid"] == labels["v"], "left").select("sid", F.coalesce("c", "sid").alias("c"), "least")
-    least = labelled.groupBy("c").agg(F.min("least").alias("component_id"))
-    final = labelled.join(least, "c").join(number, "sid", "left").select("sid", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    linked = labels.select(F.col("v").alias("sid"), "c").join(per_set.select("sid", "least"), "sid")
+    linked = linked.join(linked.groupBy("c").agg(F.min("least").alias("component_id")), "c").join(number, "sid").select("sid", "component_id", "n_links")
+    final = staged(per_set.join(linked, "sid", "left").select("sid", F.coalesce("component_id", "least").alias("component_id"), "n_links"), "classes")
+    discard(sets, by_hub, labels, lists, more, per_set)
     out = own.join(final, (own["sid"] == final["sid"]) & (own["n"] > 0), "left")
     return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tranchery.llm.lattice import log_marginals, vocabulary
-from tranchery.llm.shared import release, staged
+from tranchery.llm.shared import discard, staged
 from tranchery.llm.text import pieces_of
 
 HOT_WORDS = 200_000
@@ -93,7 +93,6 @@ def score(docs: DataFrame, train: Column, model_file: str, text: str = "text", k
     given = docs.select(*[F.col(c).alias(p) for c, p in zip(keep, plain, strict=True)], F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("_train"))
     counts = staged(word_counts(given.where("_train")), "word-counts")
     ends = given.where("_train").count()
-    release(docs.sparkSession)
     n, types, once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1)).first()
     totals = WordScores(n, types, once, ends)
     top = counts.orderBy(F.desc("n"), "word").limit(hot).toArrow()

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tranchery.llm.shared import release, staged
+from tranchery.llm.shared import discard, staged
 
 TAU = 2
 MIN_CHARS = 20
@@ -171,11 +171,9 @@ def near_lines(lines: DataFrame, first: DataFrame, tau: int) -> DataFrame:
     met = probe.join(index.hint("shuffle_hash"), "key").where(~twice & may_be_close(F.col("letters"), F.col("p_letters"), tau))
     one, two = F.struct("h1", "h2"), F.struct(F.col("p1").alias("h1"), F.col("p2").alias("h2"))
     pairs = staged(met.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct(), "line-pairs")
-    release(spark)
     wanted = staged(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct().select("id.h1", "id.h2"), "line-wanted")
     text = only(lines, wanted).groupBy("h1", "h2").agg(F.first("line").alias("line")).join(first, ["h1", "h2"])
     text = staged(text.select(F.struct("h1", "h2").alias("id"), "line", "at"), "line-texts")
-    release(spark)
     x = text.select(F.col("id").alias("x"), F.col("line").alias("a"), F.col("at").alias("at_x"))
     y = text.select(F.col("id").alias("y"), F.col("line").alias("b"), F.col("at").alias("at_y"))
     both = pairs.join(x, "x").join(y, "y")
@@ -204,7 +202,6 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tau: int
     # equal ids are told apart by their texts; rows with equal id and text are one document
     numbered = docs.toDF(*plain).withColumn("_row", F.struct(F.col(id_col).alias("id"), F.xxhash64(body).alias("hash")))
     gone = staged(removed_lines(numbered, "_row", body, tau, min_chars), "line-removed")
-    release(docs.sparkSession)
     joined = numbered.join(gone, "_row", "left")
     lines = F.split(F.col(body), "\n")
     places = F.concat("exact", "near")
