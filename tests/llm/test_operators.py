@@ -107,7 +107,7 @@ def test_jaccard_join_reads_the_texts_three_times(spark, monkeypatch):
     for n in (60, 300):
         passes.clear()
         jaccard_join.classes(spark.createDataFrame(near_texts(n), "doc_id long, text string")).count()
-        assert sum("text" in c and "own" not in c for c in passes) == 3
+        assert sum("text" in c for c in passes) == 4  # once more for the texts of open sets
 
 
 def test_keep_one_by_row(spark):

@@ -25,5 +25,7 @@ def components(links: DataFrame) -> DataFrame:
         discard(labels)
         if not new.where("c != old").limit(1).count():
             discard(both)
-            return new
+            out = new.select("v", "c")
+            out.staged_path = new.staged_path
+            return out
         labels = new

@@ -6,21 +6,23 @@ whatever their size.
 
 1. *Digests.*  Every set gets a 128-bit digest.  Tokens that many sets of one slice of text have are noted; the
    ``FREQUENT`` most frequent ones, a table of fixed size, are broadcast.
-2. *Document frequency.*  Of the other tokens those with an even hash ("counted" tokens, half of all) are counted: tasks
-   pack (token, set) postings into binary blocks by token range, and each range returns the postings of tokens that two
-   sets or more have.  As the frequent tokens are out, no token has more postings than a fixed part of all.
-3. *Prefixes under several global orders.*  Under any one order of all tokens, two sets that link share a token among
-   the first |x| - ceil(t |x|) + 1 of each.  In every order the counted tokens of one set alone come first; they fill
-   the prefix without being emitted, and most sets are done here.  Order 0 goes on with the other counted tokens by
-   document frequency, then the uncounted ones by hash, and the frequent ones come last; order k goes on by hash k.
-   Only sets with room left in the prefix have their texts fetched and their prefixes worked out.
+2. *Open sets.*  Under any one order of all tokens, two sets that link share a token among the first
+   |x| - ceil(t |x|) + 1 of each (the prefix).  Half of the tokens, those with an even hash, are counted: tasks pack
+   (token, set) postings into binary blocks by token range, and each range returns the postings of tokens that two sets
+   or more have.  In an order that begins with counted tokens of one set alone, these fill the prefix of most sets,
+   which then link with nothing; the other sets are open.  Frequent tokens take no part, so no token has more postings
+   than a fixed part of all.
+3. *Prefixes under several global orders.*  The texts of open sets are fetched, and all their tokens are counted in the
+   same way among open sets.  In every order the tokens of one open set alone come first, unemitted; order 0 goes on
+   by document frequency (passages that many documents share come last), order k by hash k.
 4. *Groups of near copies* have long posting lists.  Instead of all pairs of a list, each list names its centre, the
    member with the least share of tokens of its own, and each set takes the best centre of its lists as its hub.
    Where the prefixes of a set and its hub also meet under all other orders, their tokens are compared: that links
    them, and it gives the set's common tokens with the hub as a bit map.
 5. *The rest, exactly.*  Pairs in one list of order 0 but not yet in one component are candidates when their sizes
-   allow the overlap and, for sets of one hub, when their bit maps do.  The candidates' prefixes must meet under the
-   other orders as well; only then do tokens move, and verification counts the common ones.
+   allow the overlap and, for sets of one hub, when their bit maps do: common tokens inside the hub are the common
+   bits, those outside are at most the shared tokens that either has outside.  The candidates' prefixes must meet under
+   the other orders as well; only then do tokens move, and verification counts the common ones.
 
 Defined cases: null or wordless texts have no tokens and link with nothing; a text of fewer words than a shingle is
 one token, its whole sequence; very long texts are a slice of their own; ties in frequency go by hash; repeated ids:
@@ -46,6 +48,8 @@ BLOCK = 1_000_000
 FREQUENT, NOTED = 100_000, 32
 #: Digests of candidate sets that are broadcast; beyond that they are joined by a shuffle
 FEW = 1_000_000
+#: The document frequency that stands for that of a frequent token: behind all others
+LAST = (1 << 32) - 1
 _SLICE = 4 << 20
 _COLLIDES = "two different token sets have one 64-bit digest; another seed is needed"
 
@@ -121,36 +125,43 @@ def frequent_tokens(noted: DataFrame) -> np.ndarray:
     return np.sort(top.select("sid").toArrow().column("sid").to_numpy().view(np.uint64))
 
 
-def _counted(token: np.ndarray) -> np.ndarray:
-    return token & np.uint64(1) == 0
+def shared_postings(docs: DataFrame, words: int, text: str, seed: int, frequent, blocks: int, half: bool) -> DataFrame:
+    """Blocks dealt by set (``blocks`` parts): the sets (sids; counts: size and number of counted tokens of each), and
+    the postings (sids, tokens, counts) of counted tokens that two sets or more have.  Counted are the tokens with an
+    even hash (``half``) or all, but for the frequent ones; with all, the postings of these come as well, ``LAST``."""
 
-
-def shared_postings(docs: DataFrame, words: int, text: str, seed: int, frequent, ranges: int, back: int) -> DataFrame:
-    """Blocks dealt by set (``back`` parts): the sets (sids; counts: size and number of counted tokens of each), and the
-    postings (sids, tokens, counts) of counted tokens that two sets or more have."""
+    def set_part(sid):
+        return (mix(sid) % np.uint64(blocks)).astype(np.int64)
 
     def pack(batches):
         seen: set[int] = set()
+        names = ["part", "sids", "tokens", "counts"]
         for whole in batches:
             for batch in pieces_of(whole, "text", _SLICE):
                 bounds, token, sid, _ = _sets(batch, words, seed)
                 n = np.diff(bounds)
                 new = _new(sid, n, seen)
-                sent = _counted(token) & np.repeat(new, n)
-                sent[sent] = ~_within(frequent.value, token[sent])
+                sent, often = np.repeat(new, n), np.zeros(len(token), bool)
+                if half:
+                    sent &= token & np.uint64(1) == 0
+                often[sent] = _within(frequent.value, token[sent])
+                sent &= ~often
                 before = np.append(0, np.cumsum(sent))
                 counts = np.stack([n, before[bounds[1:]] - before[bounds[:-1]]], 1).astype(np.uint32)[new]
-                part, sids, counts = _dealt((mix(sid[new]) % np.uint64(back)).astype(np.int64), sid[new], counts)
-                yield pa.RecordBatch.from_arrays([pa.array(-1 - part), sids, pa.nulls(len(part), pa.binary()), counts], ["part", "sids", "tokens", "counts"])
-                owner, token = np.repeat(sid, n)[sent], token[sent]
-                part, tokens, sids = _dealt(((token >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64), token, owner)
-                yield pa.RecordBatch.from_arrays([pa.array(part), sids, tokens, pa.nulls(len(part), pa.binary())], ["part", "sids", "tokens", "counts"])
+                part, sids, counts = _dealt(set_part(sid[new]), sid[new], counts)
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - part), sids, pa.nulls(len(part), pa.binary()), counts], names)
+                owner = np.repeat(sid, n)
+                if not half:
+                    part, *cut = _dealt(set_part(owner[often]), owner[often], token[often], np.full(int(often.sum()), LAST, np.uint32))
+                    yield pa.RecordBatch.from_arrays([pa.array(-1 - part), *cut], names)
+                owner, token = owner[sent], token[sent]
+                part, sids, tokens = _dealt(((token >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64), owner, token)
+                yield pa.RecordBatch.from_arrays([pa.array(part), sids, tokens, pa.nulls(len(part), pa.binary())], names)
 
     def count(group: pa.Table) -> pa.Table:
-        if group.column("part")[0].as_py() < 0:  # sets, on their way to their part
+        if group.column("part")[0].as_py() < 0:  # on its way to the set's part
             return group.set_column(0, "part", pa.array(-1 - group.column("part").to_numpy()))
-        token = np.frombuffer(b"".join(group.column("tokens").to_pylist()), np.uint64)
-        sid = np.frombuffer(b"".join(group.column("sids").to_pylist()), np.uint64)
+        token, sid = _joined(group, "tokens"), _joined(group, "sids")
         order = np.argsort(token, kind="stable")
         token, sid = token[order], sid[order]
         alike = np.zeros(len(token), bool)  # has a neighbour with the same token
@@ -166,13 +177,17 @@ def shared_postings(docs: DataFrame, words: int, text: str, seed: int, frequent,
         df = np.repeat(df, df)
         many = df > 1
         token, sid, df = token[many], sid[many], df[many].astype(np.uint32)
-        part, sids, tokens, counts = _dealt((mix(sid) % np.uint64(back)).astype(np.int64), sid, token, df)
-        return pa.table([pa.array(part), sids, tokens, counts], ["part", "sids", "tokens", "counts"])
+        part, *cut = _dealt(set_part(sid), sid, token, df)
+        return pa.table([pa.array(part), *cut], ["part", "sids", "tokens", "counts"])
 
     shape = "part long, sids binary, tokens binary, counts binary"
     return docs.select(F.col(text).alias("text")).mapInArrow(pack, shape).groupBy("part").applyInArrow(count, shape)
 
 
+def _joined(t: pa.Table, column: str, kind=np.uint64) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column(column).to_pylist()), kind)
+
+
 def prefix_length(n, threshold: int):
     """|x| - ceil(t |x|) + 1, in integers."""
     return n - (n * threshold + 99) // 100 + 1
@@ -184,19 +199,19 @@ def _hash(k: int, token: np.ndarray) -> np.ndarray:
 
 def open_sets(postings: DataFrame, threshold: int) -> DataFrame:
     """(sid, n, own, tokens, counts): the sets whose counted tokens of their own do not fill the prefix, the number of
-    these, and the other counted tokens (sorted) with their document frequencies."""
+    these, and the other tokens at hand (sorted) with their document frequencies."""
 
     def gather(group: pa.Table) -> pa.Table:
         sets = group.filter(group.column("tokens").is_null())
         lists = group.filter(group.column("tokens").is_valid())
-        join = lambda t, c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-        every, first = np.unique(join(sets, "sids", np.uint64), return_index=True)
-        n, counted = join(sets, "counts", np.uint32).reshape(-1, 2)[first].astype(np.int64).T
-        sid, token, df = join(lists, "sids", np.uint64), join(lists, "tokens", np.uint64), join(lists, "counts", np.uint32)
+        every, first = np.unique(_joined(sets, "sids"), return_index=True)
+        n, counted = _joined(sets, "counts", np.uint32).reshape(-1, 2)[first].astype(np.int64).T
+        sid, token, df = _joined(lists, "sids"), _joined(lists, "tokens"), _joined(lists, "counts", np.uint32)
         order = np.lexsort((token, sid))
         sid, token, df = sid[order], token[order], df[order]
         a, b = np.searchsorted(sid, every), np.searchsorted(sid, every, "right")
-        own = counted - (b - a)
+        before = np.append(0, np.cumsum(df < LAST))
+        own = counted - (before[b] - before[a])
         some = np.flatnonzero(own < prefix_length(n, threshold)).tolist()
         cut = lambda x: pa.array([x[a[i] : b[i]].tobytes() for i in some], pa.binary())
         return pa.table([pa.array(every[some].view(np.int64)), pa.array(n[some]), pa.array(own[some]), cut(token), cut(df)], ["sid", "n", "own", "tokens", "counts"])
@@ -223,32 +238,20 @@ def texts_of(docs: DataFrame, words: int, text: str, seed: int, wanted: DataFram
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "sid long, text string").groupBy("sid").agg(F.first("text").alias("text"))
 
 
-def prefixes(sets: DataFrame, texts: DataFrame, words: int, seed: int, threshold: int, orders: int, frequent) -> DataFrame:
-    """(sid, n, own, tokens, head, heads): for each open set all tokens (sorted), and the tokens of its prefix, without
-    the counted ones of its own, in order 0 and in each other order."""
+def prefixes(sets: DataFrame, threshold: int, orders: int) -> DataFrame:
+    """(sid, n, own, tokens, head, heads): for each set the tokens it shares (sorted), and those of its prefix in order
+    0 and in each other order."""
 
     def run(batches):
-        for whole in batches:
-            for batch in pieces_of(whole, "text", _SLICE):
-                bounds, every, _, _ = _sets(batch, words, seed)
-                head, heads, tokens = [], [], []
-                given = zip(*(batch.column(c).to_pylist() for c in ("n", "own", "tokens", "counts")), strict=True)
-                for r, (n, own, shared, counts) in enumerate(given):
-                    token = every[bounds[r] : bounds[r + 1]]
-                    shared, counts = _u64(shared), np.frombuffer(counts, np.uint32)
-                    often = _within(frequent.value, token)
-                    place = np.where(often, 1 << 41, 1 << 40)  # by document frequency, then uncounted, then frequent
-                    met = _within(shared, token)
-                    place[met] = counts  # both are sorted by token
-                    rest = np.flatnonzero(met | often | ~_counted(token))
-                    room = prefix_length(n, threshold) - own
-                    order = rest[np.lexsort((_hash(0, token[rest]), place[rest]))[:room]]
-                    head.append(token[order].view(np.int64).tolist())
-                    heads.append([token[rest[np.argsort(_hash(k, token[rest]), kind="stable")[:room]]].view(np.int64).tolist() for k in range(1, orders)])
-                    tokens.append(token.tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("n"), batch.column("own"), pa.array(tokens, pa.binary()), pa.array(head, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.list_(pa.int64())))], ["sid", "n", "own", "tokens", "head", "heads"])
-
-    return sets.join(texts, "sid").select("sid", "n", "own", "tokens", "counts", "text").mapInArrow(run, "sid long, n long, own long, tokens binary, head array<bigint>, heads array<array<bigint>>")
+        for batch in batches:
+            head, heads = [], []
+            for n, own, t, c in zip(*(batch.column(x).to_pylist() for x in ("n", "own", "tokens", "counts")), strict=True):
+                token, room = _u64(t), prefix_length(n, threshold) - own
+                head.append(token[np.lexsort((_hash(0, token), np.frombuffer(c, np.uint32)))[:room]].view(np.int64).tolist())
+                heads.append([token[np.argsort(_hash(k, token), kind="stable")[:room]].view(np.int64).tolist() for k in range(1, orders)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("sid", "n", "own", "tokens")), pa.array(head, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.list_(pa.int64())))], ["sid", "n", "own", "tokens", "head", "heads"])
+
+    return sets.mapInArrow(run, "sid long, n long, own long, tokens binary, head array<bigint>, heads array<array<bigint>>")
 
 
 def _u64(x: bytes) -> np.ndarray:
@@ -277,8 +280,8 @@ def meeting(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(x, y, linked, outside, bits): a set and its hub; the set's tokens outside the hub, and a bit map (64 per word)
-    of the hub's tokens that the set has."""
+    """(x, y, linked, outside, bits): a set and its hub; the set's shared tokens outside the hub, and a bit map (64 per
+    word) of the hub's tokens that the set has."""
 
     def run(batches):
         for batch in batches:
@@ -287,7 +290,7 @@ def compared(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 has = _within(_u64(ta), _u64(tb))
                 both = int(has.sum())
                 bits = np.packbits(np.append(has, np.zeros(-len(has) % 64, bool)), bitorder="little").view(np.int64)
-                out.append((x, y, x != y and 100 * both >= threshold * (na + nb - both), na - both, bits.tolist()))
+                out.append((x, y, x != y and 100 * both >= threshold * (na + nb - both), len(ta) // 8 - both, bits.tolist()))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["x", "y", "linked", "outside", "bits"])
@@ -340,12 +343,14 @@ def classes(docs: DataFrame, words: int = 5, threshold: int = 80, orders: int =
         raise RuntimeError(_COLLIDES)
     total = per_set.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = spark.sparkContext.broadcast(frequent_tokens(rows.where("noted")))
-    blocks = -(-total // (2 * BLOCK)) or 1
-    postings = staged(shared_postings(docs, words, text, seed, frequent, blocks, blocks), "postings")
-    open_ = staged(open_sets(postings, threshold), "open-sets")
-    discard(postings)
-    sets = staged(prefixes(open_, texts_of(docs, words, text, seed, open_), words, seed, threshold, orders, frequent), "prefixes")
-    discard(open_)
+    first = staged(shared_postings(docs, words, text, seed, frequent, -(-total // (2 * BLOCK)) or 1, True), "postings")
+    open_ = staged(open_sets(first, threshold), "open-sets")
+    discard(first)
+    texts = staged(texts_of(docs, words, text, seed, open_), "open-texts")
+    total = open_.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    second = staged(shared_postings(texts, words, "text", seed, frequent, -(-total // BLOCK) or 1, False), "open-postings")
+    sets = staged(prefixes(open_sets(second, threshold), threshold, orders), "prefixes")
+    discard(open_, texts, second)
     by_hub = staged(compared(meeting(hubs(sets), sets), sets, threshold), "hubs")
     links = by_hub.where("linked").select("x", "y")
     labels = components(links)
