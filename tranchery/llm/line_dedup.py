@@ -8,15 +8,17 @@ then line number), or when a line within ``tau`` edits of it has its first place
 2. Each line is cut into ``tau + 1`` segments of even length.  At most ``tau`` edits leave one segment
    whole, so every partner at most as long as a line has a segment that occurs in the line near its own place:
    the line probes, for each partner length within ``tau``, the substrings whose start agrees with the edits that
-   the left and the right side can hold.  Index and probes are
-   made distinct (equal lines give equal rows) and meet by (length, segment number, substring) hashes.
-3. Pairs whose letter counts allow ``tau`` edits are verified by a bit-parallel edit distance over the diagonals of
+   the left and the right side can hold.  Index entries (a line's own segments) and probes are rows of one table,
+   dealt by a hash of (length, segment number, substring) and made distinct; an index entry is also the probe of its
+   own place.  Each row carries a bit map of the line's words, which bounds the edits of a pair where it meets.
+3. The pairs that are left are verified by a bit-parallel edit distance over the diagonals of
    the band: bit d of a state word stands for diagonal d - tau, and one word per error count advances all of them.
 4. Removed places go back to their documents, whose remaining lines are joined again.
 
-Defined cases: null ids sort first; a null text stays null; empty and short lines stay; rows with equal id and text
-count as one document (all keep the same lines), rows with equal id and other text are ordered by a text hash; an
-empty table stays empty; other columns pass unread.
+Defined cases: null ids sort first; a null text stays null; empty and short lines stay, even where they repeat; rows
+with equal id and text count as one document (all keep the same lines), rows with equal id and other text are ordered
+by a text hash; very long lines and texts are no exception; an empty table stays empty; other columns pass unread, even
+if their names clash with those in here.
 """
 
 from __future__ import annotations
@@ -31,39 +33,40 @@ MIN_CHARS = 20
 #: Lines that are probed once instead of at every place, and ids that are broadcast: both bounds are fixed
 FREQUENT, FEW = 10_000, 500_000
 _SPACE = " \t\n\x0b\f\r"
-_LETTERS = "eanitrosh ldcuw"
 
 
-def index_parts(tau: int) -> Column:
-    """What a line puts into the index: (gap 0, segment, shift 0)."""
-    return F.array(*[_part(0, k, 0) for k in range(tau + 1)])
+def probes(tau: int) -> list[tuple[int, int, int]]:
+    """(gap, segment, shift): for each partner length (the line's own less ``gap``) and segment, the shifts that the
+    edits before the segment (at most its number) and behind it (at most tau less its number) allow."""
+    return [(gap, k, shift) for gap in range(tau + 1) for k in range(tau + 1) for shift in range(max(-k, gap - (tau - k)), min(k, gap + (tau - k)) + 1)]
 
 
-def probe_parts(tau: int) -> Column:
-    """What a line looks up: for each partner length (its own less ``gap``) and segment, the shifts that the edits
-    before the segment (at most its number) and behind it (at most tau less its number) allow."""
-    return F.array(*[_part(gap, k, shift) for gap in range(tau + 1) for k in range(tau + 1) for shift in range(max(-k, gap - (tau - k)), min(k, gap + (tau - k)) + 1)])
+def keyed(lines: DataFrame, tau: int) -> DataFrame:
+    """(key, h1, words, own) for the lines (line, h1): hashes of (length, segment, substring), the bit map of the line's
+    words, and whether the row is an index entry.  The rows of a line are built in one array before they are dealt out,
+    so that generated code works its columns out once; substrings are cut from UTF-32, where places are offsets."""
+    ready = lines.select("h1", F.char_length("line").alias("n"), F.encode("line", "UTF-32").alias("body"), word_bits(F.col("line")).alias("words"))
+    n, entries = F.col("n"), []
+    for gap, k, shift in probes(tau):
+        of = n - gap
+        base = F.call_function("div", of, F.lit(tau + 1)).cast("int")
+        short = F.lit(tau + 1) - (of - base * (tau + 1))  # so many first segments are one shorter
+        at = base * k + F.greatest(F.lit(0), F.lit(k) - short) + shift
+        size = base + F.when(F.lit(k) >= short, 1).otherwise(0)
+        key = F.when((at >= 0) & (at + size <= n), F.xxhash64(of, F.lit(k), F.substring("body", at * 4 + 1, size * 4)))
+        entries.append(F.struct(key.alias("key"), "h1", "words", F.lit(gap == 0 and shift == 0).alias("own")))
+    return ready.select(F.inline(F.array(*entries))).where("key is not null")
 
 
-def _part(gap: int, k: int, shift: int) -> Column:
-    return F.struct(F.lit(gap).alias("gap"), F.lit(k).alias("k"), F.lit(shift).alias("shift"))
+def word_bits(line: Column) -> Column:
+    """A 64-bit map of the words between blanks."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(w).bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda bits, w: bits.bitwiseOR(bit(w)))
 
 
-def keyed(lines: DataFrame, parts: Column, tau: int) -> DataFrame:
-    """(key, h1, h2, letters), distinct and dealt by key, for the lines (line, h1, h2): hashes of (length, segment,
-    substring), and the letter counts that :func:`may_be_close` compares."""
-    counted = lines.select("h1", "h2", "line", F.char_length("line").alias("n"), letters(F.col("line")).alias("letters"))
-    # a generator that refers to the columns has them worked out once per line; else generated code does so per row
-    all_known = (F.col("letters") != -1) & (F.col("h1") != 0) & (F.col("h2") != 0) & (F.col("n") > 0) & (F.col("line") != "")
-    each = counted.select("*", F.explode(F.when(all_known, parts).otherwise(F.reverse(parts))).alias("p")).select("h1", "h2", "letters", "line", "n", "p.*")
-    sized = each.withColumn("of", F.col("n") - F.col("gap"))
-    base = F.expr(f"of div {tau + 1}").cast("int")
-    short = F.lit(tau + 1) - (F.col("of") - F.col("base") * (tau + 1))  # so many first segments are one shorter
-    placed = sized.withColumn("base", base).withColumn("short", short)
-    placed = placed.withColumn("at", F.col("base") * F.col("k") + F.greatest(F.lit(0), F.col("k") - F.col("short")) + F.col("shift")).withColumn("size", F.col("base") + F.when(F.col("k") >= F.col("short"), 1).otherwise(0))
-    inside = placed.where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n")))
-    rows = inside.select(F.xxhash64("of", "k", F.substring("line", F.col("at") + 1, F.col("size"))).alias("key"), "h1", "h2", "letters")
-    return rows.repartition("key").distinct()  # one exchange serves both the distinct rows and the join
+def may_be_close(a: Column, b: Column, tau: int) -> Column:
+    """A bound that the word bits of every pair within ``tau`` pass: an edit takes away or adds three words at most."""
+    return F.bit_count(a.bitwiseXOR(b)) <= 3 * tau
 
 
 def within(a: Column, b: Column, tau: int) -> Column:
@@ -115,83 +118,64 @@ def _advance(state: Column, match: Column, tau: int, full: int) -> list[Column]:
     return out
 
 
-def letters(line: Column) -> Column:
-    """The counts of fifteen letters and the length, each modulo 16, in one 64-bit number."""
-    out = F.char_length(line).cast("long").bitwiseAND(F.lit(15))
-    for i, c in enumerate(_LETTERS, 1):
-        count = F.char_length(line) - F.char_length(F.replace(line, F.lit(c), F.lit("")))
-        out = out.bitwiseOR(F.shiftleft(count.cast("long").bitwiseAND(F.lit(15)), 4 * i))
-    return out
-
-
-def may_be_close(a: Column, b: Column, tau: int) -> Column:
-    """A bound that the ``letters`` of every pair within ``tau`` pass: one edit changes two counts by one at most, and
-    counts apart by d modulo 16 are at least min(d, 16 - d) apart."""
-    apart = F.lit(0)
-    for i in range(1, len(_LETTERS) + 1):
-        d = F.abs(_digit(a, i) - _digit(b, i))
-        apart = apart + F.least(d, F.lit(16) - d)
-    return apart <= 2 * tau
-
-
-def _digit(x: Column, i: int) -> Column:
-    return F.shiftrightunsigned(x, 4 * i).bitwiseAND(F.lit(15)).cast("int")
-
-
 def lines_of(docs: DataFrame, row: str, text: str, min_chars: int) -> DataFrame:
-    """(row, place, line, h1, h2) of the lines that take part; h1 and h2 are the halves of a line's 128-bit hash."""
+    """(here, line, h1, h2) of the lines that take part: place (row and line number, which sorts), the line and the
+    halves of its 128-bit hash."""
     at = docs.select(F.col(row).alias("row"), F.posexplode(F.split(F.col(text), "\n")).alias("place", "raw"))
-    lines = at.select("row", "place", F.btrim("raw", F.lit(_SPACE)).alias("line")).where(F.char_length("line") >= min_chars)
-    return lines.select("row", "place", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    lines = at.select(F.struct("row", "place").alias("here"), F.btrim("raw", F.lit(_SPACE)).alias("line")).where(F.char_length("line") >= min_chars)
+    return lines.select("here", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def once_if_frequent(lines: DataFrame, first: DataFrame) -> DataFrame:
-    """``lines`` with each of the most frequent ones (at most ``FREQUENT``, a broadcast of fixed size) once instead of
-    at all its places, so that a line in a third of all rows makes no hot keys."""
-    often = F.broadcast(first.where("n >= 50").orderBy(F.desc("n"), "h1", "h2").limit(FREQUENT).select("h1", "h2"))
-    return lines.join(often, ["h1", "h2"], "left_anti").unionByName(lines.join(often, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line")))
+    """``lines`` with each of the most frequent ones (at most ``FREQUENT``, a broadcast of fixed size) at its first place
+    only, so that a line in a third of all rows makes no hot keys."""
+    often = first.where("n >= 50").orderBy(F.desc("n"), "h1", "h2").limit(FREQUENT).select("h1", "h2", "at")
+    return lines.join(F.broadcast(often), ["h1", "h2"], "left").where("at is null or at = here")
 
 
 def only(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The lines with a wanted id: by a broadcast of the ids up to ``FEW`` of them, beyond that by a shuffle."""
+    """The lines with a wanted h1: by a broadcast of these up to ``FEW`` of them, beyond that by a shuffle."""
     few = wanted.limit(FEW + 1).count() <= FEW
-    return lines.join(F.broadcast(wanted) if few else wanted, ["h1", "h2"], "left_semi")
+    return lines.join(F.broadcast(wanted) if few else wanted, "h1", "left_semi")
 
 
 def near_lines(lines: DataFrame, first: DataFrame, tau: int) -> DataFrame:
-    """Ids (h1, h2) of the distinct lines that have a line within ``tau`` edits and an earlier first place.
-
-    ``lines``: h1, h2, line; ``first``: h1, h2, at (the first place, which sorts), n.  Text is shuffled for candidates only."""
-    spark = lines.sparkSession
-    each = once_if_frequent(lines, first)
-    index, probe = keyed(each, index_parts(tau), tau), keyed(each, probe_parts(tau), tau)
-    probe = probe.withColumnsRenamed({"h1": "p1", "h2": "p2", "letters": "p_letters"})
-    # lines of equal length probe each other: one of both directions is enough
-    twice = (_digit(F.col("letters"), 0) == _digit(F.col("p_letters"), 0)) & (F.struct("h1", "h2") >= F.struct(F.col("p1").alias("h1"), F.col("p2").alias("h2")))
-    met = probe.join(index.hint("shuffle_hash"), "key").where(~twice & may_be_close(F.col("letters"), F.col("p_letters"), tau))
-    one, two = F.struct("h1", "h2"), F.struct(F.col("p1").alias("h1"), F.col("p2").alias("h2"))
-    pairs = staged(met.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct(), "line-pairs")
-    wanted = staged(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct().select("id.h1", "id.h2"), "line-wanted")
+    """Ids (h1, h2) of the distinct lines that have a line within ``tau`` edits and an earlier first place, staged.
+
+    ``lines``: here, h1, h2, line; ``first``: h1, h2, at (the first place, which sorts), n.  Text is shuffled for
+    candidates only.  Pairs meet by h1 alone; where two lines share it, both are verified."""
+    rows = keyed(once_if_frequent(lines, first), tau).repartition("key").distinct()  # one exchange serves both sides
+    a, b = rows.alias("a"), rows.where("own").alias("b").hint("shuffle_hash")
+    # two index entries probe each other: one of both directions is enough
+    ok = (F.col("a.key") == F.col("b.key")) & (F.col("a.h1") != F.col("b.h1")) & (~F.col("a.own") | (F.col("a.h1") < F.col("b.h1")))
+    met = a.join(b, ok & may_be_close(F.col("a.words"), F.col("b.words"), tau))
+    pairs = met.select(F.least("a.h1", "b.h1").alias("x"), F.greatest("a.h1", "b.h1").alias("y")).distinct()
+    pairs = staged(pairs, "line-pairs")
+    wanted = staged(pairs.select(F.explode(F.array("x", "y")).alias("h1")).distinct(), "line-wanted")
     text = only(lines, wanted).groupBy("h1", "h2").agg(F.first("line").alias("line")).join(first, ["h1", "h2"])
-    text = staged(text.select(F.struct("h1", "h2").alias("id"), "line", "at"), "line-texts")
-    x = text.select(F.col("id").alias("x"), F.col("line").alias("a"), F.col("at").alias("at_x"))
-    y = text.select(F.col("id").alias("y"), F.col("line").alias("b"), F.col("at").alias("at_y"))
-    both = pairs.join(x, "x").join(y, "y")
-    linked = both.where(within(F.col("a"), F.col("b"), tau))
-    return linked.select(F.when(F.col("at_x") < F.col("at_y"), F.col("y")).otherwise(F.col("x")).alias("id")).distinct().select("id.h1", "id.h2")
+    text = staged(text.select("h1", "h2", "line", "at"), "line-texts")
+    side = lambda v: text.select(F.col("h1").alias(v), F.struct("at", "line", "h1", "h2").alias(f"of_{v}"))
+    linked = pairs.join(side("x"), "x").join(side("y"), "y").where(within(F.col("of_x.line"), F.col("of_y.line"), tau))
+    later = F.when(F.col("of_x.at") < F.col("of_y.at"), F.col("of_y")).otherwise(F.col("of_x"))
+    near = staged(linked.select(later.alias("id")).select("id.h1", "id.h2").distinct(), "line-near")
+    discard(pairs, wanted, text)
+    return near
 
 
 def removed_lines(docs: DataFrame, row: str, text: str, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Per row of ``docs`` with removed lines: row, exact and near (arrays of 0-based line numbers).  ``row`` sorts: the least is the earliest."""
+    """Per row of ``docs`` with removed lines, staged: row, exact and near (arrays of 0-based line numbers).  ``row`` sorts: the least is the earliest."""
     lines = lines_of(docs, row, text, min_chars)
-    places = staged(lines.select("h1", "h2", F.struct("row", "place").alias("here")), "line-places")
+    places = staged(lines.select("h1", "h2", "here"), "line-places")
     first = staged(places.groupBy("h1", "h2").agg(F.min("here").alias("at"), F.count("*").alias("n")), "line-firsts")
-    near = near_lines(lines.select("h1", "h2", "line"), first, tau).withColumn("near", F.lit(True))
-    known = first.drop("n").join(near, ["h1", "h2"], "left")
+    near = near_lines(lines, first, tau)
+    known = first.drop("n").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
     # of a line that stays, the first place stays; of a near line no place does
     gone = places.join(known, ["h1", "h2"]).where("near or here != at")
     gone = gone.select(F.col("here.row").alias(row), F.col("here.place").alias("place"), F.coalesce("near", F.lit(False)).alias("near"))
-    return gone.groupBy(row).agg(F.collect_list(F.when(~F.col("near"), F.col("place"))).alias("exact"), F.collect_list(F.when(F.col("near"), F.col("place"))).alias("near"))
+    gone = gone.groupBy(row).agg(F.collect_list(F.when(~F.col("near"), F.col("place"))).alias("exact"), F.collect_list(F.when(F.col("near"), F.col("place"))).alias("near"))
+    gone = staged(gone, "line-removed")
+    discard(places, first, near)
+    return gone
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -201,7 +185,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tau: int
     id_col, body = plain[columns.index(doc_id)], plain[columns.index(text)]
     # equal ids are told apart by their texts; rows with equal id and text are one document
     numbered = docs.toDF(*plain).withColumn("_row", F.struct(F.col(id_col).alias("id"), F.xxhash64(body).alias("hash")))
-    gone = staged(removed_lines(numbered, "_row", body, tau, min_chars), "line-removed")
+    gone = removed_lines(numbered, "_row", body, tau, min_chars)
     joined = numbered.join(gone, "_row", "left")
     lines = F.split(F.col(body), "\n")
     places = F.concat("exact", "near")
