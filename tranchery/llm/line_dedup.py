@@ -10,8 +10,9 @@ then line number), or when a line within ``tau`` edits of it has its first place
    the line probes, for each partner length within ``tau``, the substrings whose start agrees with the edits that
    the left and the right side can hold.  Index entries (a line's own segments) and probes are rows of one table,
    dealt by a hash of (length, segment number, substring) and made distinct; an index entry is also the probe of its
-   own place.  Each row carries a bit map of the line's words, which bounds the edits of a pair where it meets.
-3. The pairs that are left are verified by a bit-parallel edit distance over the diagonals of
+   own place.  Keys at which two lines meet, one of them by an index entry, are live.
+3. Only lines with live keys have their texts fetched and letters counted.  Pairs at a live key whose letter counts
+   allow ``tau`` edits are verified by a bit-parallel edit distance over the diagonals of
    the band: bit d of a state word stands for diagonal d - tau, and one word per error count advances all of them.
 4. Removed places go back to their documents, whose remaining lines are joined again.
 
@@ -33,6 +34,7 @@ MIN_CHARS = 20
 #: Lines that are probed once instead of at every place, and ids that are broadcast: both bounds are fixed
 FREQUENT, FEW = 10_000, 500_000
 _SPACE = " \t\n\x0b\f\r"
+_LETTERS = "eanitrosh ldcuw"
 
 
 def probes(tau: int) -> list[tuple[int, int, int]]:
@@ -42,10 +44,10 @@ def probes(tau: int) -> list[tuple[int, int, int]]:
 
 
 def keyed(lines: DataFrame, tau: int) -> DataFrame:
-    """(key, h1, words, own) for the lines (line, h1): hashes of (length, segment, substring), the bit map of the line's
-    words, and whether the row is an index entry.  The rows of a line are built in one array before they are dealt out,
-    so that generated code works its columns out once; substrings are cut from UTF-32, where places are offsets."""
-    ready = lines.select("h1", F.char_length("line").alias("n"), F.encode("line", "UTF-32").alias("body"), word_bits(F.col("line")).alias("words"))
+    """(key, h1, own) for the lines (line, h1): hashes of (length, segment, substring), and whether the row is an index
+    entry.  The rows of a line are built in one array before they are dealt out, so that generated code works its
+    columns out once; substrings are cut from UTF-32, where places are offsets."""
+    ready = lines.select("h1", F.char_length("line").alias("n"), F.encode("line", "UTF-32").alias("body"))
     n, entries = F.col("n"), []
     for gap, k, shift in probes(tau):
         of = n - gap
@@ -54,19 +56,31 @@ def keyed(lines: DataFrame, tau: int) -> DataFrame:
         at = base * k + F.greatest(F.lit(0), F.lit(k) - short) + shift
         size = base + F.when(F.lit(k) >= short, 1).otherwise(0)
         key = F.when((at >= 0) & (at + size <= n), F.xxhash64(of, F.lit(k), F.substring("body", at * 4 + 1, size * 4)))
-        entries.append(F.struct(key.alias("key"), "h1", "words", F.lit(gap == 0 and shift == 0).alias("own")))
+        entries.append(F.struct(key.alias("key"), "h1", F.lit(gap == 0 and shift == 0).alias("own")))
     return ready.select(F.inline(F.array(*entries))).where("key is not null")
 
 
-def word_bits(line: Column) -> Column:
-    """A 64-bit map of the words between blanks."""
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(w).bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda bits, w: bits.bitwiseOR(bit(w)))
+def letters(line: Column) -> Column:
+    """The counts of fifteen letters and the length, each modulo 16, in one 64-bit number."""
+    out = F.char_length(line).cast("long").bitwiseAND(F.lit(15))
+    for i, c in enumerate(_LETTERS, 1):
+        count = F.char_length(line) - F.char_length(F.replace(line, F.lit(c), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft(count.cast("long").bitwiseAND(F.lit(15)), 4 * i))
+    return out
 
 
 def may_be_close(a: Column, b: Column, tau: int) -> Column:
-    """A bound that the word bits of every pair within ``tau`` pass: an edit takes away or adds three words at most."""
-    return F.bit_count(a.bitwiseXOR(b)) <= 3 * tau
+    """A bound that the ``letters`` of every pair within ``tau`` pass: one edit changes two counts by one at most, and
+    counts apart by d modulo 16 are at least min(d, 16 - d) apart."""
+    apart = F.lit(0)
+    for i in range(1, len(_LETTERS) + 1):
+        d = F.abs(_digit(a, i) - _digit(b, i))
+        apart = apart + F.least(d, F.lit(16) - d)
+    return apart <= 2 * tau
+
+
+def _digit(x: Column, i: int) -> Column:
+    return F.shiftrightunsigned(x, 4 * i).bitwiseAND(F.lit(15)).cast("int")
 
 
 def within(a: Column, b: Column, tau: int) -> Column:
@@ -142,23 +156,26 @@ def only(lines: DataFrame, wanted: DataFrame) -> DataFrame:
 def near_lines(lines: DataFrame, first: DataFrame, tau: int) -> DataFrame:
     """Ids (h1, h2) of the distinct lines that have a line within ``tau`` edits and an earlier first place, staged.
 
-    ``lines``: here, h1, h2, line; ``first``: h1, h2, at (the first place, which sorts), n.  Text is shuffled for
-    candidates only.  Pairs meet by h1 alone; where two lines share it, both are verified."""
-    rows = keyed(once_if_frequent(lines, first), tau).repartition("key").distinct()  # one exchange serves both sides
-    a, b = rows.alias("a"), rows.where("own").alias("b").hint("shuffle_hash")
-    # two index entries probe each other: one of both directions is enough
-    ok = (F.col("a.key") == F.col("b.key")) & (F.col("a.h1") != F.col("b.h1")) & (~F.col("a.own") | (F.col("a.h1") < F.col("b.h1")))
-    met = a.join(b, ok & may_be_close(F.col("a.words"), F.col("b.words"), tau))
-    pairs = met.select(F.least("a.h1", "b.h1").alias("x"), F.greatest("a.h1", "b.h1").alias("y")).distinct()
-    pairs = staged(pairs, "line-pairs")
-    wanted = staged(pairs.select(F.explode(F.array("x", "y")).alias("h1")).distinct(), "line-wanted")
+    ``lines``: here, h1, h2, line; ``first``: h1, h2, at (the first place, which sorts), n.  Keys carry h1 alone; text is
+    shuffled for lines with live keys only."""
+    # one exchange serves both sides; the aggregate also keeps filters from being pushed below it, which would part them
+    rows = keyed(once_if_frequent(lines, first), tau).repartition("key").groupBy("key", "h1").agg(F.max("own").alias("own"))
+    alive = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("any")).where("n > 1 and any").select("key")
+    live = staged(rows.join(alive.hint("shuffle_hash"), "key"), "line-live")
+    wanted = staged(live.select("h1").distinct(), "line-wanted")
     text = only(lines, wanted).groupBy("h1", "h2").agg(F.first("line").alias("line")).join(first, ["h1", "h2"])
-    text = staged(text.select("h1", "h2", "line", "at"), "line-texts")
-    side = lambda v: text.select(F.col("h1").alias(v), F.struct("at", "line", "h1", "h2").alias(f"of_{v}"))
+    text = staged(text.select(F.struct("h1", "h2").alias("id"), "line", "at", letters(F.col("line")).alias("letters")), "line-texts")
+    met = live.join(text.select(F.col("id.h1").alias("h1"), "id", "letters"), "h1").select("key", "own", "id", "letters")
+    a, b = met.alias("a"), met.where("own").alias("b")
+    # two index entries probe each other: one of both directions is enough
+    ok = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & (~F.col("a.own") | (F.col("a.id") < F.col("b.id")))
+    close = a.join(b, ok & may_be_close(F.col("a.letters"), F.col("b.letters"), tau))
+    pairs = close.select(F.least("a.id", "b.id").alias("x"), F.greatest("a.id", "b.id").alias("y")).distinct()
+    side = lambda v: text.select(F.col("id").alias(v), F.struct("at", "line").alias(f"of_{v}"))
     linked = pairs.join(side("x"), "x").join(side("y"), "y").where(within(F.col("of_x.line"), F.col("of_y.line"), tau))
-    later = F.when(F.col("of_x.at") < F.col("of_y.at"), F.col("of_y")).otherwise(F.col("of_x"))
-    near = staged(linked.select(later.alias("id")).select("id.h1", "id.h2").distinct(), "line-near")
-    discard(pairs, wanted, text)
+    near = linked.select(F.when(F.col("of_x.at") < F.col("of_y.at"), F.col("y")).otherwise(F.col("x")).alias("id")).distinct()
+    near = staged(near.select("id.h1", "id.h2"), "line-near")
+    discard(live, wanted, text)
     return near
 
 
