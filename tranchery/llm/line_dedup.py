@@ -39,14 +39,16 @@ _LETTERS = "eanitrosh ldcuw"
 
 def probes(tau: int) -> list[tuple[int, int, int]]:
     """(gap, segment, shift): for each partner length (the line's own less ``gap``) and segment, the shifts that the
-    edits before the segment (at most its number) and behind it (at most tau less its number) allow."""
-    return [(gap, k, shift) for gap in range(tau + 1) for k in range(tau + 1) for shift in range(max(-k, gap - (tau - k)), min(k, gap + (tau - k)) + 1)]
+    edits before the segment (at most its number) and behind it (at most tau less its number) allow.  The first
+    ``tau + 1`` are the line's own segments, its index entries."""
+    every = [(gap, k, shift) for gap in range(tau + 1) for k in range(tau + 1) for shift in range(max(-k, gap - (tau - k)), min(k, gap + (tau - k)) + 1)]
+    return sorted(every, key=lambda p: p[0] != 0 or p[2] != 0)
 
 
-def keyed(lines: DataFrame, tau: int) -> DataFrame:
+def keyed(lines: DataFrame, tau: int) -> tuple[DataFrame, DataFrame]:
     """(key, h1, own) for the lines (line, h1): hashes of (length, segment, substring), and whether the row is an index
-    entry.  The rows of a line are built in one array before they are dealt out, so that generated code works its
-    columns out once; substrings are cut from UTF-32, where places are offsets."""
+    entry; and the staged table they are read from.  A line's keys are staged as one array, as generated code would
+    work the array out again for each of its entries.  Substrings are cut from UTF-32, where places are offsets."""
     ready = lines.select("h1", F.char_length("line").alias("n"), F.encode("line", "UTF-32").alias("body"))
     n, entries = F.col("n"), []
     for gap, k, shift in probes(tau):
@@ -55,9 +57,10 @@ def keyed(lines: DataFrame, tau: int) -> DataFrame:
         short = F.lit(tau + 1) - (of - base * (tau + 1))  # so many first segments are one shorter
         at = base * k + F.greatest(F.lit(0), F.lit(k) - short) + shift
         size = base + F.when(F.lit(k) >= short, 1).otherwise(0)
-        key = F.when((at >= 0) & (at + size <= n), F.xxhash64(of, F.lit(k), F.substring("body", at * 4 + 1, size * 4)))
-        entries.append(F.struct(key.alias("key"), "h1", F.lit(gap == 0 and shift == 0).alias("own")))
-    return ready.select(F.inline(F.array(*entries))).where("key is not null")
+        entries.append(F.when((at >= 0) & (at + size <= n), F.xxhash64(of, F.lit(k), F.substring("body", at * 4 + 1, size * 4))))
+    table = staged(ready.select("h1", F.array(*entries).alias("keys")), "line-keys")
+    rows = table.select("h1", F.posexplode("keys").alias("p", "key"))
+    return rows.where("key is not null").select("key", "h1", (F.col("p") <= tau).alias("own")), table
 
 
 def letters(line: Column) -> Column:
@@ -159,7 +162,8 @@ def near_lines(lines: DataFrame, first: DataFrame, tau: int) -> DataFrame:
     ``lines``: here, h1, h2, line; ``first``: h1, h2, at (the first place, which sorts), n.  Keys carry h1 alone; text is
     shuffled for lines with live keys only."""
     # one exchange serves both sides; the aggregate also keeps filters from being pushed below it, which would part them
-    rows = keyed(once_if_frequent(lines, first), tau).repartition("key").groupBy("key", "h1").agg(F.max("own").alias("own"))
+    rows, keys = keyed(once_if_frequent(lines, first), tau)
+    rows = rows.repartition("key").groupBy("key", "h1").agg(F.max("own").alias("own"))
     alive = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("any")).where("n > 1 and any").select("key")
     live = staged(rows.join(alive.hint("shuffle_hash"), "key"), "line-live")
     wanted = staged(live.select("h1").distinct(), "line-wanted")
@@ -175,7 +179,7 @@ def near_lines(lines: DataFrame, first: DataFrame, tau: int) -> DataFrame:
     linked = pairs.join(side("x"), "x").join(side("y"), "y").where(within(F.col("of_x.line"), F.col("of_y.line"), tau))
     near = linked.select(F.when(F.col("of_x.at") < F.col("of_y.at"), F.col("y")).otherwise(F.col("x")).alias("id")).distinct()
     near = staged(near.select("id.h1", "id.h2"), "line-near")
-    discard(live, wanted, text)
+    discard(keys, live, wanted, text)
     return near
 
 
