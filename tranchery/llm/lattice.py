@@ -190,9 +190,10 @@ class Lattice:
         return self.forward[self.node + self.size]
 
     def arcs(self) -> np.ndarray:
-        """For each node (row) the cumulative probabilities of the last piece's length 1, 2, ... given all segmentations."""
+        """For each node (row) the cumulative probabilities of the last piece's length 1, 2, ... given all segmentations,
+        filled up with ones to a multiple of eight columns."""
         nodes = len(self.forward)
-        out = np.zeros((nodes, self.longest), np.float32)
+        out = np.zeros((nodes, -(-self.longest // 8) * 8), np.float32)
         unit = np.repeat(np.arange(len(self.start)), self.size)
         inside = np.arange(len(self.codes)) - self.start[unit]  # 0-based place in the unit
         here = self.node[unit] + inside + 1  # node behind each character

@@ -71,6 +71,11 @@ def truncated_gumbel(u, mass, top):
         return mass - np.log(np.exp(mass - top) - np.log(u))
 
 
+def truncated_gumbel_one(u: float, mass: float, top: float) -> float:
+    """The same for one region."""
+    return mass - math.log(math.exp(min(mass - top, 700.0)) - math.log(u))
+
+
 def cut_units(vocab: Vocabulary, codes: np.ndarray, text_start: np.ndarray) -> np.ndarray:
     """Starts of the units of texts that begin at ``text_start``."""
     start = np.zeros(len(codes), bool)
@@ -90,7 +95,7 @@ class Sampler:
     A unit's segmentation is a mask of the places (1-based) where pieces end, in as many 64-bit words as it takes."""
 
     def __init__(self, vocab: Vocabulary, texts: list[str], keys: np.ndarray):
-        self.vocab, self.keys = vocab, keys
+        self.vocab, self.keys, self._last = vocab, keys, None
         marked = ["▁" + t.replace(" ", "▁") for t in texts]
         #: a mark in the text itself is decoded as a space
         self.has_mark = ["▁" in t for t in texts]
@@ -132,17 +137,17 @@ class Sampler:
         n = self.n_words[who]
         word = np.cumsum(n) - n
         mask, logp = np.zeros(int(n.sum()), np.uint64), -x.totals()[kind]
-        end = x.size[kind].copy()
         live, step = np.arange(len(who)), 0
-        key = self.unit_key[who]
+        end, key, node, begin = x.size[kind], self.unit_key[who], x.node[kind], x.start[kind]
         while len(live):
-            mask[word[live] + (end[live] >> 6)] |= np.uint64(1) << (end[live] & 63).astype(np.uint64)
-            node = x.node[kind[live]] + end[live]
-            u = uniforms(key[live], _tag(which, 0, step))
-            k = np.minimum((self.cdf[node] < u[:, None]).sum(1) + 1, end[live])
-            end[live] -= k
-            logp[live] += self._arc_logp(x.start[kind[live]] + end[live], k)
-            live = live[end[live] > 0]
+            mask[word + (end >> 6)] |= np.uint64(1) << (end & 63).astype(np.uint64)
+            u = uniforms(key, _tag(which, 0, step)).astype(np.float32)
+            below = self.cdf[node + end] < u[:, None]
+            k = np.minimum(np.bitwise_count(below.view(np.uint64)).sum(1, dtype=np.int64) + 1, end)  # eight flags a word
+            end = end - k
+            logp[live] += self._arc_logp(begin + end, k)
+            more = np.flatnonzero(end)
+            live, end, key, node, begin, word = (v[more] for v in (live, end, key, node, begin, word))
             step += 1
         return mask, logp
 
@@ -219,10 +224,10 @@ class Sampler:
                 mine, me = queues[d], len(leaves[d]) - 1
                 if excluded:
                     out = [*excluded, (self.ends_of(mask[self.word[unit] : self.word[unit + 1]]), float(logp[unit]))]
-                    left = 1.0 - sum(np.exp(lp) for _, lp in out)
+                    left = 1.0 - sum(math.exp(lp) for _, lp in out)
                     if left > _LEAST_MASS:
                         u = uniform(int(self.unit_key[unit]), _tag(which, 3))
-                        mine.append((float(truncated_gumbel(u, before[unit] + np.log(left), g)), me, int(unit), out))
+                        mine.append((truncated_gumbel_one(u, float(before[unit]) + math.log(left), g), me, int(unit), out))
                     first = unit + 1
                 else:
                     first = unit
@@ -242,17 +247,25 @@ class Sampler:
                     branch[d] = (*branch[d][:3], [(self.ends_of(m) if isinstance(m, np.ndarray) else m, lp) for m, lp in branch[d][3]])
         return leaves, kappa
 
+    def _characters(self, unit: np.ndarray):
+        """For the characters of these units: the place of the unit, mask word and bit of the node behind, and the
+        place among the distinct units.  The last answer is kept, as the samples of a chunk mostly ask for the same."""
+        if self._last is None or len(self._last[0]) != len(unit) or not np.array_equal(self._last[0], unit):
+            size = self.size[unit]
+            which = np.repeat(np.arange(len(unit)), size)
+            inside = np.arange(1, len(which) + 1) - np.repeat(np.cumsum(size) - size, size)
+            n = self.n_words[unit]
+            word = (np.cumsum(n) - n)[which] + (inside >> 6)
+            place = np.repeat(self.lattice.start[self.kind[unit]], size) + inside - 1
+            self._last = unit, which, word, np.uint64(1) << (inside & 63).astype(np.uint64), place
+        return self._last[1:]
+
     def ids(self, unit: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of the segmentations of these units, one after the other, and their number per unit."""
-        size, begin = self.size[unit], self.lattice.start[self.kind[unit]]
-        after = np.cumsum(size)
-        which = np.repeat(np.arange(len(unit)), size)
-        inside = np.arange(len(which)) - np.repeat(after - size, size)
-        n = self.n_words[unit]
-        word = (np.cumsum(n) - n)[which] + ((inside + 1) >> 6)
-        ends = np.flatnonzero((mask[word] >> ((inside + 1) & 63).astype(np.uint64)) & np.uint64(1))
+        which, word, bit, places = self._characters(unit)
+        ends = np.flatnonzero(mask[word] & bit)
         starts = np.concatenate([[0], ends[:-1] + 1])
-        place = begin[which[starts]] + inside[starts]
+        place = places[starts]
         out = self.vocab.ids[self.lattice.pid[ends - starts + 1, place]]
         spelled = np.flatnonzero(out < 0)
         times = np.ones(len(out), np.int64)
@@ -283,7 +296,8 @@ class Sampler:
             some = [d for d in range(len(leaves)) if len(leaves[d]) > s]
             if not some:
                 break
-            unit = np.concatenate([np.arange(self.unit_first[d], self.unit_after[d]) for d in some])
+            every = len(some) == len(leaves)
+            unit = np.arange(len(self.at)) if every else np.concatenate([np.arange(self.unit_first[d], self.unit_after[d]) for d in some])
             out, number = self.ids(unit, np.concatenate([leaves[d][s][0] for d in some]))
             ends = np.cumsum(np.bincount(self.text_of[unit], number, len(leaves)).astype(np.int64))
             back, token_byte = decode_bytes(self.vocab, out)
