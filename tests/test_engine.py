@@ -145,3 +145,15 @@ def test_two_runs_append_versions(spark):
     write(one, 1)  # the same batch again overwrites its own version
     assert st.read_version(spark, out, st.TOTALS).first()["cnt"] == 2
     assert st.read_version(spark, out, st.TOTALS, 0).first()["cnt"] == 1
+
+
+def test_jdbc_read_ranges(spark):
+    from tranchery.sources import tables as T
+
+    url = "jdbc:derby:memory:ranges;create=true"
+    T.jdbc_write(spark.range(100).withColumnRenamed("id", "k"), url, "t", mode="overwrite")
+    T.jdbc_write(spark.range(100, 120).withColumnRenamed("id", "k"), url, "t")
+    back = T.jdbc_read_ranges(spark, url, "t", "k", 3)
+    assert back.rdd.getNumPartitions() == 3 and sorted(r[0] for r in back.collect()) == list(range(120))
+    T.jdbc_write(spark.range(0).withColumnRenamed("id", "k"), url, "t", mode="overwrite")
+    assert T.jdbc_read_ranges(spark, url, "t", "k", 3).count() == 0

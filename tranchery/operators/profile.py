@@ -32,9 +32,11 @@ def profile(df: DataFrame, approximate: bool = False, samples: int = 5) -> DataF
         out = long.groupBy("column_name", "data_type").agg(F.count("*").alias("n"), F.count("value").alias("full"), F.approx_count_distinct("value").alias("distinct_values"))
         return out.select("column_name", "data_type", (F.col("n") - F.col("full")).alias("missing"), rate(F.col("n") - F.col("full"), F.col("n")).alias("missing_rate"), "distinct_values")
     values = long.groupBy("column_name", "data_type", "value").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("column_name").orderBy(F.asc_nulls_last("value"))
-    ranked = values.withColumn("_rn", F.row_number().over(w))
-    out = ranked.groupBy("column_name", "data_type").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"), F.count("value").alias("distinct_values"), F.array_sort(F.collect_list(F.when(F.col("_rn") <= samples, F.col("value")))).alias("samples"))
+    # the rank is filtered right away, so each task keeps the least values of a column only
+    least = values.where("value is not null").withColumn("_rn", F.row_number().over(Window.partitionBy("column_name").orderBy("value"))).where(F.col("_rn") <= samples)
+    least = least.groupBy("column_name").agg(F.array_sort(F.collect_list("value")).alias("samples"))
+    out = values.groupBy("column_name", "data_type").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"), F.count("value").alias("distinct_values"))
+    out = out.join(F.broadcast(least), "column_name", "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
     return out.select("column_name", "data_type", "missing", rate(F.col("missing"), F.col("n")).alias("missing_rate"), "distinct_values", "samples").orderBy(F.desc("missing_rate"), "column_name")
 
 

@@ -231,9 +231,9 @@ def join_three_way(spark, sf_dir):
     return terminal_loans(spark, sf_dir).select("loan_id", "grade", "is_bad", "income_band", "fico_band")
 
 
-@query("self_join_next_month", S.with_parts("select a.loan_id, a.snapshot_month from_month, a.dpd_bucket from_bucket, b.dpd_bucket to_bucket from snap a join snap b on a.loan_id = b.loan_id and b.mob = a.mob + 1 where a.snapshot_month >= '2001-06'", "snap"))
+@query("self_join_next_month", S.with_parts("select loan_id, snapshot_month from_month, dpd_bucket from_bucket, next_bucket to_bucket from (select *, lead(dpd_bucket) over w next_bucket, lead(mob) over w next_mob from snap where loan_id is not null window w as (partition by loan_id order by mob)) where next_mob = mob + 1", "snap"))
 def self_join_next_month(spark, sf_dir):
-    return metrics.next_month_pairs(_snapshot(spark, sf_dir).where("snapshot_month >= '2001-06'")).select("loan_id", "from_month", "from_bucket", "to_bucket")
+    return metrics.next_month_pairs(_snapshot(spark, sf_dir)).select("loan_id", "from_month", "from_bucket", "to_bucket")
 
 
 @query("cross_join_totals", "select o_orderstatus, count(*) cnt, (select count(*) from orders) total from orders group by 1")

@@ -71,11 +71,11 @@ def repartition_write(spark, sf_dir):
     return T.file_stats(spark.read.parquet(path), "grade").select("grade", "files")
 
 
-@query("file_stats", "select 1::bigint files")
+@query("file_stats", "select o_orderstatus, count(distinct o_orderstatus) files from orders group by 1")
 def file_stats(spark, sf_dir):
-    path = scratch(spark, "one")
-    T.read_table(spark, sf_dir, "orders").select("o_orderkey").coalesce(1).write.parquet(path)
-    return T.file_stats(spark.read.parquet(path)).select("files")
+    path = scratch(spark, "by-status")
+    T.overwrite_partitions(T.read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), path, "o_orderstatus")
+    return T.file_stats(spark.read.parquet(path), "o_orderstatus").select("o_orderstatus", "files")
 
 
 _COUNT = "select grade, count(*) cnt, cast(sum(funded_amnt) as double) funded from facts group by grade"

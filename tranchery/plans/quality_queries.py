@@ -121,7 +121,7 @@ def _all_against_grades(spark, sf_dir):
     return v.where("grade = 'ALL'").select("issue_month", "mob", "exposure_cnt").join(grades, ["issue_month", "mob"])
 
 
-@query("check_all_row", "select 'vintage_all_row' chk, 0::bigint bad_rows")
+@query("check_all_row", S.with_parts("select 'vintage_all_row' chk, count(*) bad_rows from (select issue_month, mob, sum(exposure_cnt) filter (grade <> 'ALL') parts, sum(exposure_cnt) filter (grade = 'ALL') whole from vintage group by 1, 2) where parts is distinct from whole", "vintage"))
 def check_all_row(spark, sf_dir):
     return _all_against_grades(spark, sf_dir).where("exposure_cnt != grades").agg(F.lit("vintage_all_row").alias("chk"), F.count("*").alias("bad_rows"))
 
@@ -157,7 +157,11 @@ def metric_compare(spark, sf_dir):
     return quality.compare_metrics(actual, base)
 
 
-@query("salted_equivalence", "select 0::bigint different, true non_empty")
+_PLAIN = "select loan_status, grade, count(*) cnt, sum(funded_amnt) total from facts join perf using (loan_id) group by loan_status, grade"
+_SALTED = "select loan_status, grade, sum(c) cnt, sum(s) total from (select loan_status, grade, hash(loan_id) % 10 salt, count(*) c, sum(funded_amnt) s from facts join perf using (loan_id) group by loan_status, grade, salt) group by loan_status, grade"
+
+
+@query("salted_equivalence", S.with_parts(f"select count(*) filter (p.cnt is distinct from q.cnt or abs(p.total - q.total) > 0.01) different, count(*) > 0 non_empty from ({_PLAIN}) p full join ({_SALTED}) q on p.loan_status is not distinct from q.loan_status and p.grade is not distinct from q.grade", "facts", "perf"))
 def salted_equivalence(spark, sf_dir):
     loans = _facts(spark, sf_dir).join(_perf(spark, sf_dir), "loan_id")
     plain = loans.groupBy("loan_status", "grade").agg(F.count("*").alias("cnt"), F.sum("funded_amnt").cast("double").alias("total"))

@@ -80,6 +80,15 @@ def jdbc_read(spark: SparkSession, url: str, query: str, **options) -> DataFrame
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()
 
 
+def jdbc_read_ranges(spark: SparkSession, url: str, name: str, column: str, partitions: int, quote: str = '"', **options) -> DataFrame:
+    """A whole table by ranges of an integer column, one task each; the bounds are asked for first.  ``quote`` is the
+    store's quotation mark for column names."""
+    low, high = jdbc_read(spark, url, f"select min({quote}{column}{quote}) a, max({quote}{column}{quote}) b from {name}", **options).first()
+    if low is None:
+        return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+    return spark.read.format("jdbc").options(url=url, dbtable=name, partitionColumn=column, lowerBound=low, upperBound=high + 1, numPartitions=partitions, **options).load()
+
+
 def overwrite_partitions(df: DataFrame, path: str, column: str, fmt: str = "parquet") -> None:
     """Replace only those partitions that the input holds; files follow the partition column."""
     df.repartition(column).write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).save(path)
