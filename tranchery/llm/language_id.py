@@ -9,6 +9,9 @@ sum of logistic losses wins.  A text is flagged ambiguous when the runner-up is
 Up to six languages use the exhaustive code (2**(L-1) - 1 bits, every pair differs in about half of them); beyond
 that, ``bits`` columns are drawn from a seeded hash, the best of several draws by least pairwise distance.
 
+Up to six languages the code is exhaustive (all ways to part them), beyond that 31 bits are drawn for large distances.
+A bucket that training texts hit once only has no weight.
+
 Defined cases: a null or letterless text is ``und`` with score 0; without any labelled text every document is ``und``;
 an empty table gives an empty result; rows with null label or text teach nothing; repeated rows count as often as they
 occur; columns other than those named are not read.
@@ -17,7 +20,6 @@ occur; columns other than those named are not read.
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,6 @@ _FOLD = LOWER.copy()
 _FOLD[:0x80] = 0x20
 _FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -183,7 +184,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", margin: fl
                 column = batch.column(body)
                 n = len(column)
                 texts = column.to_pylist()
-                letters = [bool(x) and _LETTER.search(x) is not None for x in texts]
+                letters = [bool(x) and any(map(str.isalpha, x)) for x in texts]  # ends at the first letter
                 if m is None:
                     label, score, close = [UNKNOWN] * n, [0.0] * n, [False] * n
                 else:

@@ -70,13 +70,14 @@ def posterior(p: str, a: list[str], b: list[str]) -> str:
 def updates() -> list[str]:
     """SQL aggregates over patterns (n: documents, q: posterior) that give the next prior and accuracies.
 
-    Prior knowledge enters as pseudo-counts: a rule seldom fires on good documents (98 % right, weighing as much as
-    the data), and bad documents differ, so that each rule finds a part of them only (30 %, ten documents)."""
+    Prior knowledge enters as pseudo-counts of fixed size, so that the data decide as they grow: a rule seldom fires on
+    good documents (98 % right, a thousand documents), and bad documents differ, so that each rule finds a part of them
+    only (30 %, ten documents)."""
     out = ["(sum(n * q) + 8.5) / (sum(n) + 10) p"]
     for name in RULES:
         v = f"v_{name}"
         good, bad = f"sum(case when {v} != 0 then n * q else 0 end)", f"sum(case when {v} != 0 then n * (1 - q) else 0 end)"
-        out.append(f"(sum(case when {v} = 1 then n * q else 0 end) + 0.98 * ({good} + 10)) / (2 * {good} + 10) a_{name}")
+        out.append(f"(sum(case when {v} = 1 then n * q else 0 end) + 980) / ({good} + 1000) a_{name}")
         out.append(f"(sum(case when {v} = -1 then n * (1 - q) else 0 end) + 3) / ({bad} + 10) b_{name}")
     return out
 
