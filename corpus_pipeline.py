@@ -26,8 +26,12 @@ def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled documents; drops those whose language is unknown."""
-    found = language_id.predict(docs, language_id.fit(docs))
+    """Learns from the labelled documents; drops those whose language is unknown.  Where no document is labelled, those
+    with a letter stay."""
+    model = language_id.fit(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language_id.predict(docs, model)
     return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
 
 
@@ -55,8 +59,8 @@ STAGES = [
     ("segmentations", by_segments),
 ]
 
-#: Language identification, the sampling and the component search have no SQL form; tests hold the stages against
-#: brute-force versions.
+#: Language identification, the sampling and the component search have no SQL form; tests/llm/test_pipeline.py holds
+#: each stage against a brute-force version.
 ORACLE_SQL = None
 
 
