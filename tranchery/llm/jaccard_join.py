@@ -45,12 +45,12 @@ ORDERS = 3
 #: Postings in one range of tokens, on average
 BLOCK = 1_000_000
 #: Frequent tokens that are broadcast, and the sets of a slice that must have a token for it to be noted
-FREQUENT, NOTED = 100_000, 32
+FREQUENT, NOTED = 100_000, 16
 #: Digests of candidate sets that are broadcast; beyond that they are joined by a shuffle
 FEW = 1_000_000
 #: The document frequency that stands for that of a frequent token: behind all others
 LAST = (1 << 32) - 1
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 _COLLIDES = "two different token sets have one 64-bit digest; another seed is needed"
 
 
@@ -238,6 +238,11 @@ def texts_of(docs: DataFrame, words: int, text: str, seed: int, wanted: DataFram
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "sid long, text string").groupBy("sid").agg(F.first("text").alias("text"))
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.append(0, np.cumsum([len(x) for x in arrays], dtype=np.int64)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64)))
+
+
 def prefixes(sets: DataFrame, threshold: int, orders: int) -> DataFrame:
     """(sid, n, own, tokens, head, heads): for each set the tokens it shares (sorted), and those of its prefix in order
     0 and in each other order."""
@@ -245,11 +250,12 @@ def prefixes(sets: DataFrame, threshold: int, orders: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             head, heads = [], []
-            for n, own, t, c in zip(*(batch.column(x).to_pylist() for x in ("n", "own", "tokens", "counts")), strict=True):
-                token, room = _u64(t), prefix_length(n, threshold) - own
-                head.append(token[np.lexsort((_hash(0, token), np.frombuffer(c, np.uint32)))[:room]].view(np.int64).tolist())
-                heads.append([token[np.argsort(_hash(k, token), kind="stable")[:room]].view(np.int64).tolist() for k in range(1, orders)])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("sid", "n", "own", "tokens")), pa.array(head, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.list_(pa.int64())))], ["sid", "n", "own", "tokens", "head", "heads"])
+            for n, own, t, c in zip(*(batch.column(x) for x in ("n", "own", "tokens", "counts")), strict=True):
+                token, room = _u64(t.as_buffer()), prefix_length(n.as_py(), threshold) - own.as_py()
+                head.append(token[np.lexsort((_hash(0, token), np.frombuffer(c.as_buffer(), np.uint32)))[:room]])
+                heads += [token[np.argsort(_hash(k, token), kind="stable")[:room]] for k in range(1, orders)]
+            other = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * (orders - 1), pa.int32()), _lists(heads))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("sid", "n", "own", "tokens")), _lists(head), other], ["sid", "n", "own", "tokens", "head", "heads"])
 
     return sets.mapInArrow(run, "sid long, n long, own long, tokens binary, head array<bigint>, heads array<array<bigint>>")
 
@@ -348,7 +354,7 @@ def classes(docs: DataFrame, words: int = 5, threshold: int = 80, orders: int =
     discard(first)
     texts = staged(texts_of(docs, words, text, seed, open_), "open-texts")
     total = open_.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    second = staged(shared_postings(texts, words, "text", seed, frequent, -(-total // BLOCK) or 1, False), "open-postings")
+    second = staged(shared_postings(texts, words, "text", seed, frequent, -(-2 * total // BLOCK) or 1, False), "open-postings")
     sets = staged(prefixes(open_sets(second, threshold), threshold, orders), "prefixes")
     discard(open_, texts, second)
     by_hub = staged(compared(meeting(hubs(sets), sets), sets, threshold), "hubs")
