@@ -18,7 +18,8 @@ itself contains the mark character U+2581 decodes with spaces there, as Sentence
 ``round_trip`` says whether that gives the text again (null for a null text).
 
 Defined cases: a null or empty text has one segmentation, the empty one; a text with fewer than k segmentations
-emits all it has, with inclusion score 1; rows with equal keys and texts get equal samples; other columns pass unread.
+emits all it has, with inclusion score 1; what is left of a region below ``_LEAST_MASS`` of its mass, where doubles
+hold rounding only, counts as empty; ties go by unit; very long texts are a slice of their own; rows with equal keys and texts get equal samples; other columns pass unread.
 """
 
 from __future__ import annotations
