@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tranchery.llm.shared import in_batches
 from tranchery.llm.text import ALNUM, Words, chain, pieces_of
 
 BLOCK_WINDOWS = 1_000_000
@@ -44,7 +45,7 @@ def benchmark_windows(items: DataFrame, n: int, item_id: str, text: str) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.string())], ["size", "hash", "phrase", "item"])
 
     given = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
-    return given.mapInArrow(run, "size int, hash long, phrase binary, item string").distinct()
+    return in_batches(given).mapInArrow(run, "size int, hash long, phrase binary, item string").distinct()
 
 
 def _with_offsets(batch):
@@ -117,7 +118,7 @@ def hit_spans(docs: DataFrame, windows: WindowSet, text: str, keep: list[str]) -
                 yield pa.RecordBatch.from_arrays(arrays, [*names, "n_words", "runs", "items"])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, f"{out}, n_words long, runs array<struct<first:int,after:int,start:int,end:int>>, items array<string>")
+    return in_batches(docs.select(*dict.fromkeys([*keep, text]))).mapInArrow(run, f"{out}, n_words long, runs array<struct<first:int,after:int,start:int,end:int>>, items array<string>")
 
 
 RUNS = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))

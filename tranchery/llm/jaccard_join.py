@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tranchery.llm.components import components
-from tranchery.llm.shared import discard, staged
+from tranchery.llm.shared import discard, in_batches, staged
 from tranchery.llm.text import Words, mix, pieces_of, shingles
 
 ORDERS = 3
@@ -116,7 +116,7 @@ def digests(docs: DataFrame, words: int, doc_id: str, text: str, seed: int = 0)
                 no_id = pa.nulls(len(often), batch.schema.field("doc_id").type)
                 yield pa.RecordBatch.from_arrays([no_id, pa.array(times[often], pa.int64()), pa.array(many[at[:-1][often]].view(np.int64)), pa.array(np.zeros(len(often), np.int64)), pa.array(np.ones(len(often), bool))], ["doc_id", "n", "sid", "check", "noted"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, sid long, check long, noted boolean")
+    return in_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, f"doc_id {kind}, n long, sid long, check long, noted boolean")
 
 
 def frequent_tokens(noted: DataFrame) -> np.ndarray:
@@ -181,7 +181,7 @@ def shared_postings(docs: DataFrame, words: int, text: str, seed: int, frequent,
         return pa.table([pa.array(part), *cut], ["part", "sids", "tokens", "counts"])
 
     shape = "part long, sids binary, tokens binary, counts binary"
-    return docs.select(F.col(text).alias("text")).mapInArrow(pack, shape).groupBy("part").applyInArrow(count, shape)
+    return in_batches(docs.select(F.col(text).alias("text"))).mapInArrow(pack, shape).groupBy("part").applyInArrow(count, shape)
 
 
 def _joined(t: pa.Table, column: str, kind=np.uint64) -> np.ndarray:
@@ -235,7 +235,7 @@ def texts_of(docs: DataFrame, words: int, text: str, seed: int, wanted: DataFram
                     new[new] = _within(ids.value, sid[new].view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(sid[new].view(np.int64)), batch.column("text").filter(pa.array(new))], ["sid", "text"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "sid long, text string").groupBy("sid").agg(F.first("text").alias("text"))
+    return in_batches(docs.select(F.col(text).alias("text"))).mapInArrow(run, "sid long, text string").groupBy("sid").agg(F.first("text").alias("text"))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -257,7 +257,7 @@ def prefixes(sets: DataFrame, threshold: int, orders: int) -> DataFrame:
             other = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * (orders - 1), pa.int32()), _lists(heads))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("sid", "n", "own", "tokens")), _lists(head), other], ["sid", "n", "own", "tokens", "head", "heads"])
 
-    return sets.mapInArrow(run, "sid long, n long, own long, tokens binary, head array<bigint>, heads array<array<bigint>>")
+    return in_batches(sets).mapInArrow(run, "sid long, n long, own long, tokens binary, head array<bigint>, heads array<array<bigint>>")
 
 
 def _u64(x: bytes) -> np.ndarray:
@@ -301,7 +301,7 @@ def compared(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["x", "y", "linked", "outside", "bits"])
 
-    return _sides(pairs, sets, ["n", "tokens"]).mapInArrow(run, "x long, y long, linked boolean, outside long, bits array<bigint>")
+    return in_batches(_sides(pairs, sets, ["n", "tokens"])).mapInArrow(run, "x long, y long, linked boolean, outside long, bits array<bigint>")
 
 
 def candidates_left(sets: DataFrame, labels: DataFrame, by_hub: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
@@ -330,7 +330,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
             keep = [100 * (both := int(_within(_u64(ta), _u64(tb)).sum())) >= threshold * (na + nb - both) for na, nb, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("n_x", "n_y", "tokens_x", "tokens_y")), strict=True)]
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return _sides(pairs, sets, ["n", "tokens"]).mapInArrow(run, "x long, y long")
+    return in_batches(_sides(pairs, sets, ["n", "tokens"])).mapInArrow(run, "x long, y long")
 
 
 def classes(docs: DataFrame, words: int = 5, threshold: int = 80, orders: int = ORDERS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

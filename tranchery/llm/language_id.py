@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tranchery.llm.shared import in_batches
 from tranchery.llm.text import LOWER, mix, pieces_of, utf8
 
 ORDERS = (2, 3)
@@ -96,7 +97,7 @@ def ngram_counts(train: DataFrame, labels: list[str], label: str, text: str) ->
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["code", "counts"])
 
     given = train.select(F.col(text).alias("text"), F.col(label).alias("lang"))
-    parts = given.mapInArrow(run, "code int, counts binary")
+    parts = in_batches(given).mapInArrow(run, "code int, counts binary")
     # a tree of sums: whatever the number of tasks, at most eight tables of fixed size per language reach the driver
     width = math.isqrt(given.rdd.getNumPartitions())
     for width in (width, 8) if width > 16 else (8,):
@@ -195,7 +196,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", margin: fl
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label, pa.string()), pa.array(score, pa.float64()), pa.array(close, pa.bool_())], [*names, "lang_pred", "score", "ambiguous"])
 
     out = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, schema.fields, strict=True))
-    done = docs.toDF(*names).mapInArrow(run, f"{out}, lang_pred string, score double, ambiguous boolean")
+    done = in_batches(docs.toDF(*names)).mapInArrow(run, f"{out}, lang_pred string, score double, ambiguous boolean")
     return done.toDF(*docs.columns, "lang_pred", "score", "ambiguous")
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tranchery.llm.lattice import log_marginals, vocabulary
-from tranchery.llm.shared import discard, staged
+from tranchery.llm.shared import discard, in_batches, staged
 from tranchery.llm.text import pieces_of
 
 HOT_WORDS = 200_000
@@ -49,7 +49,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         if seen:
             yield _count_batch(seen)
 
-    return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return in_batches(texts.select("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _count_batch(seen: Counter) -> pa.RecordBatch:
@@ -130,7 +130,7 @@ def score(docs: DataFrame, train: Column, model_file: str, text: str = "text", k
                 yield pa.RecordBatch.from_arrays([*(batch.column(p) for p in plain), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), tail], [*plain, "n_tokens", "hits", "base", "model", "tail"])
 
     out = ", ".join(f"{p} {t}" for p, t in fields.items())
-    partial = given.select(*plain, "text").mapInArrow(run, f"{out}, n_tokens long, hits long, base double, model double, tail array<struct<word:binary,n:long,spelled:double>>")
+    partial = in_batches(given.select(*plain, "text")).mapInArrow(run, f"{out}, n_tokens long, hits long, base double, model double, tail array<struct<word:binary,n:long,spelled:double>>")
     partial = staged(partial.withColumn("_row", F.monotonically_increasing_id()), "word-scores")
     rare = partial.select("_row", F.explode("tail").alias("t")).select("_row", F.col("t.word").alias("word"), F.col("t.n").alias("k"), "t.spelled")
     count = F.coalesce(F.col("n"), F.lit(0))

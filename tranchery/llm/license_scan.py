@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tranchery.llm.shared import in_batches
 from tranchery.llm.text import pieces_of
 
 # Sentences of public licences and licence notices, normalised, by identifier.
@@ -198,7 +199,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: dic
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(every, _FOUND), pa.array(matched, _MATCH)], ["doc_id", "n_sentences", "found", "matches"])
 
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return given.mapInArrow(run, f"doc_id {id_type}, n_sentences long, found array<struct<sentence_id:string,sentence:int,start:int,end:int>>, matches array<struct<licence:string,start:int,end:int>>").withColumnRenamed("doc_id", doc_id)
+    return in_batches(given).mapInArrow(run, f"doc_id {id_type}, n_sentences long, found array<struct<sentence_id:string,sentence:int,start:int,end:int>>, matches array<struct<licence:string,start:int,end:int>>").withColumnRenamed("doc_id", doc_id)
 
 
 _FOUND = pa.list_(pa.struct([("sentence_id", pa.string()), ("sentence", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))

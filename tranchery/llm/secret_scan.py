@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tranchery.llm.shared import staged
+from tranchery.llm.shared import in_batches, staged
 from tranchery.llm.text import pieces_of
 
 # The kinds, in their order within one start.
@@ -86,7 +86,7 @@ def parts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = "array<struct<start:int,kind:int,end:int>>"
-    return given.mapInArrow(run, f"doc_id {id_type}, strong {kind}, weak {kind}, over {kind}")
+    return in_batches(given).mapInArrow(run, f"doc_id {id_type}, strong {kind}, weak {kind}, over {kind}")
 
 
 def link(found: DataFrame, window: int) -> DataFrame:

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tranchery.llm.lattice import MARK, Lattice, Vocabulary, rolling, slices, vocabulary
+from tranchery.llm.shared import in_batches
 from tranchery.llm.text import mix, pieces_of
 
 _LEAST_MASS = 1e-12
@@ -333,7 +334,7 @@ def row_keys(keys: list, seed: int) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(f"{seed}:{x}".encode(), digest_size=8).digest(), "little") for x in keys], np.uint64)
 
 
-def sample_segmentations(docs: DataFrame, model_file: str, k: int = 4, seed: int = 0, doc_id: str = "doc_id", text: str = "text", ids: bool = True, chunk: int = 1 << 20) -> DataFrame:
+def sample_segmentations(docs: DataFrame, model_file: str, k: int = 4, seed: int = 0, doc_id: str = "doc_id", text: str = "text", ids: bool = True, chunk: int = 1 << 19) -> DataFrame:
     """One row per document and sample: id, sample (1 is the largest perturbed value), n_pieces, log_prob, perturbed,
     inclusion, round_trip (the sample decodes to the text), and the token ids (``ids``), or their SHA-256 as little-endian 32-bit integers (``ids_sha256``).  Texts
     are worked on in slices of about ``chunk`` bytes, which bounds memory (a longer text is a slice of its own)."""
@@ -372,5 +373,5 @@ def sample_segmentations(docs: DataFrame, model_file: str, k: int = 4, seed: int
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), *(pa.array(rows[c], t) for c, t in kinds.items()), last], ["doc_id", *kinds, "out"])
 
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    done = given.mapInArrow(run, f"doc_id {id_type}, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, round_trip boolean, out {'array<int>' if ids else 'string'}")
+    done = in_batches(given).mapInArrow(run, f"doc_id {id_type}, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, round_trip boolean, out {'array<int>' if ids else 'string'}")
     return done.withColumnsRenamed({"doc_id": doc_id, "out": "ids" if ids else "ids_sha256"})

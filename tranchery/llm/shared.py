@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``.  Only a local master, where driver and executors are one process, may go
@@ -42,5 +44,12 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose rows reach Python tasks in Arrow batches of about ``BATCH_BYTES`` (a longer row is a batch of its
+    own): texts make a batch of the default number of rows large.  The setting holds for the session."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tranchery.llm.shared import in_batches
 from tranchery.llm.text import pieces_of
 
 CACHE_SCHEMA = "version string, digest string, n_tokens long"
@@ -65,7 +66,7 @@ def encode_counts(texts: DataFrame, tokenizer: str) -> DataFrame:
                 counts = count(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
-    return texts.select("digest", "text").mapInArrow(run, "digest string, n_tokens long")
+    return in_batches(texts.select("digest", "text")).mapInArrow(run, "digest string, n_tokens long")
 
 
 def token_counts(docs: DataFrame, cache_path: str, tokenizer: str = "byte_bpe_50k.json", doc_id: str = "doc_id", text: str = "text", normalise=None) -> DataFrame:
