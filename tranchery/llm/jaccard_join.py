@@ -355,8 +355,11 @@ def classes(docs: DataFrame, words: int = 5, threshold: int = 80, orders: int =
     texts = staged(texts_of(docs, words, text, seed, open_), "open-texts")
     total = open_.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     second = staged(shared_postings(texts, words, "text", seed, frequent, -(-2 * total // BLOCK) or 1, False), "open-postings")
-    sets = staged(prefixes(open_sets(second, threshold), threshold, orders), "prefixes")
+    # staged in between: two Python steps in one stage take two workers a task, and each keeps its memory
+    tokens = staged(open_sets(second, threshold), "open-tokens")
     discard(open_, texts, second)
+    sets = staged(prefixes(tokens, threshold, orders), "prefixes")
+    discard(tokens)
     by_hub = staged(compared(meeting(hubs(sets), sets), sets, threshold), "hubs")
     links = by_hub.where("linked").select("x", "y")
     labels = components(links)
