@@ -334,7 +334,7 @@ def row_keys(keys: list, seed: int) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(f"{seed}:{x}".encode(), digest_size=8).digest(), "little") for x in keys], np.uint64)
 
 
-def sample_segmentations(docs: DataFrame, model_file: str, k: int = 4, seed: int = 0, doc_id: str = "doc_id", text: str = "text", ids: bool = True, chunk: int = 1 << 19) -> DataFrame:
+def sample_segmentations(docs: DataFrame, model_file: str, k: int = 4, seed: int = 0, doc_id: str = "doc_id", text: str = "text", ids: bool = True, chunk: int = 1 << 18) -> DataFrame:
     """One row per document and sample: id, sample (1 is the largest perturbed value), n_pieces, log_prob, perturbed,
     inclusion, round_trip (the sample decodes to the text), and the token ids (``ids``), or their SHA-256 as little-endian 32-bit integers (``ids_sha256``).  Texts
     are worked on in slices of about ``chunk`` bytes, which bounds memory (a longer text is a slice of its own)."""
