@@ -19,10 +19,12 @@ whatever their size.
    member with the least share of tokens of its own, and each set takes the best centre of its lists as its hub.
    Where the prefixes of a set and its hub also meet under all other orders, their tokens are compared: that links
    them, and it gives the set's common tokens with the hub as a bit map.
-5. *The rest, exactly.*  Pairs in one list of order 0 but not yet in one component are candidates when their sizes
-   allow the overlap and, for sets of one hub, when their bit maps do: common tokens inside the hub are the common
-   bits, those outside are at most the shared tokens that either has outside.  The candidates' prefixes must meet under
-   the other orders as well; only then do tokens move, and verification counts the common ones.
+5. *The rest, exactly.*  Pairs in one list of order 0 but not yet in one component are candidates when what follows
+   the list's token in either set allows the overlap (the first common token of a pair that links always does), and
+   when their bit maps do.  For sets of one hub, common tokens inside the hub are the common bits; those outside are
+   bounded by the sketch: tokens are hashed to ``SKETCH`` bits, and each bit that one set has alone is a token at
+   least that the other lacks.  For other pairs a sketch of all shared tokens gives the bound.  The candidates'
+   prefixes must meet under the other orders as well; only then do tokens move, and verification counts the common ones.
 
 Defined cases: null or wordless texts have no tokens and link with nothing; a text of fewer words than a shingle is
 one token, its whole sequence; very long texts are a slice of their own; ties in frequency go by hash; repeated ids:
@@ -50,6 +52,8 @@ FREQUENT, NOTED = 100_000, 16
 FEW = 1_000_000
 #: The document frequency that stands for that of a frequent token: behind all others
 LAST = (1 << 32) - 1
+#: Bits of a set's sketch (a multiple of 64)
+SKETCH = 512
 _SLICE = 2 << 20
 _COLLIDES = "two different token sets have one 64-bit digest; another seed is needed"
 
@@ -243,21 +247,28 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64)))
 
 
+def _sketch(token: np.ndarray) -> list[int]:
+    bits = np.zeros(SKETCH, bool)
+    bits[_hash(77, token) % np.uint64(SKETCH)] = True
+    return np.packbits(bits, bitorder="little").view(np.int64).tolist()
+
+
 def prefixes(sets: DataFrame, threshold: int, orders: int) -> DataFrame:
-    """(sid, n, own, tokens, head, heads): for each set the tokens it shares (sorted), and those of its prefix in order
-    0 and in each other order."""
+    """(sid, n, own, tokens, head, heads, sketch): for each set the tokens it shares (sorted), those of its prefix in
+    order 0 and in each other order, and the sketch of the tokens it shares."""
 
     def run(batches):
         for batch in batches:
-            head, heads = [], []
+            head, heads, sketch = [], [], []
             for n, own, t, c in zip(*(batch.column(x) for x in ("n", "own", "tokens", "counts")), strict=True):
                 token, room = _u64(t.as_buffer()), prefix_length(n.as_py(), threshold) - own.as_py()
                 head.append(token[np.lexsort((_hash(0, token), np.frombuffer(c.as_buffer(), np.uint32)))[:room]])
                 heads += [token[np.argsort(_hash(k, token), kind="stable")[:room]] for k in range(1, orders)]
+                sketch.append(_sketch(token))
             other = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * (orders - 1), pa.int32()), _lists(heads))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("sid", "n", "own", "tokens")), _lists(head), other], ["sid", "n", "own", "tokens", "head", "heads"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("sid", "n", "own", "tokens")), _lists(head), other, pa.array(sketch, pa.list_(pa.int64()))], ["sid", "n", "own", "tokens", "head", "heads", "sketch"])
 
-    return in_batches(sets).mapInArrow(run, "sid long, n long, own long, tokens binary, head array<bigint>, heads array<array<bigint>>")
+    return in_batches(sets).mapInArrow(run, "sid long, n long, own long, tokens binary, head array<bigint>, heads array<array<bigint>>, sketch array<bigint>")
 
 
 def _u64(x: bytes) -> np.ndarray:
@@ -286,39 +297,50 @@ def meeting(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(x, y, linked, outside, bits): a set and its hub; the set's shared tokens outside the hub, and a bit map (64 per
-    word) of the hub's tokens that the set has."""
+    """(x, y, linked, outside, bits, beyond): a set and its hub; the number and the sketch of the set's shared tokens
+    outside the hub, and a bit map (64 per word) of the hub's tokens that the set has."""
 
     def run(batches):
         for batch in batches:
             out = []
             for x, y, na, nb, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n_x", "n_y", "tokens_x", "tokens_y")), strict=True):
-                has = _within(_u64(ta), _u64(tb))
+                ta, tb = _u64(ta), _u64(tb)
+                has = _within(ta, tb)
                 both = int(has.sum())
                 bits = np.packbits(np.append(has, np.zeros(-len(has) % 64, bool)), bitorder="little").view(np.int64)
-                out.append((x, y, x != y and 100 * both >= threshold * (na + nb - both), len(ta) // 8 - both, bits.tolist()))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["x", "y", "linked", "outside", "bits"])
+                out.append((x, y, x != y and 100 * both >= threshold * (na + nb - both), len(ta) - both, bits.tolist(), _sketch(ta[~_within(tb, ta)])))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["x", "y", "linked", "outside", "bits", "beyond"])
 
-    return in_batches(_sides(pairs, sets, ["n", "tokens"])).mapInArrow(run, "x long, y long, linked boolean, outside long, bits array<bigint>")
+    return in_batches(_sides(pairs, sets, ["n", "tokens"])).mapInArrow(run, "x long, y long, linked boolean, outside long, bits array<bigint>, beyond array<bigint>")
 
 
 def candidates_left(sets: DataFrame, labels: DataFrame, by_hub: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """(x, y): the pairs of different components in one posting list whose sizes and bit maps allow a link; and the
-    staged lists they are made of."""
-    known = sets.select("sid", "n", "head").join(labels.select(F.col("v").alias("sid"), "c"), "sid", "left").join(by_hub.select(F.col("x").alias("sid"), F.col("y").alias("hub"), "outside", "bits"), "sid", "left")
-    lists = known.select("sid", "n", F.coalesce("c", "sid").alias("c"), "hub", "outside", "bits", F.explode("head").alias("token"))
+    """(x, y): the pairs of different components in one posting list whose remainders, bit maps and sketches allow a
+    link; and the staged lists they are made of."""
+    known = sets.select("sid", "n", "own", "head", "sketch", (F.octet_length("tokens") / 8).cast("long").alias("shared"))
+    known = known.join(labels.select(F.col("v").alias("sid"), "c"), "sid", "left").join(by_hub.select(F.col("x").alias("sid"), F.col("y").alias("hub"), "outside", "bits", "beyond"), "sid", "left")
+    # of a pair without a common hub the whole sketches are needed, of one with a hub those beyond it
+    lists = known.select("sid", "n", "own", F.coalesce("c", "sid").alias("c"), "hub", "shared", "sketch", "outside", "bits", "beyond", F.posexplode("head").alias("place", "token"))
+    lists = lists.withColumn("rest", F.col("n") - F.col("own") - F.col("place")).drop("own", "place")
     # lists of one component have nothing left
     mixed = lists.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
     left = staged(lists.join(mixed, "token"), "lists-left")
+    # each pair of a list is tested on whole columns, cheapest test first
     a, b = left.alias("a"), left.alias("b")
     total = F.col("a.n") + F.col("b.n")
     fits = lambda both: 100 * both >= threshold * (total - both)
     inside = F.aggregate(F.zip_with("a.bits", "b.bits", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
     ok = (F.col("a.token") == F.col("b.token")) & (F.col("a.c") != F.col("b.c")) & (F.col("a.sid") < F.col("b.sid"))
-    ok &= fits(F.least("a.n", "b.n"))
-    ok &= F.when(F.col("a.hub") == F.col("b.hub"), fits(inside + F.least("a.outside", "b.outside"))).otherwise(F.lit(True))
+    ok &= fits(F.least("a.rest", "b.rest"))
+
+    def common(size, sketch):
+        """No more than this many of ``size`` sketched tokens are common."""
+        alone = lambda v, w: sum(F.bit_count(F.col(f"{v}.{sketch}")[i].bitwiseAND(F.bitwise_not(F.col(f"{w}.{sketch}")[i]))) for i in range(SKETCH // 64))
+        return F.least(F.col(f"a.{size}") - alone("a", "b"), F.col(f"b.{size}") - alone("b", "a"))
+
+    ok &= F.when(F.col("a.hub") == F.col("b.hub"), fits(inside + common("outside", "beyond"))).otherwise(fits(common("shared", "sketch")))
     return a.join(b, ok).select(F.col("a.sid").alias("x"), F.col("b.sid").alias("y")).distinct(), left
 
 
