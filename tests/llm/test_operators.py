@@ -11,6 +11,8 @@ import re
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tranchery.llm import components, decontaminate, jaccard_join, language_id, lattice, lattice_score, license_scan, line_dedup, secret_scan, segment_sampling, token_cache, weak_quality
@@ -97,6 +99,32 @@ def test_jaccard_join_is_exact(spark, monkeypatch, few, frequent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
 
 
+@pytest.mark.parametrize("bits", [64, 512])
+def test_jaccard_join_links_sets_that_share_more_than_their_hub(spark, monkeypatch, bits):
+    """Texts of one opening and one of several further passages, altered: many links are not with the hub."""
+    monkeypatch.setattr(jaccard_join, "SKETCH", bits)
+    r = random.Random(bits)
+    fresh = lambda i, n: [f"p{i}x{k}" for k in range(n)]
+    opening, further = fresh("o", 60), [fresh(i, 30) for i in range(4)]
+    rows = []
+    for i in range(60):
+        w = opening + r.choice(further)
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = f"w{r.randrange(6)}"
+        rows.append((i, " ".join(w)))
+    got = jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 300), st.integers(0, 300), st.integers(0, 300))
+def test_sketch_bounds_common_tokens(both, a, b):
+    token = jaccard_join.mix(np.arange(both + a + b, dtype=np.uint64))
+    x, y = token[: both + a], np.append(token[:both], token[both + a :])
+    bits = [sum(int(v & ~w & (1 << 64) - 1).bit_count() for v, w in zip(p, q, strict=True)) for p, q in ((jaccard_join._sketch(x), jaccard_join._sketch(y)), (jaccard_join._sketch(y), jaccard_join._sketch(x)))]
+    assert both <= min(len(x) - bits[0], len(y) - bits[1])
+
+
 def test_jaccard_join_reads_the_texts_three_times(spark, monkeypatch):
     """The number of passes does not grow with the tables."""
     passes = []
