@@ -51,6 +51,14 @@ def test_snapshot_options(spark):
     assert last(stop_at_payoff=True)["2"] == "CURRENT"
 
 
+def test_applicants_keep_the_greatest_row_of_an_id(spark):
+    rows = [("1", 10.0, None), ("1", 20.0, 1.0), ("1", 20.0, None), ("1", None, 9.0), (None, 5.0, 1.0)]
+    raw = spark.createDataFrame(rows, "id string, annual_inc double, dti double").withColumns({c: F.lit(None).cast("string") for c in ("home_ownership", "emp_length", "addr_state", "fico_range_low")})
+    for order in ("annual_inc", "dti"):
+        got = layers.applicants(raw.orderBy(order)).collect()
+        assert [(r["loan_id"], float(r["annual_inc"]), float(r["dti"])) for r in got] == [("1", 20.0, 1.0)]
+
+
 def test_guard_ids_fails_on_a_bad_id(spark):
     with pytest.raises(Exception, match="not a loan id"):
         layers.guard_ids(spark.createDataFrame([("x1",)], "id string")).collect()

@@ -85,14 +85,16 @@ def performance_facts(raw: DataFrame, snapshot_month: str) -> DataFrame:
 
 
 def applicants(raw: DataFrame) -> DataFrame:
-    """One row per loan: applicant columns with income and score bands."""
+    """One row per loan: applicant columns with income and score bands.  Of rows with one id the greatest stays,
+    compared column by column (nulls are least)."""
     c = F.col
     out = raw.select(
         c("id").cast("string").alias("loan_id"), c("annual_inc").cast("string").try_cast("decimal(16,2)").alias("annual_inc"), L.upper_trim(c("home_ownership")).alias("home_ownership"), L.first_number(c("emp_length")).alias("emp_length_years"),
         L.upper_trim(c("addr_state")).alias("addr_state"), c("fico_range_low").cast("string").try_cast("decimal(8,2)").alias("fico_low"), c("dti").cast("string").try_cast("decimal(10,4)").alias("dti"),
     )
     banded = out.withColumn("income_band", L.income_band(c("annual_inc"))).withColumn("fico_band", L.fico_band(c("fico_low")))
-    return banded.where("loan_id is not null").dropDuplicates(["loan_id"])
+    rest = F.struct(*[x for x in banded.columns if x != "loan_id"])
+    return banded.where("loan_id is not null").groupBy("loan_id").agg(F.max(rest).alias("r")).select("loan_id", "r.*")
 
 
 def products(raw: DataFrame) -> DataFrame:
