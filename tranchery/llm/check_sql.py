@@ -64,4 +64,53 @@ def _op8() -> str:
     return "with " + ",\n".join(parts) + f"\nselect doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} base_failed, not {failed} and {post} >= {W.THRESHOLD} kept from v, m{W.ITERATIONS}"
 
 
-SQL = {"op2_jaccard_join": OP2, "op4_line_dedup": OP4, "op8_quality_rules": _op8(), "op10_decontamination": OP10}
+def _op12(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Doubles hold these whole numbers exactly, as all stay below 2**53."""
+    dist = "list_inner_product(v.q, v.q) - 2 * list_inner_product(v.q, c.q) + list_inner_product(c.q, c.q)"
+    parts = [
+        f"v as materialized (select row_number() over () r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) q from embeddings where len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {dims})",
+        f"c0 as materialized (select row_number() over (order by sha256('2:' || vec_id), q) - 1 c, q from v where vec_id is not null order by 1 limit {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} as materialized (select r, any_value(vec_id) vec_id, any_value(vq) q, arg_min(c, (d, c)) c, min(d) d from (select v.r, v.vec_id, v.q vq, c.c, {dist} d from v, c{i} c) group by r)")
+        if i < rounds:
+            parts.append(f"m{i} as (select c, list(s order by k) q from (select c, k, floor(sum(x) / count(*)) s from (select c, unnest(q) x, unnest(range({dims})) k from a{i}) group by c, k) group by c)")
+            parts.append(f"c{i + 1} as materialized (select c{i}.c, coalesce(m{i}.q, c{i}.q) q from c{i} left join m{i} using (c))")
+    digest = "sha256(array_to_string(list_transform(f.q, lambda x: x::bigint::varchar), ','))"
+    return "with " + ",\n".join(parts) + f"\nselect a.vec_id, a.c::int cluster, a.d::bigint distance, (sum(a.d) over (partition by a.c))::bigint cluster_inertia, (sum(a.d) over ())::bigint inertia, {digest} centroid_sha256 from a{rounds} a join c{rounds} f using (c)"
+
+
+def _op13(levels: int = 7) -> str:
+    """Trees of up to 8**levels leaves.  CRC-32 by its shifts: a byte is met by exclusive or, then eight shifts follow."""
+    code = lambda x: f"coalesce(strlen({x}::varchar) || ':' || {x}::varchar, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(code(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    steps = "flatten(list_transform(string_split(doc_id::varchar, ''), lambda x: list_concat([ascii(x)::bigint], list_transform(range(8), lambda i: -1::bigint))))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::bigint, {steps}), lambda c, s: case when s >= 0 then xor(c, s) when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end), 4294967295::bigint)"
+    parts = [
+        f"d as materialized (select row_number() over () r, doc_id, lang, {leaf('text')} leaf, case when {crc} % 3 = 0 then {leaf(lowered('text'))} end bad from documents)",
+        "p as materialized (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 i from d)",
+        "l0 as (select lang t, i, leaf x from p)",
+    ]
+    runs = []
+    for tree in ("l", "g"):
+        if tree == "g":
+            tops = " union all ".join(f"select t, x from l{k} where (select count(*) from l{k} o where o.t is not distinct from l{k}.t) = 1" for k in range(levels + 1))
+            parts.append(f"s as materialized (select t, x, row_number() over (order by t nulls first) - 1 i from (select t, any_value(x) x from ({tops}) group by t))")
+            parts.append("g0 as (select null::varchar t, i, x from s)")
+        for k in range(levels):
+            many = f"(select t from {tree}{k} group by t having count(*) > 1)"
+            parts.append(f"{tree}r{k} as materialized (select t, i // 8 j, list(x order by i) xs from {tree}{k} where exists (select 1 from {many} m where m.t is not distinct from {tree}{k}.t) group by 1, 2)")
+            parts.append(f"{tree}{k + 1} as materialized (select t, j i, sha256(array_to_string(xs, '')) x from {tree}r{k})")
+            runs.append((tree, k))
+    parts.append(f"root as (select x from (select x, 0 k from g0 where (select count(*) from g0) = 1 {''.join(f' union all select x, {k} from g{k} where (select count(*) from g{k}) = 1' for k in range(1, levels + 1))}) order by k limit 1)")
+    parts.append("f0 as (select p.r, p.doc_id, p.leaf, s.x subroot, p.lang t, p.i, s.i gi, '' pr, coalesce(p.bad, p.leaf) f from p join s on s.t is not distinct from p.lang)")
+    for n, (tree, k) in enumerate(runs):
+        at, on = ("i", "q.t is not distinct from f.t") if tree == "l" else ("gi", "true")
+        mine = f"(f.{at} // {8**k})"
+        side = lambda a, b: f"array_to_string(q.xs[{a}:{b}], '')"
+        before, after = side("1", f"{mine} % 8"), side(f"{mine} % 8 + 2", "8")
+        parts.append(f"f{n + 1} as materialized (select r, doc_id, leaf, subroot, f.t, f.i, gi, case when q.xs is null then pr else pr || {before} || {after} end pr, case when q.xs is null then f else sha256({before} || f || {after}) end f from f{n} f left join {tree}r{k} q on {on} and q.j = {mine} // 8)")
+    return "with " + ",\n".join(parts) + f"\nselect doc_id, leaf, subroot, root.x root, sha256(pr) proof_sha256, f folded_root, f = root.x verified from f{len(runs)}, root"
+
+
+SQL = {"op12_zone_clusters": _op12(), "op13_merkle_manifest": _op13(), "op2_jaccard_join": OP2, "op4_line_dedup": OP4, "op8_quality_rules": _op8(), "op10_decontamination": OP10}

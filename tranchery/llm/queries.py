@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tranchery.llm import decontaminate, jaccard_join, language_id, lattice_score, license_scan, line_dedup, secret_scan, segment_sampling, token_cache, weak_quality
+from tranchery.llm import decontaminate, jaccard_join, language_id, lattice_score, license_scan, line_dedup, merkle_manifest, secret_scan, segment_sampling, simhash, token_cache, weak_quality, zone_clusters
 from tranchery.llm.check_sql import SQL  # noqa: F401
 from tranchery.llm.shared import fresh_path, table
 
@@ -68,5 +68,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(found)
 
 
-QUERIES = {f.__name__: f for f in (op1_segmentations, op2_jaccard_join, op3_lm_scores, op4_line_dedup, op5_token_counts, op6_language_id, op7_license_scan, op8_quality_rules, op9_secret_scan, op10_decontamination)}
+def op11_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
+def op12_zone_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zone_clusters.with_inertia(*zone_clusters.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampers = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    proved = merkle_manifest.verify(*merkle_manifest.manifest(table(spark, sf_dir, "documents"), tampers=tampers))
+    return proved.withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_segmentations, op2_jaccard_join, op3_lm_scores, op4_line_dedup, op5_token_counts, op6_language_id, op7_license_scan, op8_quality_rules, op9_secret_scan, op10_decontamination, op11_simhash_classes, op12_zone_clusters, op13_merkle_manifest)}
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20
 
@@ -51,5 +52,21 @@ def in_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def joined_by_weight(rows: DataFrame, keyed: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` with the columns of ``keyed``, which has each key once with its number of rows (``weight``, left out).
+
+    Keys with over a thousandth of all rows, a thousand at most, are broadcast; the others meet in a shuffle, where no
+    key is large.  Every row has its key in ``keyed``; keys are not null."""
+    keyed = staged(keyed, "keyed")
+    total = keyed.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * 1000 > total
+    found = [c for c in keyed.columns if c not in (key, weight)]
+    some = keyed.where(hot).select(key, F.struct(*found).alias("_found"))
+    met = rows.join(F.broadcast(some), key, "left")
+    often = met.where("_found is not null").select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in found])
+    seldom = met.where("_found is null").select(*rows.columns).join(keyed.where(~hot).drop(weight), key)
+    return often.unionByName(seldom)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
