@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -16,23 +17,47 @@ from tranchery.sources.fixtures import changes
 from tranchery.streaming import changes as st
 
 C = F.col
-FILES = 3
-
-
-def _files(spark, sf_dir, where="true"):
-    """Change files in order of sequence: file i holds a range, and is written after file i-1."""
-    path, log = scratch(spark, "changes"), changes(spark, sf_dir).where(where)
+SLOTS = 3
+#: changes of these sequence numbers come one slot, or two, after those around them
+_LATE = ((17, 3, 1), (23, 5, 2))
+#: the slot of each change in SQL (named ``arrived``): thirds of the sequence numbers, then the late ones
+_EDGE = "(select min(event_id) + (max(event_id) + 1 - min(event_id)) * {i} // {n} from events)"
+_SLOT = "(" + " + ".join(f"(seq >= {_EDGE.format(i=i, n=SLOTS)})::int" for i in range(1, SLOTS)) + ")"
+_ARRIVED = f"arrived as (select *, least({SLOTS - 1}, {_SLOT} + case " + " ".join(f"when seq % {m} = {r} then {d}" for m, r, d in _LATE) + f" else 0 end) slot, least({SLOTS - 1}, {_SLOT}) own from log)"
+
+
+def _slots(spark, sf_dir, late=False):
+    """The change log with the slot in which each change comes, staged by slot: a range of sequence numbers, and with
+    ``late`` the changes that were held up."""
+    log = changes(spark, sf_dir)
     edges = T.read_table(spark, sf_dir, "events").agg(F.min("event_id"), F.max("event_id")).first()
     low, high = edges[0] or 0, (edges[1] or 0) + 1
-    for i in range(FILES):
-        a, b = low + (high - low) * i // FILES, low + (high - low) * (i + 1) // FILES
-        log.where((C("seq") >= a) & (C("seq") < b)).coalesce(1).write.mode("append").json(path)
-    return path
+    own = sum((C("seq") >= low + (high - low) * i // SLOTS).cast("int") for i in range(1, SLOTS))
+    slot = own
+    if late:
+        held = None
+        for m, r, d in _LATE:
+            held = (held.when if held is not None else F.when)(C("seq") % m == r, d)
+        slot = F.least(F.lit(SLOTS - 1), slot + held.otherwise(0))
+    path = scratch(spark, "slots")
+    log.withColumns({"slot": slot.cast("int"), "own": own.cast("int")}).write.partitionBy("slot").parquet(path)
+    staged = spark.read.schema(f"{st.CHANGE}, own int, slot int").parquet(path)
+    return [staged.where(f"slot = {i}") for i in range(SLOTS)]
+
+
+def _fed(spark, sf_dir, run, late=False):
+    """Writes the files of one slot after the other into a stream's source, and lets ``run(stream, checkpoint)`` take
+    what has come each time; what the runs return."""
+    source, checkpoint, out = scratch(spark, "changes"), scratch(spark, "checkpoint"), []
+    for part in _slots(spark, sf_dir, late):
+        part.drop("slot", "own").write.mode("append").json(source)
+        out.append(run(st.file_source(spark, source, files_per_batch=None), checkpoint))
+    return out
 
 
-def _streamed(spark, sf_dir, writer_of, where="true"):
+def _streamed(spark, sf_dir, writer_of, late=False):
     out = scratch(spark, "streamed")
-    st.run_available(st.file_source(spark, _files(spark, sf_dir, where)), writer_of(out), scratch(spark, "checkpoint"))
+    _fed(spark, sf_dir, lambda stream, checkpoint: st.run_available(stream, writer_of(out), checkpoint), late)
     return out
 
 
@@ -42,7 +67,11 @@ def changelog_source(spark, sf_dir):
     return spark.read.parquet(out).groupBy("op").agg(F.count("*").alias("cnt"))
 
 
-@query("changelog_sink")
+_IMAGE = """'{"grp":"' || g%d || '","amt":' || cast(a%d as varchar) || '}'"""
+_ENVELOPE = f"""'{{"seq":' || seq || ',"pk":' || pk || ',"op_ts":"' || strftime(op_ts, '%Y-%m-%dT%H:%M:%S.%g') || '","op":"' || op || '"' || coalesce(',"before":' || {_IMAGE % (0, 0)}, '') || coalesce(',"after":' || {_IMAGE % (1, 1)}, '') || '}}'"""
+
+
+@query("changelog_sink", S.with_parts(f"select cast(pk as varchar) as key, {_ENVELOPE} as value from log", "log"))
 def changelog_sink(spark, sf_dir):
     return st.to_envelopes(changes(spark, sf_dir))
 
@@ -79,7 +108,7 @@ def month_agg_upsert(spark, sf_dir):
 def multi_sink(spark, sf_dir):
     mirror, totals, log = (scratch(spark, n) for n in ("mirror", "totals", "log"))
     writer = st.multi_sink(st.merge_latest(mirror), st.merge_totals(totals), st.append_batch(log))
-    st.run_available(st.file_source(spark, _files(spark, sf_dir)), writer, scratch(spark, "checkpoint"))
+    _fed(spark, sf_dir, lambda stream, checkpoint: st.run_available(stream, writer, checkpoint))
     a = st.read_version(spark, mirror, st.STATE).where("op != 'd'").agg(F.count("*").alias("mirror_rows"))
     b = spark.read.parquet(log).agg(F.count("*").alias("change_rows"))
     c = st.read_version(spark, totals, st.TOTALS).agg(F.sum("cnt").alias("total_rows"))
@@ -90,67 +119,84 @@ def _windows(df):
     return df.select("window_start", "cnt", C("total").cast("double").alias("total"))
 
 
+def _closed(spark, sf_dir, late, *window):
+    """(closed windows, progress of the runs) of the insert-only windows over the slots."""
+    out = scratch(spark, "windows")
+    progress = _fed(spark, sf_dir, lambda stream, checkpoint: st.append_available(st.tumble(stream, *window), out, checkpoint), late)
+    return spark.read.schema(st.CLOSED).parquet(out), [p for run in progress for p in run]
+
+
 @query("tumble_1min", S.with_parts("select date_trunc('minute', op_ts) window_start, count(*) cnt, cast(sum(a1) as double) total from log where g1 is not null group by 1 having date_trunc('minute', op_ts) + interval 1 minute <= (select max(op_ts) from log where g1 is not null) - interval 5 second", "log"))
 def tumble_1min(spark, sf_dir):
-    out = scratch(spark, "windows")
-    stream = st.tumble(st.file_source(spark, _files(spark, sf_dir)))
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "checkpoint")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return _windows(spark.read.parquet(out))
+    return _windows(_closed(spark, sf_dir, False)[0])
 
 
-@query("stream_watermark", S.with_parts("select cast(date_trunc('day', op_ts) as timestamp) window_start, count(*) cnt, cast(sum(a1) as double) total from log where g1 is not null group by 1", "log"))
-def stream_watermark(spark, sf_dir):
-    return _windows(st.tumble(changes(spark, sf_dir), "5 seconds", "1 day"))
+#: insert-only windows of a day under a watermark a day behind: a change is late where the watermark of the slots before
+#: its own has passed the end of its window; a window is closed once the last watermark has passed it
+_LATENESS = f"""{_ARRIVED},
+added as (select *, cast(date_trunc('day', op_ts) as timestamp) w from arrived where g1 is not null),
+marked as (select *, w + interval 1 day <= (select date_trunc('milliseconds', max(op_ts)) - interval 1 day from added e where e.slot < added.slot) late from added),
+closed as (select w window_start, count(*) cnt, cast(sum(a1) as double) total from marked where late is not true and w + interval 1 day <= (select date_trunc('milliseconds', max(op_ts)) - interval 1 day from added) group by 1)"""
 
 
-@query("tumble_changelog", S.with_parts("select date_trunc('minute', op_ts) window_start, count(*) cnt, cast(sum(a1) as double) total from latest group by 1", "latest"))
-def tumble_changelog(spark, sf_dir):
-    from pyspark.sql import Window
+def _late_sql(body):
+    return S.with_parts("", "latest").rstrip() + ",\n" + _LATENESS + "\n" + body
 
-    log = changes(spark, sf_dir).withColumn("before_ts", F.lag("op_ts").over(Window.partitionBy("pk").orderBy("seq")))
-    return _windows(st.tumble_current(log.withColumn("before_ts", F.when(C("before").isNotNull(), C("before_ts")))).where("cnt != 0"))
 
+@query("stream_watermark", _late_sql("select * from closed"))
+def stream_watermark(spark, sf_dir):
+    return _windows(_closed(spark, sf_dir, True, "1 day", "1 day")[0])
 
-@query("late_data", S.with_parts("select count(*) mirror_rows from latest", "latest"))
+
+@query("late_data", _late_sql("select (select count(*) from latest) mirror_rows, (select count(*) from arrived where slot > own) late_rows, (select count(*) from closed) closed_windows, (select cast(sum(cnt) as bigint) from closed) window_rows, (select count(*) from (select distinct slot, w from marked where late)) dropped_windows"))
 def late_data(spark, sf_dir):
-    out = scratch(spark, "late")
-    source, checkpoint = _files(spark, sf_dir), scratch(spark, "checkpoint")
-    st.run_available(st.file_source(spark, source), st.merge_latest(out), checkpoint)
-    # a change older than its key's last one arrives in a file of its own: the mirror stays as it is
-    first = changes(spark, sf_dir).groupBy("pk").agg(F.min("seq").alias("seq"), F.count("*").alias("n")).where("n > 1")
-    changes(spark, sf_dir).join(first.select("pk", "seq"), ["pk", "seq"]).select("seq", "pk", "op_ts", "op", "before", "after").coalesce(1).write.mode("append").json(source)
-    st.run_available(st.file_source(spark, source), st.merge_latest(out), checkpoint)
-    return st.read_version(spark, out, st.STATE).where("op != 'd'").agg(F.count("*").alias("mirror_rows"))
+    """The same late log by record and by window: the mirror takes every change, closed windows take none."""
+    mirror = _streamed(spark, sf_dir, st.merge_latest, late=True)
+    now = st.read_version(spark, mirror, st.STATE).where("op != 'd'").agg(F.count("*").alias("mirror_rows"))
+    late = [p.agg(F.count_if(C("own") < C("slot")).alias("n")) for p in _slots(spark, sf_dir, late=True)]
+    late = reduce(lambda a, b: a.unionByName(b), late)
+    closed, progress = _closed(spark, sf_dir, True, "1 day", "1 day")
+    windows = closed.agg(F.count("*").alias("closed_windows"), F.sum("cnt").alias("window_rows"))
+    return now.crossJoin(late.agg(F.sum("n").alias("late_rows"))).crossJoin(windows).withColumn("dropped_windows", F.lit(st.dropped_groups(progress)).cast("long"))
+
+
+@query("tumble_changelog", S.with_parts("select date_trunc('minute', op_ts) window_start, count(*) cnt, cast(sum(a1) as double) total from latest group by 1", "latest"))
+def tumble_changelog(spark, sf_dir):
+    """Windows of current rows over the late log, by the state of each key."""
+    out = scratch(spark, "current-windows")
+    _fed(spark, sf_dir, lambda stream, checkpoint: st.run_available(st.current_windows(stream), st.merge_windows(out), checkpoint), late=True)
+    return _windows(st.read_version(spark, out, st.WINDOWS).where("cnt != 0"))
 
 
 @query("exactly_once_restart", S.with_parts(_TOTALS, "signed"))
 def exactly_once_restart(spark, sf_dir):
-    source, out, checkpoint = _files(spark, sf_dir), scratch(spark, "restart"), scratch(spark, "checkpoint")
-
-    def failing(writer):
-        def write(batch, batch_id):
-            writer(batch, batch_id)
-            if batch_id == 1:
-                raise RuntimeError("stopped after the sink wrote, before the batch was committed")
-
-        return write
-
-    try:
-        st.run_available(st.file_source(spark, source), failing(st.merge_totals(out)), checkpoint)
-    except Exception as e:  # the stream reports the stop as its own error
-        if "stopped after the sink wrote" not in str(e):
-            raise
-    st.run_available(st.file_source(spark, source), st.merge_totals(out), checkpoint)
+    """The second batch fails after its sink wrote and before it was committed, and is run again."""
+    out = scratch(spark, "restart")
+
+    def failing(batch, batch_id):
+        st.merge_totals(out)(batch, batch_id)
+        if batch_id == 1:
+            raise RuntimeError("stopped after the sink wrote, before the batch was committed")
+
+    def run(stream, checkpoint):
+        try:
+            st.run_available(stream, failing, checkpoint)
+        except Exception as e:  # the stream reports the stop as its own error
+            if "stopped after the sink wrote" not in str(e):
+                raise
+            st.run_available(stream, st.merge_totals(out), checkpoint)
+
+    _fed(spark, sf_dir, run)
     return st.read_version(spark, out, st.TOTALS).where("cnt != 0").select("grp", "cnt", C("total").cast("double").alias("total"))
 
 
 @query("as_of_version", S.with_parts("""select v.version, count(*) n_rows, cast(sum(a1) as double) total from (select unnest([0, 1, 2]) as version) v, lateral (select * from (select *, row_number() over (partition by pk order by op_ts desc, seq desc) rn from log
   where seq < (select min(event_id) + (max(event_id) + 1 - min(event_id)) * (v.version + 1) // 3 from events)) where rn = 1 and op <> 'd') l group by 1""", "log"))
 def as_of_version(spark, sf_dir):
-    out = _streamed(spark, sf_dir, st.append_batch)
-    log, all_ = spark.read.parquet(out), None
-    for v in range(FILES):
-        part = changelog.as_of(log, v).agg(F.lit(v).alias("version"), F.count("*").alias("n_rows"), F.sum("after.amt").cast("double").alias("total"))
+    """Every version of the mirror, read back from its manifest."""
+    out, all_ = _streamed(spark, sf_dir, st.merge_latest), None
+    for v in range(SLOTS):
+        part = st.read_version(spark, out, st.STATE, v).where("op != 'd'").agg(F.lit(v).alias("version"), F.count("*").alias("n_rows"), F.sum("amt").cast("double").alias("total"))
         all_ = part if all_ is None else all_.unionByName(part)
     return all_
 
@@ -187,12 +233,14 @@ def latency_stats(spark, sf_dir):
     return _latency(spark, sf_dir)
 
 
-@query("end_to_end_latency", S.with_parts("select count(*) cnt, count(*) measured from (select *, row_number() over (partition by pk order by op_ts desc, seq desc) rn from log) where rn = 1", "log"))
+@query("end_to_end_latency", S.with_parts("", "log").rstrip() + ",\n" + _ARRIVED + """,
+last as (select *, row_number() over (partition by pk order by op_ts desc, seq desc) rn from (select *, max(op_ts) over (partition by own) sink_ts from arrived))
+select count(*) cnt, min(d) min_ms, round(avg(d), 4) avg_ms, max(d) max_ms from (select (epoch_us(sink_ts) // 1000 - epoch_us(op_ts) // 1000)::double d from last where rn = 1)""")
 def end_to_end_latency(spark, sf_dir):
-    """Keys of the mirror, and those whose last change has a latency: a sink time not before its change."""
-    out = _streamed(spark, sf_dir, st.merge_latest)
-    state = st.read_version(spark, out, st.STATE)
-    return state.agg(F.count("*").alias("cnt"), F.count_if(L.ts_diff_ms(C("sink_ts"), C("op_ts")) >= 0).alias("measured"))
+    """From each key's last change to the time its batch was written, on the clock of the log."""
+    out = _streamed(spark, sf_dir, lambda path: st.merge_latest(path, event_clock=True))
+    took = L.ts_diff_ms(C("sink_ts"), C("op_ts"))
+    return st.read_version(spark, out, st.STATE).agg(F.count("*").alias("cnt"), F.min(took).alias("min_ms"), F.round(F.avg(took), 4).alias("avg_ms"), F.max(took).alias("max_ms"))
 
 
 @query("batch_stream_reconcile", S.with_parts("select grp, cast(sum(sign) as bigint) batch_cnt, cast(sum(sign) as bigint) stream_cnt, 0::bigint cnt_diff, cast(sum(sign * amt) as double) batch_sum, cast(sum(sign * amt) as double) stream_sum, 0.0::double sum_diff, 'equal' status from signed group by grp having sum(sign) <> 0", "signed"))
