@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tranchery.functions import loan as L
+from tranchery.sources.layout import write_bounded
 
 NUMERIC = ["loan_amnt", "funded_amnt", "int_rate", "installment", "annual_inc", "dti", "delinq_2yrs", "fico_range_low", "fico_range_high", "inq_last_6mths", "open_acc", "pub_rec", "revol_bal", "revol_util", "total_acc", "mort_acc", "pub_rec_bankruptcies", "total_rec_prncp", "total_rec_int", "recoveries", "out_prncp", "total_pymnt", "last_pymnt_amnt"]
 TEXT = ["id", "term", "grade", "sub_grade", "emp_length", "home_ownership", "verification_status", "issue_d", "loan_status", "purpose", "title", "addr_state", "zip_code", "earliest_cr_line", "application_type", "last_pymnt_d"]
@@ -154,6 +155,6 @@ def expected_snapshot_rows(raw: DataFrame, end: str, mob_max: int = MOB_MAX) ->
     return raw.where(i.isNotNull()).agg(F.coalesce(F.sum(months), F.lit(0)).cast("long").alias("expected_rows"))
 
 
-def write_snapshot(snapshot: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """One directory per month; each task writes whole months."""
-    snapshot.repartition("snapshot_month").write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_month").save(path)
+def write_snapshot(snapshot: DataFrame, path: str, fmt: str = "parquet", rows_per_file: int = 1_000_000) -> None:
+    """One directory per month, replaced where the snapshot has the month; a large month has several files."""
+    write_bounded(snapshot, path, "snapshot_month", rows_per_file, "overwrite", fmt)

@@ -8,6 +8,7 @@ from tranchery.plans import check_sql as S
 from tranchery.plans.catalog import query
 from tranchery.plans.layer_queries import _facts
 from tranchery.plans.scratch import scratch
+from tranchery.sources import layout
 from tranchery.sources import tables as T
 
 C = F.col
@@ -61,21 +62,65 @@ def compaction_compare(spark, sf_dir):
 @query("small_files_compact", S.with_parts("select substr(issue_month, 1, 4) as year, 1::bigint files from facts group by 1", "facts"))
 def small_files_compact(spark, sf_dir):
     few = _many_and_compact(spark, sf_dir)[1]
-    return T.file_stats(spark.read.parquet(few), "year").select(C("year").cast("string").alias("year"), "files")
+    return T.file_stats(spark, few, "year").select(C("year").cast("string").alias("year"), "files")
 
 
 @query("repartition_write", S.with_parts("select grade, 1::bigint files from facts where grade is not null group by grade", "facts"))
 def repartition_write(spark, sf_dir):
     path = scratch(spark, "by-grade")
     _facts(spark, sf_dir).select("loan_id", "grade").where("grade is not null").repartition(20, "grade").write.partitionBy("grade").parquet(path)
-    return T.file_stats(spark.read.parquet(path), "grade").select("grade", "files")
+    return T.file_stats(spark, path, "grade").select("grade", "files")
 
 
 @query("file_stats", "select o_orderstatus, count(distinct o_orderstatus) files from orders group by 1")
 def file_stats(spark, sf_dir):
     path = scratch(spark, "by-status")
     T.overwrite_partitions(T.read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), path, "o_orderstatus")
-    return T.file_stats(spark.read.parquet(path), "o_orderstatus").select("o_orderstatus", "files")
+    return T.file_stats(spark, path, "o_orderstatus").select("o_orderstatus", "files")
+
+
+#: nine tenths of the loans are put into one month
+_SKEWED = "case when cast(loan_id as bigint) % 10 <> 0 then '1998-06' else issue_month end"
+_PER_FILE = 2000
+
+
+def _skewed(spark, sf_dir):
+    facts = _facts(spark, sf_dir).select("loan_id", "grade", "funded_amnt", "purpose", "issue_month")
+    return facts.withColumn("issue_month", F.when(C("loan_id").cast("long") % 10 != 0, "1998-06").otherwise(C("issue_month")))
+
+
+@query("bounded_write", S.with_parts(f"select month, n n_rows, case when n <= {_PER_FILE} then 1 else cast(ceil(n * 1.1 / {_PER_FILE}) as bigint) end files, true bounded from (select {_SKEWED} as month, count(*) n from facts group by 1)", "facts"))
+def bounded_write(spark, sf_dir):
+    """A month of nine tenths of all rows is written by many tasks, the others by one each."""
+    path = scratch(spark, "bounded")
+    layout.write_bounded(_skewed(spark, sf_dir), path, "issue_month", _PER_FILE)
+    rows = spark.read.parquet(path).groupBy(C("issue_month").cast("string").alias("month"), "_metadata.file_path").agg(F.count("*").alias("n"))
+    return rows.groupBy("month").agg(F.sum("n").alias("n_rows"), F.count("*").alias("files"), (F.max("n") <= _PER_FILE).alias("bounded"))
+
+
+@query("bounded_compaction", S.with_parts(f"select {_SKEWED} as month, count(*) n_rows, cast(sum(funded_amnt) as double) funded, 0::bigint too_large, true few_small from facts group by 1", "facts"))
+def bounded_compaction(spark, sf_dir):
+    """Many small files packed to at most a tenth of the table each: none is larger, and of those below a third of it
+    a month has one at most but for the last of each kind."""
+    many, few = scratch(spark, "many"), scratch(spark, "few")
+    _skewed(spark, sf_dir).repartition(40).write.partitionBy("issue_month").parquet(many)
+    target = int(layout.file_stats(spark, many).first()["bytes"]) // 10
+    layout.compact(spark, many, few, "issue_month", target)
+    files = layout.listed_files(spark, few, "issue_month")
+    sizes = files.groupBy(C("issue_month").alias("month")).agg(F.count_if(C("bytes") > target).alias("too_large"), (F.count_if(C("bytes") * 3 < target) <= 1).alias("few_small"))
+    rows = spark.read.parquet(few).groupBy(C("issue_month").cast("string").alias("month")).agg(F.count("*").alias("n_rows"), F.sum("funded_amnt").cast("double").alias("funded"))
+    return rows.join(sizes, "month")
+
+
+@query("partition_files_read", S.with_parts("select 'month' as read, 1::bigint files, count(*) filter (issue_month = '1998-06') n_rows from facts union all select 'all', count(distinct issue_month), count(*) from facts", "facts"))
+def partition_files_read(spark, sf_dir):
+    """Files and rows that scans of a partitioned table take, by the scans' own counters."""
+    path = scratch(spark, "by-month")
+    layout.write_bounded(_facts(spark, sf_dir).select("loan_id", "funded_amnt", "issue_month"), path, "issue_month")
+    table = spark.read.schema("loan_id string, funded_amnt decimal(14,2), issue_month string").parquet(path)
+    total = lambda d: layout.scanned(d.agg(F.sum("funded_amnt")))
+    took = {"month": total(table.where("issue_month = '1998-06'")), "all": total(table)}
+    return spark.createDataFrame([(k, v["files"], v["rows"]) for k, v in took.items()], "read string, files long, n_rows long")
 
 
 _COUNT = "select grade, count(*) cnt, cast(sum(funded_amnt) as double) funded from facts group by grade"

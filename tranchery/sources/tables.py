@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tranchery.sources.layout import compact, file_stats, write_bounded  # noqa: F401
+
 #: blanks around values are kept
 _AS_IS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 _DATA_LINE = "^([0-9]+[.]?[0-9]*|[.][0-9]+)$"
@@ -89,27 +91,9 @@ def jdbc_read_ranges(spark: SparkSession, url: str, name: str, column: str, part
     return spark.read.format("jdbc").options(url=url, dbtable=name, partitionColumn=column, lowerBound=low, upperBound=high + 1, numPartitions=partitions, **options).load()
 
 
-def overwrite_partitions(df: DataFrame, path: str, column: str, fmt: str = "parquet") -> None:
-    """Replace only those partitions that the input holds; files follow the partition column."""
-    df.repartition(column).write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).save(path)
-
-
-def compact(spark: SparkSession, path: str, out: str, column: str | None = None, max_records: int | None = None, fmt: str = "parquet") -> None:
-    """Rewrite a table of many files: one file per partition value, or files of at most ``max_records`` rows."""
-    df = spark.read.format(fmt).load(path)
-    if column:
-        df = df.repartition(column)
-    writer = df.write.format(fmt).mode("overwrite")
-    if max_records:
-        writer = writer.option("maxRecordsPerFile", max_records)
-    (writer.partitionBy(column) if column else writer).save(out)
-
-
-def file_stats(df: DataFrame, by: str | None = None) -> DataFrame:
-    """Number and sizes of the files a file-based DataFrame reads, in all or per partition column."""
-    files = df.select("_metadata.file_path", "_metadata.file_size", *([by] if by else [])).distinct()
-    grouped = files.groupBy(by) if by else files.groupBy()
-    return grouped.agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"), F.avg("file_size").alias("avg_bytes"), F.min("file_size").alias("min_bytes"), F.max("file_size").alias("max_bytes"))
+def overwrite_partitions(df: DataFrame, path: str, column: str, fmt: str = "parquet", rows_per_file: int = 1_000_000) -> None:
+    """Replace only those partitions that the input holds; a partition has files of at most ``rows_per_file`` rows."""
+    write_bounded(df, path, column, rows_per_file, "overwrite", fmt)
 
 
 def reload_checked(df: DataFrame, path: str) -> int:
