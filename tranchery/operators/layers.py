@@ -158,3 +158,10 @@ def expected_snapshot_rows(raw: DataFrame, end: str, mob_max: int = MOB_MAX) ->
 def write_snapshot(snapshot: DataFrame, path: str, fmt: str = "parquet", rows_per_file: int = 1_000_000) -> None:
     """One directory per month, replaced where the snapshot has the month; a large month has several files."""
     write_bounded(snapshot, path, "snapshot_month", rows_per_file, "overwrite", fmt)
+
+
+def save_bucketed(df: DataFrame, name: str, path: str, key: str = "loan_id", buckets: int = 16, order: str | None = "snapshot_month") -> DataFrame:
+    """A table bucketed by ``key``, one file per bucket: joins and windows by that key read it without a shuffle."""
+    by = [key, order] if order else [key]
+    df.repartition(buckets, key).sortWithinPartitions(*by).write.mode("overwrite").bucketBy(buckets, key).sortBy(*by).option("path", path).format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)

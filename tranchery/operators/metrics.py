@@ -81,9 +81,14 @@ def next_month_lead(snapshot: DataFrame) -> DataFrame:
     return out.where(F.col("to_month") == L.add_months_str(F.col("from_month"), 1))
 
 
-def roll_rates(snapshot: DataFrame, months: int = 12) -> DataFrame:
-    """Counts and shares of bucket changes into the next month; loans without a next month are not counted."""
-    counted = next_month_pairs(recent_months(snapshot, months)).groupBy("from_month", "from_bucket", "to_bucket").agg(F.count("*").alias("cnt"))
+def roll_rates(snapshot: DataFrame, months: int = 12, by_join: bool = False) -> DataFrame:
+    """Counts and shares of bucket changes into the next month; loans without a next month are not counted.
+
+    One window per loan serves snapshots that hold a loan once per month; ``by_join`` serves others.  A snapshot
+    bucketed by loan (``layers.save_bucketed``) needs no shuffle for the window."""
+    recent = recent_months(snapshot, months).where("loan_id is not null")
+    pairs = next_month_pairs(recent) if by_join else next_month_lead(recent)
+    counted = pairs.groupBy("from_month", "from_bucket", "to_bucket").agg(F.count("*").alias("cnt"))
     return counted.withColumn("rate", L.ratio(F.col("cnt"), F.sum("cnt").over(Window.partitionBy("from_month", "from_bucket"))))
 
 

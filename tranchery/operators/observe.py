@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tranchery.operators.changelog import latest_per_key
 
@@ -21,27 +20,24 @@ def task_skew(log: DataFrame, least_tasks: int = 2) -> DataFrame:
     return out.where(F.col("tasks") >= least_tasks).withColumn("skew", F.round(F.col("max_ms") / F.nullif(F.col("median_ms"), F.lit(0.0)), 2))
 
 
-def _plan_type(depth: int) -> T.StructType:
-    metric = T.StructType([T.StructField("name", T.StringType()), T.StructField("accumulatorId", T.LongType())])
-    fields = [T.StructField("nodeName", T.StringType()), T.StructField("metrics", T.ArrayType(metric))]
-    if depth:
-        fields.append(T.StructField("children", T.ArrayType(_plan_type(depth - 1))))
-    return T.StructType(fields)
+_NODE = "nodeName string, metrics array<struct<name:string,accumulatorId:bigint>>, children array<string>"
 
 
-def plan_metrics(log: DataFrame, depth: int = 12) -> DataFrame:
-    """(execution_id, node, metric, value): plan nodes down to ``depth``, of the last plan of each query, with the sums
-    of their accumulator updates in tasks."""
-    schema = T.StructType([T.StructField("executionId", T.LongType()), T.StructField("sparkPlanInfo", _plan_type(depth))])
+def plan_metrics(log: DataFrame) -> DataFrame:
+    """(execution_id, node, metric, value): the plan nodes, at any depth, of the last plan of each query, with the sums
+    of their accumulator updates in tasks.  Children are kept as text and read level by level until none is left."""
     plans = log.where("event like '%SparkListenerSQLExecutionStart' or event like '%SparkListenerSQLAdaptiveExecutionUpdate'")
     plans = plans.withColumn("adaptive", F.col("event").like("%Adaptive%").cast("int")).withColumn("order", F.monotonically_increasing_id())
-    last = latest_per_key(plans.select(F.from_json("value", schema).alias("p"), "adaptive", "order").select(F.col("p.executionId").alias("execution_id"), F.col("p.sparkPlanInfo").alias("n"), "adaptive", "order"), ["execution_id"], ["adaptive", "order"])
+    plans = plans.select(F.from_json("value", "executionId bigint, sparkPlanInfo string").alias("p"), "adaptive", "order")
+    last = latest_per_key(plans.select(F.col("p.executionId").alias("execution_id"), F.col("p.sparkPlanInfo").alias("n"), "adaptive", "order"), ["execution_id"], ["adaptive", "order"])
     level, nodes = last.select("execution_id", "n"), None
-    for d in range(depth + 1):
-        here = level.select("execution_id", F.col("n.nodeName").alias("node"), F.explode("n.metrics").alias("m")).select("execution_id", "node", F.col("m.name").alias("metric"), F.col("m.accumulatorId").alias("id"))
+    while True:
+        read = level.select("execution_id", F.from_json("n", _NODE).alias("n"))
+        here = read.select("execution_id", F.col("n.nodeName").alias("node"), F.explode("n.metrics").alias("m")).select("execution_id", "node", F.col("m.name").alias("metric"), F.col("m.accumulatorId").alias("id"))
         nodes = here if nodes is None else nodes.unionByName(here)
-        if d < depth:
-            level = level.select("execution_id", F.explode("n.children").alias("n"))
+        level = read.select("execution_id", F.explode("n.children").alias("n"))
+        if level.isEmpty():
+            break
     updates = log.where("event = 'SparkListenerTaskEnd'").select(F.explode(F.from_json(F.get_json_object("value", "$.Task Info.Accumulables"), "array<struct<ID:bigint,Update:string>>")).alias("a"))
     sums = updates.groupBy(F.col("a.ID").alias("id")).agg(F.sum(F.col("a.Update").try_cast("long")).alias("value"))
     return nodes.distinct().join(sums, "id").select("execution_id", "node", "metric", "value")

@@ -45,3 +45,29 @@ def date_spans(df: DataFrame, columns: list[str], fmt: str = "MMM-yyyy") -> Data
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in columns])).alias("r")).select("r.*")
     d = F.try_to_date("value", fmt)
     return long.groupBy("column_name").agg(F.count(d).alias("parsed"), (F.count("value") - F.count(d)).alias("failed"), F.min(d).alias("first_date"), F.max(d).alias("last_date"))
+
+
+def sketches(df: DataFrame, lg_k: int = 12, k: int = 200) -> DataFrame:
+    """One row per column, from one scan that shuffles one row per task: rows, non-null rows, a sketch of the distinct
+    values and, for numbers, one of the quantiles.
+
+    The error of distinct counts is about 1.04 / 2 ** (lg_k / 2), that of ranks about 2.3 / k ** 0.9, whatever the number
+    of rows; sketches of parts (days, months) merge to that of the whole."""
+    aggs = [F.count("*").alias("n")]
+    for i, (c, t) in enumerate(df.dtypes):
+        number = t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal")
+        quantiles = F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(k)) if number else F.lit(None).cast("binary")
+        aggs.append(F.struct(F.count(c).alias("full_n"), F.hll_sketch_agg(F.col(c).cast("string"), F.lit(lg_k)).alias("d"), quantiles.alias("q")).alias(f"s{i}"))
+    per = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"s{i}").alias("s")) for i, c in enumerate(df.columns)]))
+    return df.agg(*aggs).select("n", per.alias("r")).select("r.column_name", "n", "r.s.full_n", F.col("r.s.d").alias("distinct_sketch"), F.col("r.s.q").alias("quantile_sketch"))
+
+
+def merged_sketches(parts: DataFrame) -> DataFrame:
+    """The sketches of a whole from those of its parts."""
+    return parts.groupBy("column_name").agg(F.sum("n").alias("n"), F.sum("full_n").alias("full_n"), F.hll_union_agg("distinct_sketch").alias("distinct_sketch"), F.when(F.count("quantile_sketch") > 0, F.kll_merge_agg_double("quantile_sketch")).alias("quantile_sketch"))
+
+
+def sketched_profile(sketched: DataFrame, shares: tuple[float, ...] = (0.05, 0.5, 0.95)) -> DataFrame:
+    """Per column: rows, missing rows, estimated distinct values and quantiles (null for texts)."""
+    quantiles = F.array(*[F.when(F.col("full_n") > 0, F.kll_sketch_get_quantile_double("quantile_sketch", F.lit(q))) for q in shares])
+    return sketched.select("column_name", "n", (F.col("n") - F.col("full_n")).alias("missing"), F.hll_sketch_estimate("distinct_sketch").alias("distinct_values"), F.when(F.col("quantile_sketch").isNotNull(), quantiles).alias("quantiles"))

@@ -117,3 +117,21 @@ def volume_swing(df: DataFrame, batch: str, back: int = 3, limit: float = 0.5) -
     counted = df.groupBy(batch).agg(F.count("*").alias("cnt"))
     mean = F.avg("cnt").over(Window.orderBy(batch).rowsBetween(-back, -1))
     return counted.withColumn("trailing", F.round(mean, 4)).withColumn("swing", F.round(F.col("cnt") / F.nullif(F.col("trailing"), F.lit(0.0)) - 1, 4)).withColumn("flagged", F.coalesce(F.abs("swing") > limit, F.lit(False)))
+
+
+def monitored(df: DataFrame, time: str, value: str, now: str, fresh_hours: float = 48.0, swing: float = 0.5, back: int = 7, spread: float = 3.0) -> DataFrame:
+    """(check_name, day, actual, low, high, status): hours from the last row to ``now``; rows per day against the mean of
+    the ``back`` days before, give or take ``swing``; the day's mean value against theirs, give or take ``spread``
+    standard deviations.  PASS within the bounds, FAIL outside, NEW where there are no bounds yet, NONE without a value.
+
+    The windows run over one row per day."""
+    c = F.col
+    hours = (F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.max(c(time).cast("timestamp")))) / 3600
+    fresh = df.agg(hours.cast("double").alias("actual")).select(F.lit("freshness").alias("check_name"), F.lit(now).alias("day"), "actual", F.lit(0.0).alias("low"), F.lit(fresh_hours).alias("high"))
+    days = df.groupBy(F.date_format(time, "yyyy-MM-dd").alias("day")).agg(F.count("*").cast("double").alias("n"), F.avg(value).alias("v"))
+    w = Window.orderBy("day").rowsBetween(-back, -1)
+    days = days.select("day", "n", "v", F.avg("n").over(w).alias("an"), F.avg("v").over(w).alias("av"), F.stddev_samp("v").over(w).alias("sv"))
+    volume = days.select(F.lit("volume").alias("check_name"), "day", c("n").alias("actual"), (c("an") * (1 - swing)).alias("low"), (c("an") * (1 + swing)).alias("high"))
+    range_ = days.select(F.lit("range").alias("check_name"), "day", c("v").alias("actual"), (c("av") - spread * c("sv")).alias("low"), (c("av") + spread * c("sv")).alias("high"))
+    status = F.when(c("actual").isNull(), "NONE").when(c("low").isNull(), "NEW").when(c("actual").between(c("low"), c("high")), "PASS").otherwise("FAIL")
+    return fresh.unionByName(volume).unionByName(range_).select("check_name", "day", *[F.round(x, 4).alias(x) for x in ("actual", "low", "high")], status.alias("status"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tranchery.functions import loan as L
-from tranchery.operators import layers, metrics
+from tranchery.operators import joins, layers, metrics
 from tranchery.plans import check_sql as S
 from tranchery.plans.catalog import query
 from tranchery.plans.scratch import scratch
 from tranchery.sources import tables as T
-from tranchery.sources.fixtures import RAW_COLUMNS, SNAPSHOT_END, loan_raw, raw_lines
+from tranchery.sources.fixtures import LOAN_NUMBERS, LOAN_TEXTS, RAW_COLUMNS, SNAPSHOT_END, loan_raw, raw_lines
 
 C = F.col
 MONEY = ["loan_amnt", "funded_amnt", "installment", "annual_inc", "dti", "int_rate", "fico_low", "fico_high"]
@@ -39,10 +39,9 @@ def raw_csv_read(spark, sf_dir):
     return T.parse_raw(data, RAW_COLUMNS, ["id", "issue_d", "loan_status"])
 
 
-@query("schema_detect", S.with_parts("""select unnest(['id','term','grade','installment','loan_amnt']) column_name, unnest([count(id), count(term), count(grade), count(installment), count(loan_amnt)]) non_null,
-  unnest([count(nullif(trim(id),'')), count(nullif(trim(term),'')), count(nullif(trim(grade),'')), count(installment), count(loan_amnt)]) non_blank, unnest(['string','string','string',null,'double']) kept_type from loan_raw""", "loan_raw"))
+@query("schema_detect", S.with_parts(" union all ".join(f"select '{c}' column_name, count({c}) non_null, count(nullif(trim(cast({c} as varchar)), '')) non_blank, {kind} kept_type from loan_raw" for c, kind in [*((c, "'string'") for c in LOAN_TEXTS), *((c, "null" if c == "installment" else "'double'") for c in LOAN_NUMBERS)]), "loan_raw"))
 def schema_detect(spark, sf_dir):
-    return T.column_kinds(loan_raw(spark, sf_dir).select("id", "term", "grade", "installment", "loan_amnt"), keys=["id"])
+    return T.column_kinds(loan_raw(spark, sf_dir), keys=["id"])
 
 
 @query("sample_head", S.with_parts("select id, grade from loan_raw order by cast(id as bigint) limit 500", "loan_raw"))
@@ -95,13 +94,18 @@ def dyn_partition_overwrite(spark, sf_dir):
     return spark.read.schema("loan_id string, load string, issue_month string").parquet(path).groupBy("issue_month", "load").agg(F.count("*").alias("cnt"))
 
 
-@query("format_convert", S.with_parts("select f.format, count(*) cnt from loan_raw, (select unnest(['csv','orc','parquet']) format) f group by 1", "loan_raw"))
+_CONVERTED = ["id", "loan_amnt", "term", "int_rate", "grade", "emp_length", "annual_inc", "purpose", "issue_d", "loan_status"]
+
+
+@query("format_convert", S.with_parts("select f.format, count(*) cnt, " + ", ".join(f"cast(sum({c if c in LOAN_NUMBERS else f'length({c})'}) as double) {c}" for c in _CONVERTED) + " from loan_raw, (select unnest(['csv','orc','parquet']) format) f group by 1", "loan_raw"))
 def format_convert(spark, sf_dir):
-    given, out = loan_raw(spark, sf_dir).select("id", "grade", "term", "loan_status"), None
+    """Ten columns through three formats: what is read back, by sums of numbers and lengths of texts (blanks count)."""
+    given, out = loan_raw(spark, sf_dir).select(*_CONVERTED), None
+    size = lambda c: F.sum(C(c) if c in LOAN_NUMBERS else F.length(c)).cast("double").alias(c)
     for fmt in ("csv", "orc", "parquet"):
-        path = scratch(spark, f"as-{fmt}")
-        given.write.format(fmt).save(path)
-        part = spark.read.schema(given.schema).format(fmt).load(path).agg(F.lit(fmt).alias("format"), F.count("*").alias("cnt"))
+        path, as_is = scratch(spark, f"as-{fmt}"), T.AS_IS if fmt == "csv" else {}
+        given.write.format(fmt).options(**as_is).save(path)
+        part = spark.read.schema(given.schema).format(fmt).options(**as_is).load(path).agg(F.lit(fmt).alias("format"), F.count("*").alias("cnt"), *[size(c) for c in _CONVERTED])
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -250,19 +254,13 @@ def scalar_subquery_join(spark, sf_dir):
 
 @query("join_strategy_hint", S.with_parts("select 'merge' strategy, count(*) cnt, sum(is_bad)::bigint bad from facts join perf using (loan_id) union all select 'broadcast', count(*), sum(is_bad)::bigint from facts join perf using (loan_id)", "facts", "perf"))
 def join_strategy_hint(spark, sf_dir):
-    out = None
-    for hint in ("merge", "broadcast"):
-        part = _facts(spark, sf_dir).join(_products_side(spark, sf_dir, hint), "loan_id").agg(F.lit(hint).alias("strategy"), F.count("*").alias("cnt"), F.sum("is_bad").alias("bad"))
+    out, facts, perf = None, _facts(spark, sf_dir), _perf(spark, sf_dir).select("loan_id", "is_bad")
+    for name, side in (("merge", perf.hint("merge")), ("broadcast", joins.small_side(perf))):
+        part = facts.join(side, "loan_id").agg(F.lit(name).alias("strategy"), F.count("*").alias("cnt"), F.sum("is_bad").alias("bad"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _products_side(spark, sf_dir, hint):
-    """The performance side under a strategy; the broadcast is left to the planner's size check."""
-    perf = _perf(spark, sf_dir)
-    return perf.hint("merge") if hint == "merge" else perf
-
-
 @query("only_in_either", "select c_custkey k, 'no_orders' side from customer where c_custkey not in (select o_custkey from orders) union all select distinct o_custkey, 'no_customer' from orders where o_custkey not in (select c_custkey from customer)")
 def only_in_either(spark, sf_dir):
     c = T.read_table(spark, sf_dir, "customer").select(C("c_custkey").alias("k"))

@@ -135,3 +135,22 @@ def format_compare(spark, sf_dir):
         part = spark.read.schema(given.schema).format(fmt).load(path).groupBy("grade").agg(F.count("*").alias("cnt"), F.sum("funded_amnt").cast("double").alias("funded")).withColumn("format", F.lit(fmt))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+_TEN = ["loan_id", "grade", "funded_amnt", "purpose", "annual_inc", "dti", "issue_month", "addr_state", "term_months", "home_ownership"]
+_WIDE = "count(*) cnt, cast(sum(funded_amnt) as double) s1, cast(max(annual_inc) as double) m1, cast(max(dti) as double) m2, max(length(loan_id)) l1, max(purpose) p1, max(issue_month) m3, max(addr_state) m4, cast(sum(term_months) as bigint) s4, max(home_ownership) h1, max(grade) g1"
+
+
+@query("format_compare_wide", S.with_parts(" union all ".join(f"select '{f}' format, {_WIDE} from facts" for f in ("csv", "parquet", "orc")), "facts"))
+def format_compare_wide(spark, sf_dir):
+    """One aggregate over all ten columns, from each format."""
+    given, out = _facts(spark, sf_dir).select(*_TEN), None
+    d = lambda f, c, n: f(c).cast("double").alias(n)
+    for fmt in ("csv", "parquet", "orc"):
+        path, as_is = scratch(spark, f"wide-{fmt}"), T.AS_IS if fmt == "csv" else {}
+        given.write.format(fmt).options(**as_is).save(path)
+        read = spark.read.schema(given.schema).format(fmt).options(**as_is).load(path)
+        aggs = [F.count("*").alias("cnt"), d(F.sum, "funded_amnt", "s1"), d(F.max, "annual_inc", "m1"), d(F.max, "dti", "m2"), F.max(F.length("loan_id")).alias("l1"), F.max("purpose").alias("p1"), F.max("issue_month").alias("m3"), F.max("addr_state").alias("m4"), F.sum("term_months").alias("s4"), F.max("home_ownership").alias("h1"), F.max("grade").alias("g1")]
+        part = read.agg(F.lit(fmt).alias("format"), *aggs)
+        out = part if out is None else out.unionByName(part)
+    return out

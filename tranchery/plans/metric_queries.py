@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tranchery.operators import metrics, profile
+from tranchery.operators import layers, metrics, profile, skew
 from tranchery.plans import check_sql as S
 from tranchery.plans.catalog import query
 from tranchery.plans.layer_queries import _facts, _perf, _snapshot, terminal_loans
-from tranchery.sources.fixtures import loan_raw
+from tranchery.plans.scratch import scratch
+from tranchery.sources.fixtures import LOAN_NUMBERS, LOAN_TEXTS, loan_raw
 from tranchery.sources.tables import read_table
 
 C = F.col
@@ -69,6 +72,12 @@ def roll_rate(spark, sf_dir):
     return metrics.roll_rates(_snapshot(spark, sf_dir))
 
 
+@query("roll_rate_bucketed", S.with_parts("select * from roll", "roll"))
+def roll_rate_bucketed(spark, sf_dir):
+    """The same from a snapshot that is kept bucketed by loan."""
+    return metrics.roll_rates(layers.save_bucketed(_snapshot(spark, sf_dir), f"tranchery_snapshot_{uuid.uuid4().hex}", scratch(spark, "bucketed")))
+
+
 @query("ever_bad_flag", S.with_parts("select issue_month, mob, cast(sum(ever_bad) as bigint) ever_bad from flagged group by 1, 2", "flagged"))
 def ever_bad_flag(spark, sf_dir):
     return metrics.ever_bad(_snapshot(spark, sf_dir).where(C("mob").between(1, 24))).groupBy("issue_month", "mob").agg(F.sum("ever_bad").alias("ever_bad"))
@@ -99,12 +108,9 @@ def enum_topk_counts(spark, sf_dir):
     return profile.top_values(loan_raw(spark, sf_dir), _ENUMS, 15)
 
 
-_PROFILED = ["id", "grade", "term", "last_pymnt_d", "fico_range_low"]
-
-
-@query("column_profile", S.with_parts(" union all ".join(f"select '{c}' column_name, count(*) - count({c}) missing, round(cast(count(*) - count({c}) as double) / count(*), 4) missing_rate, count(distinct {c}) distinct_values, min(cast({c} as varchar)) least from loan_raw" for c in _PROFILED), "loan_raw"))
+@query("column_profile", S.with_parts(" union all ".join(f"select '{c}' column_name, count(*) - count({c}) missing, round(cast(count(*) - count({c}) as double) / count(*), 4) missing_rate, count(distinct {c}) distinct_values, min(cast({c} as varchar)) least from loan_raw" for c in LOAN_TEXTS + LOAN_NUMBERS), "loan_raw"))
 def column_profile(spark, sf_dir):
-    return profile.profile(loan_raw(spark, sf_dir).select(*_PROFILED)).select("column_name", "missing", "missing_rate", "distinct_values", F.get("samples", F.lit(0)).alias("least"))
+    return profile.profile(loan_raw(spark, sf_dir)).select("column_name", "missing", "missing_rate", "distinct_values", F.get("samples", F.lit(0)).alias("least"))
 
 
 @query("time_span_parse", S.with_parts(" union all ".join(f"select '{c}' column_name, count(try_strptime({c}, '%b-%Y')) parsed, count({c}) - count(try_strptime({c}, '%b-%Y')) failed, cast(min(try_strptime({c}, '%b-%Y')) as date) first_date, cast(max(try_strptime({c}, '%b-%Y')) as date) last_date from loan_raw" for c in ("issue_d", "last_pymnt_d")), "loan_raw"))
@@ -112,6 +118,38 @@ def time_span_parse(spark, sf_dir):
     return profile.date_spans(loan_raw(spark, sf_dir), ["issue_d", "last_pymnt_d"])
 
 
+_FACTS = ["loan_id", "loan_amnt", "funded_amnt", "term_months", "int_rate", "grade", "sub_grade", "home_ownership", "annual_inc", "dti", "fico_low", "issue_month", "addr_state"]
+_NUMBERS = ["loan_amnt", "funded_amnt", "term_months", "int_rate", "annual_inc", "dti", "fico_low"]
+
+
+@query("column_sketches", S.with_parts(" union all ".join(f"select '{c}' column_name, count(*) n, count(*) - count({c}) missing, true distinct_close, true quantiles_close from facts" for c in _FACTS), "facts"))
+def column_sketches(spark, sf_dir):
+    """Sketches of each year, merged, against exact figures: distinct values within 5 %, ranks of quantiles within 3 %."""
+    facts = _facts(spark, sf_dir).select(*_FACTS)
+    path, year = scratch(spark, "sketches"), F.substring("issue_month", 1, 4)
+    for (y,) in facts.select(year).distinct().collect():
+        profile.sketches(facts.where(year == y)).write.mode("append").parquet(path)
+    got = profile.sketched_profile(profile.merged_sketches(spark.read.parquet(path)), _SHARES)
+    exact = facts.agg(*[F.count_distinct(c).alias(f"d_{c}") for c in _FACTS])
+    exact = exact.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), C(f"d_{c}").alias("exact")) for c in _FACTS])).alias("r")).select("r.*")
+    found = got.join(exact, "column_name").select("column_name", "n", "missing", (F.abs(C("distinct_values") / C("exact") - 1) <= 0.05).alias("distinct_close"), "quantiles").collect()
+    close = facts.agg(*[_ranks_close(r["column_name"], r["quantiles"]).alias(r["column_name"]) for r in found if r["quantiles"]]).first()
+    rows = [(r["column_name"], r["n"], r["missing"], r["distinct_close"], r["column_name"] not in close or close[r["column_name"]]) for r in found]
+    return spark.createDataFrame(rows, "column_name string, n long, missing long, distinct_close boolean, quantiles_close boolean")
+
+
+_SHARES = (0.05, 0.5, 0.95)
+
+
+def _ranks_close(column, quantiles):
+    """Whether each value has its share of the rows below or at it, give or take 3 %."""
+    x, ok = C(column).cast("double"), F.lit(True)
+    for share, q in zip(_SHARES, quantiles, strict=True):
+        below, at = F.count_if(x < q) / F.count(x), F.count_if(x <= q) / F.count(x)
+        ok = ok & (below <= share + 0.03) & (at >= share - 0.03)
+    return ok
+
+
 @query("missing_cross", S.with_parts("select count(*) filter (issue_d is null) no_issue, count(*) filter (loan_status is null) no_status, count(issue_d) expected_rows from loan_raw", "loan_raw"))
 def missing_cross(spark, sf_dir):
     return loan_raw(spark, sf_dir).agg(F.count_if(C("issue_d").isNull()).alias("no_issue"), F.count_if(C("loan_status").isNull()).alias("no_status"), F.count("issue_d").alias("expected_rows"))
@@ -153,7 +191,17 @@ _SUMS = S.with_parts("select loan_status, grade, count(*) cnt, cast(sum(funded_a
 
 @query("salted_agg", _SUMS)
 def salted_agg(spark, sf_dir):
-    return metrics.salted_sums(_facts(spark, sf_dir).join(_perf(spark, sf_dir), "loan_id"), ["loan_status", "grade"], "funded_amnt", 10, "loan_id")
+    return skew.salted_sums(_facts(spark, sf_dir).join(_perf(spark, sf_dir), "loan_id"), ["loan_status", "grade"], "funded_amnt", "loan_id", 10)
+
+
+@query("heavy_hitters", S.with_parts("select loan_status, grade, count(*) cnt from facts join perf using (loan_id) group by 1, 2 having count(*) >= 0.04 * (select count(*) from facts join perf using (loan_id))", "facts", "perf"))
+def heavy_hitters(spark, sf_dir):
+    return skew.heavy_hitters(_facts(spark, sf_dir).join(_perf(spark, sf_dir), "loan_id"), ["loan_status", "grade"], 0.04)
+
+
+@query("salted_distinct", "select l_returnflag, l_linestatus, count(distinct l_orderkey) distinct_values from lineitem group by 1, 2")
+def salted_distinct(spark, sf_dir):
+    return skew.salted_distinct(read_table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_orderkey")
 
 
 @query("skewed_groupby", _SUMS)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from tranchery.operators import layers, metrics, quality
+from tranchery.operators import incremental, layers, metrics, quality
+from tranchery.operators.loan_run import LoanRun
 from tranchery.plans import check_sql as S
 from tranchery.plans.catalog import query
 from tranchery.plans.layer_queries import _facts, _perf, _snapshot, terminal_loans
-from tranchery.sources.fixtures import loan_raw
+from tranchery.plans.scratch import scratch
+from tranchery.sources.fixtures import SNAPSHOT_END, loan_raw
 from tranchery.sources.tables import read_table
 
 C = F.col
@@ -194,6 +198,22 @@ def incremental_watermark(spark, sf_dir):
     return count("first", one, marks).unionByName(count("second", two, after))
 
 
+@query("incremental_upkeep", """with r as (select user_id pk, case when event_type <> 'error' then strftime(ts, '%Y-%m-%d') end grp, cast(value as decimal(14,2)) amt, event_id from events),
+l as (select * from (select *, row_number() over (partition by pk order by event_id desc) rn from r) where rn = 1)
+select grp, count(*) cnt, cast(sum(amt) as double) total, (select count(distinct pk) from r where event_id > (select max(event_id) // 2 from events)) changed from l where grp is not null group by grp""")
+def incremental_upkeep(spark, sf_dir):
+    """Current rows per day after two loads, the second of which touches the keys that changed; loading once more
+    finds nothing beyond the mark."""
+    events = read_table(spark, sf_dir, "events")
+    rows = events.select(C("user_id").alias("pk"), F.when(C("event_type") != "error", F.date_format("ts", "yyyy-MM-dd")).alias("grp"), C("value").cast("decimal(14,2)").alias("amt"), C("event_id").alias("at"))
+    half = events.agg(F.expr("max(event_id) div 2")).first()[0] or 0
+    kept = incremental.Upkeep(spark, scratch(spark, "upkeep"))
+    kept.load(rows.where(C("at") <= half))
+    changed = kept.load(rows)
+    again = kept.load(rows)
+    return kept.current().select("grp", "cnt", C("total").cast("double").alias("total"), F.lit(changed + again).cast("long").alias("changed"))
+
+
 @query("lineage_check", """select s.src, s.dst, s.fault from (select 'nation ' || n.n_name src, 'region ' || r.r_name dst, 'one_sided' fault from nation n join region r on n.n_regionkey = r.r_regionkey where n.n_nationkey % 3 = 0
   union all select 'nation ' || n.n_name, 'region ' || r.r_name, 'dangling:region ' || r.r_name from nation n join region r on n.n_regionkey = r.r_regionkey where r.r_regionkey = 4) s""")
 def lineage_check(spark, sf_dir):
@@ -208,3 +228,29 @@ def lineage_check(spark, sf_dir):
 @query("freshness_volume", "select day, cnt, round(t, 4) as \"trailing\", round(cnt / nullif(round(t, 4), 0) - 1, 4) swing, coalesce(abs(round(cnt / nullif(round(t, 4), 0) - 1, 4)) > 0.5, false) flagged from (select *, avg(cnt) over (order by day rows between 3 preceding and 1 preceding) t from (select strftime(ts, '%Y-%m-%d') as day, count(*) cnt from events group by 1))")
 def freshness_volume(spark, sf_dir):
     return quality.volume_swing(read_table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")), "day")
+
+
+_DAYS = "d as (select strftime(ts, '%Y-%m-%d') as day, count(*) n, avg(value) v from events group by 1), t as (select *, avg(n) over w an, avg(v) over w av, stddev_samp(v) over w sv from d window w as (order by day rows between 7 preceding and 1 preceding))"
+_STATUS = "case when actual is null then 'NONE' when low is null then 'NEW' when actual between low and high then 'PASS' else 'FAIL' end status"
+
+
+@query("freshness_range", f"with {_DAYS} select check_name, day, round(actual, 4) actual, round(low, 4) low, round(high, 4) high, {_STATUS} from (select 'freshness' check_name, '2024-02-01' as day, (epoch(timestamp '2024-02-01') - floor(epoch(max(ts)))) / 3600 actual, 0.0::double low, 48.0::double high from events union all select 'volume', day, n::double, an * 0.5, an * 1.5 from t union all select 'range', day, v, av - 3 * sv, av + 3 * sv from t)")
+def freshness_range(spark, sf_dir):
+    """Hours since the last event, rows of each day and mean value of each day, against what may be expected."""
+    return quality.monitored(read_table(spark, sf_dir, "events"), "ts", "value", "2024-02-01")
+
+
+_LAYERS = {
+    "facts": "facts", "rejects": "(select 1 from facts_all where dq_level = 'REJECT')", "performance": "perf", "applicants": "(select distinct loan_id from applicant where loan_id is not null)",
+    "products": "(select distinct term_months, grade from facts_all where term_months is not null and grade is not null)", "calendar": "(select unnest(generate_series(min(issue_date), max(issue_date), interval 1 day)) from facts)",
+    "snapshot": "snap", "segments": "(select 1 from term group by grade union all select 1 from term group by income_band union all select 1 from term group by fico_band)", "delinquency": "(select 1 from snap group by issue_month, mob)", "vintages": "vintage", "roll_rates": "roll",
+}
+
+
+@query("loan_run", S.with_parts(" union all ".join(f"select '{k}' layer, count(*) n_rows, 9::bigint checks, 0::bigint failed_errors from {v}" for k, v in _LAYERS.items()), "facts", "perf", "term", "vintage", "roll"))
+def loan_run(spark, sf_dir):
+    """All layers written by one run, with its checks."""
+    done = LoanRun(loan_raw(spark, sf_dir), scratch(spark, "loan-run"), SNAPSHOT_END)
+    counts = [t.agg(F.lit(n).alias("layer"), F.count("*").alias("n_rows")) for n, t in done.all().items()]
+    checks = done.report().agg(F.count("*").alias("checks"), F.count_if(F.expr("level = 'ERROR' and not passed")).alias("failed_errors"))
+    return reduce(lambda a, b: a.unionByName(b), counts).crossJoin(F.broadcast(checks))

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tranchery.sources.tables import read_table
 
 SNAPSHOT_END = "2001-12-01"
+#: the columns of loan_raw
+LOAN_NUMBERS = ["loan_amnt", "funded_amnt", "installment", "annual_inc", "dti", "fico_range_low", "fico_range_high", "out_prncp", "total_rec_prncp", "total_rec_int", "recoveries", "total_pymnt", "last_pymnt_amnt"]
+LOAN_TEXTS = ["id", "term", "int_rate", "grade", "sub_grade", "emp_length", "home_ownership", "verification_status", "purpose", "addr_state", "issue_d", "loan_status", "last_pymnt_d"]
 
 
 def loan_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

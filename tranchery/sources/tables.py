@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tranchery.sources.layout import compact, file_stats, write_bounded  # noqa: F401
 
 #: blanks around values are kept
-_AS_IS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+AS_IS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 _DATA_LINE = "^([0-9]+[.]?[0-9]*|[.][0-9]+)$"
 
 
@@ -61,17 +61,17 @@ def write_parquet(df: DataFrame, path: str) -> None:
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(**_AS_IS).option("sep", "\t").option("nullValue", "\\N").option("emptyValue", "").option("compression", "none").csv(path)
+    df.write.mode("overwrite").options(**AS_IS).option("sep", "\t").option("nullValue", "\\N").option("emptyValue", "").option("compression", "none").csv(path)
 
 
 def read_tsv(spark: SparkSession, path: str, schema) -> DataFrame:
     """Tab-separated with ``\\N`` for null; a line that does not fit the schema fails the read."""
-    return spark.read.schema(schema).options(**_AS_IS).option("sep", "\t").option("nullValue", "\\N").option("emptyValue", "").option("mode", "FAILFAST").csv(path)
+    return spark.read.schema(schema).options(**AS_IS).option("sep", "\t").option("nullValue", "\\N").option("emptyValue", "").option("mode", "FAILFAST").csv(path)
 
 
 def write_csv_single(df: DataFrame, path: str) -> None:
     """A small result as one CSV file with header; null is empty."""
-    df.coalesce(1).write.mode("overwrite").options(**_AS_IS).option("header", True).option("nullValue", "").csv(path)
+    df.coalesce(1).write.mode("overwrite").options(**AS_IS).option("header", True).option("nullValue", "").csv(path)
 
 
 def jdbc_write(df: DataFrame, url: str, name: str, mode: str = "append", batch: int = 5000, **options) -> None:
