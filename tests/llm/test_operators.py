@@ -492,6 +492,36 @@ def test_long_secrets_and_secrets_in_urls(spark):
     assert got[4] == got[5] == [("assign", "token=abcdefgh1")]
 
 
+def test_secret_after_an_equals_sign(spark):
+    key = "AbCdEf0123456789GhIjKlMnOp"
+    texts = [f"user=alice sig={key} https://db.example/x", f"account: bob AccountKey={key}== redis://h:1", f"login=carol key={key}", f"a={key}=b user=dora https://h/x"]
+    found = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: [(secret_scan.KINDS[x["kind"]][7:], texts[r["doc_id"]][x["start"] : x["end"]]) for x in r["spans"]] for r in found}
+    assert got[0] == [("identifier", "user=alice"), ("secret", key), ("endpoint", "https://db.example/x")]
+    assert got[1] == [("identifier", "account: bob"), ("secret", f"{key}=="), ("endpoint", "redis://h:1")]
+    assert got[2] == [] and got[3] == []  # no endpoint; an equals sign inside a longer value
+
+
+def test_links_against_brute_force(spark):
+    r, window, rows, want = random.Random(8), 60, [], {}
+    shapes = [lambda: f"user={r.choice('abc') * 5}", lambda: ("", "sig=" + "".join(r.choice("aB3") for _ in range(27)) + "aB3"), lambda: f"https://h{r.randint(1, 9)}/x", lambda: "AKIA" + "Q1" * 8, lambda: "0123456789abcdef" * 2]
+    for i in range(60):
+        text, parts = "", []
+        for _ in range(r.randint(0, 7)):
+            k = r.randrange(5)
+            part = shapes[k]()
+            part, skip = (part[1], 4) if k == 1 else (part, 0)
+            parts.append((len(text) + skip, k, len(text) + len(part)))
+            text += part + " " + "xy " * r.choice([0, 3, 12, 40])
+        rows.append((i, text))
+        role = {0: 0, 1: 1, 2: 2, 3: 0, 4: 1}
+        near = lambda a, b: b[0] <= a[2] + window and b[2] >= a[0] - window
+        linked = [(a[0], a[1] + 3, a[2]) for a in parts if a[1] < 3 and len({role[b[1]] for b in parts if role[b[1]] != role[a[1]] and near(a, b)}) == 2]
+        want[i] = sorted(linked + [(s, {3: 1, 4: 2}[k], e) for s, k, e in parts if k > 2])
+    got = {x["doc_id"]: [tuple(y) for y in x["spans"]] for x in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), window=window).collect()}
+    assert got == want and sum(any(k > 2 for _, k, _ in v) for v in want.values()) > 10
+
+
 def brute_contamination(rows, items, n=10):
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
     out = {}

@@ -34,7 +34,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 ENDPOINT = re.compile(r"\b(?:https?|ftp|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[^\x20\x09-\x0D\"'<>|]+|\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:[0-9]{2,5}\b")
 IDENTIFIER = re.compile(r"\b(?ai:user(?:name)?|login|client_id|access_?key_?id|account)\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,})|\b(?:ASIA|AIDA|AROA|GOOG)[A-Z0-9]{12,}")
-SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}+={0,2}+(?![A-Za-z0-9+/_=-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 _HINT_ASSIGN = re.compile(r"(?ai:passw|secret|token|api_?key)")
 
 
