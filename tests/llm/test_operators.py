@@ -322,10 +322,18 @@ def test_lattice_score_against_brute_force(spark, hot):
         assert got[i]["train_tokens"] == n
         assert math.isclose(got[i]["base_score"], base(ends) + sum(base(counts[x]) for x in w))
         spell = [math.exp(lattice.log_marginals(vocab, ["▁" + x.decode()])[0]) for x in w]
-        want = base(ends) + sum(math.log10((1 - unseen) * counts[x] / n + unseen * s) for x, s in zip(w, spell, strict=True))
+        want = math.log10((1 - unseen) * ends / n) + sum(math.log10((1 - unseen) * counts[x] / n + unseen * s) for x, s in zip(w, spell, strict=True))
         assert math.isclose(got[i]["score"], want, rel_tol=1e-9)
 
 
+def test_shares_of_words_and_end_sum_to_one():
+    counts = [5, 3, 1, 1, 1]
+    t = lattice_score.WordScores(sum(counts), len(counts), 3, 4)
+    spell = [0.1, 0.02, 0.3, 0.05, 0.01]  # of the known words; all others have the rest
+    known = sum(10 ** t.model(c, math.log10(s)) for c, s in zip(counts, spell, strict=True))
+    assert math.isclose(known + 10 ** t.model(0, math.log10(1 - sum(spell))) + 10 ** t.end(), 1)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_token_counts_and_cache(spark, name):
     texts = ["Hello world", "Hello world", None, "", "a <|endoftext|> b", "été"]

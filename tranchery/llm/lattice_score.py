@@ -5,14 +5,18 @@ forward recursion in log space sums them up, so a word's probability is that of
 crosses white space, the marginal probability of a document is the product over its words and the end.  What is
 learnt from the training texts enters as one more arc across each whole word: with N training tokens, of which n1 are
 words seen once, the whole-word arc of a word seen c times has probability (1 - n1/N) * c/N and the pieces share the
-mass n1/N of unseen words (Good-Turing).  The end has the base model's probability.
+mass n1/N of unseen words (Good-Turing).  The end has (1 - n1/N) times its share of the tokens, so that all shares sum
+to one.
 
 Counts cover all training texts (Python counts words per batch, Spark sums them up).  The most frequent
 ``hot`` words, a table of fixed size, are broadcast and scored in place; all others are joined to the counts by a
 shuffle, so a document's hot words never meet in one task.
 
-Defined cases: a null text is empty (the end alone); without training texts every word is spelled by pieces; equal
-ids are separate rows; an empty table gives an empty result; columns other than those named are not read.
+Defined cases: a null text is empty (the end alone); without training texts, or where all of their words are seen once
+and there is next to nothing else, every word is spelled by pieces and the end has the base's probability; texts are
+read whole; words of equal count that are at the edge of ``hot`` score alike on either side; equal ids and repeated rows
+are separate rows; an empty table gives an empty result; columns other than those named are not read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -73,6 +77,10 @@ class WordScores:
             return math.log10(self.unseen) + spelled
         return math.log10((1 - self.unseen) * count / self.tokens + self.unseen * 10.0 ** max(spelled, -300))
 
+    def end(self) -> float:
+        """The end's share of what the learnt tokens have: with the words, known and spelled, it sums to one."""
+        return math.log10((1 - self.unseen) * self.ends / self.tokens) if self.ends and self.unseen < 1 else self.base(self.ends)
+
     def base_sql(self, count: Column) -> Column:
         return F.log10((count + F.lit(0.1)) / F.lit(self.tokens + 0.1 * (self.types + 1)))
 
@@ -100,7 +108,7 @@ def score(docs: DataFrame, train: Column, model_file: str, text: str = "text", k
     table = {w: (totals.base(n), totals.model(n, s)) for w, n, s in zip(words, often, spelled(model_file, words).tolist(), strict=True)}
     del top, words, often
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    end = totals.base(ends)
+    end, last = totals.base(ends), totals.end()
     fields = {p: docs.schema[c].dataType.simpleString() for c, p in zip(keep, plain, strict=True)}
     tail_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64()), ("spelled", pa.float64())]))
 
@@ -111,7 +119,7 @@ def score(docs: DataFrame, train: Column, model_file: str, text: str = "text", k
                 tokens, hits, base, model, rare = [], [], [], [], []
                 for body in batch.column("text").to_pylist():
                     seen = Counter(body.encode().lower().split()) if body else {}
-                    b, m, h, left = end, end, 0, []
+                    b, m, h, left = end, last, 0, []
                     for w, k in seen.items():
                         if (x := known.get(w)) is not None:
                             b += k * x[0]
