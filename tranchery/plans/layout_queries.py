@@ -98,16 +98,18 @@ def bounded_write(spark, sf_dir):
     return rows.groupBy("month").agg(F.sum("n").alias("n_rows"), F.count("*").alias("files"), (F.max("n") <= _PER_FILE).alias("bounded"))
 
 
-@query("bounded_compaction", S.with_parts(f"select {_SKEWED} as month, count(*) n_rows, cast(sum(funded_amnt) as double) funded, 0::bigint too_large, true few_small from facts group by 1", "facts"))
+@query("bounded_compaction", S.with_parts(f"select {_SKEWED} as month, count(*) n_rows, cast(sum(funded_amnt) as double) funded, 0::bigint too_large, true packed from facts group by 1", "facts"))
 def bounded_compaction(spark, sf_dir):
-    """Many small files packed to at most a tenth of the table each: none is larger, and of those below a third of it
-    a month has one at most but for the last of each kind."""
+    """Many small files packed to at most a tenth of the table each: none is larger, and a month has no more of them than
+    half-filled ones would be, by the bytes that it had."""
     many, few = scratch(spark, "many"), scratch(spark, "few")
     _skewed(spark, sf_dir).repartition(40).write.partitionBy("issue_month").parquet(many)
     target = int(layout.file_stats(spark, many).first()["bytes"]) // 10
     layout.compact(spark, many, few, "issue_month", target)
-    files = layout.listed_files(spark, few, "issue_month")
-    sizes = files.groupBy(C("issue_month").alias("month")).agg(F.count_if(C("bytes") > target).alias("too_large"), (F.count_if(C("bytes") * 3 < target) <= 1).alias("few_small"))
+    month = C("issue_month").alias("month")
+    had = layout.file_stats(spark, many, "issue_month").select(month, C("bytes").alias("had"))
+    files = layout.listed_files(spark, few, "issue_month").groupBy(month).agg(F.count("*").alias("files"), F.count_if(C("bytes") > target).alias("too_large"))
+    sizes = files.join(had, "month").select("month", "too_large", (C("files") <= F.floor(2 * C("had") / target) + 2).alias("packed"))
     rows = spark.read.parquet(few).groupBy(C("issue_month").cast("string").alias("month")).agg(F.count("*").alias("n_rows"), F.sum("funded_amnt").cast("double").alias("funded"))
     return rows.join(sizes, "month")
 

@@ -106,7 +106,7 @@ def mirror_table(spark: SparkSession, path: str, **options) -> KeyedTable:
 
 
 def totals_table(spark: SparkSession, path: str, **options) -> KeyedTable:
-    return KeyedTable(spark, path, TOTALS, ["grp"], _summed("grp"), **options)
+    return KeyedTable(spark, path, TOTALS, ["grp"], _summed("grp"), **{"buckets": 4} | options)
 
 
 def windows_table(spark: SparkSession, path: str, **options) -> KeyedTable:

@@ -43,8 +43,12 @@ class KeyedTable:
         have = [v for v in self.versions() if version is None or v <= version]
         if not have:
             return {}
-        row = self.spark.read.text(f"{self.path}/manifests/v={have[-1]}.json", wholetext=True).first()
-        return {int(b): files for b, files in json.loads(row[0])["buckets"].items()}
+        stream = self._fs.open(self._hadoop(f"{self.path}/manifests/v={have[-1]}.json"))
+        try:
+            text = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        return {int(b): files for b, files in json.loads(text)["buckets"].items()}
 
     def read(self, version: int | None = None) -> DataFrame:
         """One row per key as of a version; empty where there is none.  Buckets of one file need no merge."""
