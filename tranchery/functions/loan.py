@@ -31,6 +31,7 @@ POST_ORIGINATION = [
     "orig_projected_additional_accrued_interest", "hardship_payoff_balance_amount", "hardship_last_payment_amount", "debt_settlement_flag", "debt_settlement_flag_date",
     "settlement_status", "settlement_date", "settlement_amount", "settlement_percentage", "settlement_term",
 ]
+# The bands, as (upper bound, name).
 INCOME_BANDS = [(30000, "L0_<3w"), (60000, "L1_3-6w"), (100000, "L2_6-10w"), (200000, "L3_10-20w"), (None, "L4_>=20w")]
 FICO_BANDS = [(660, "F0_<660"), (700, "F1_660-699"), (740, "F2_700-739"), (780, "F3_740-779"), (None, "F4_>=780")]
 RATE_BANDS = [(8, "R0_<8"), (12, "R1_8-12"), (16, "R2_12-16"), (20, "R3_16-20"), (None, "R4_>=20")]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tranchery.functions import loan as L
 from tranchery.sources.layout import write_bounded
 
+# The columns of the raw loan file that are kept, by kind.
 NUMERIC = ["loan_amnt", "funded_amnt", "int_rate", "installment", "annual_inc", "dti", "delinq_2yrs", "fico_range_low", "fico_range_high", "inq_last_6mths", "open_acc", "pub_rec", "revol_bal", "revol_util", "total_acc", "mort_acc", "pub_rec_bankruptcies", "total_rec_prncp", "total_rec_int", "recoveries", "out_prncp", "total_pymnt", "last_pymnt_amnt"]
 TEXT = ["id", "term", "grade", "sub_grade", "emp_length", "home_ownership", "verification_status", "issue_d", "loan_status", "purpose", "title", "addr_state", "zip_code", "earliest_cr_line", "application_type", "last_pymnt_d"]
 MOB_MAX = 24
