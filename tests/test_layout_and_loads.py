@@ -176,3 +176,30 @@ def test_monitoring_statuses(spark):
     assert got["freshness", "2024-01-20"] == "FAIL" and got["volume", "2024-01-01"] == "NEW" and got["volume", "2024-01-05"] == "PASS"
     assert got["volume", "2024-01-10"] == "FAIL" and got["range", "2024-01-10"] == "FAIL" and got["range", "2024-01-09"] == "PASS"
     assert [r["status"] for r in quality.monitored(df.limit(0), "t", "v", "2024-01-20").collect()] == ["NONE"]
+
+
+def test_bounded_write_has_the_files_that_its_rule_gives(spark):
+    df = spark.range(4000).select("id", F.when(F.col("id") < 3900, "hot").otherwise("cold").alias("m"))
+    for per_file in (130, 390, 1300):  # at 130 by a plain hash some of 33 files would hold more
+        path = scratch(spark, "by-rule")
+        layout.write_bounded(df, path, "m", per_file)
+        files = {}
+        for r in spark.read.parquet(path).groupBy("m", F.col("_metadata.file_path").alias("f")).count().collect():
+            files.setdefault(r["m"], []).append(r["count"])
+        for m, n in {"hot": 3900, "cold": 100}.items():
+            want = 1 if n <= per_file else -(-n * 11 // (per_file * 10))
+            assert max(files[m]) <= per_file and len(files[m]) == want, (m, per_file)
+        assert spark.read.parquet(path).select("id", "m").exceptAll(df).count() == 0 and spark.read.parquet(path).count() == 4000
+    path, exact = scratch(spark, "exact"), spark.range(20000).select("id", F.lit("hot").alias("m"))
+    layout.write_bounded(exact, path, "m", 2000)  # 1.1 * 20000 / 2000 is 11, in doubles a little more
+    assert len(on_disk(path)) == 11
+
+
+def test_file_stats_sql_counts_files_beyond_a_million_rows():
+    import duckdb
+
+    from tranchery.plans.registry import SQL
+
+    con = duckdb.connect()
+    con.execute("create table orders as select case when i < 2000000 then 'F' when i < 3000000 then 'O' end o_orderstatus from range(3000007) t(i)")
+    assert dict(con.execute(SQL["file_stats"]).fetchall()) == {"F": 3, "O": 1, None: 1}

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: output files whose plan is broadcast (about 100 bytes each); beyond that it is shuffled
+#: output files whose plan is broadcast (at most about 1 KB each); beyond that it is shuffled
 PLANNED = 200_000
+#: hash cells that the rows of a file are dealt out by, where a partition value has several files
+CELLS = 32
 
 
 def listed_files(spark: SparkSession, path: str, by: str | None = None, fmt: str = "parquet") -> DataFrame:
@@ -50,17 +52,30 @@ def write_bounded(df: DataFrame, path: str, column: str, rows_per_file: int = 1_
     """Partitioned by ``column``; no file has more than ``rows_per_file`` rows.  In mode overwrite only the partitions
     that the input holds are replaced.
 
-    A value of more rows is dealt out by a hash of the whole row, a tenth more files than would just do, so that the
-    bound is kept although they are not quite equal; rows that are equal in all columns stay together."""
-    sizes = df.groupBy(column).agg(F.count("*").alias("n"))
-    files = F.when(F.col("n") > rows_per_file, F.ceil(F.col("n") * 1.1 / rows_per_file)).otherwise(1)
-    plan = sizes.select(F.col(column).alias("_value"), files.alias("_files"))
-    plan = plan.withColumn("_first", F.sum("_files").over(Window.orderBy("_value")) - F.col("_files"))  # as many rows as partitions
-    known = plan.collect()
+    A value of more rows than that gets a tenth more files than would just do.  Its rows fall into ``CELLS`` hash cells a
+    file, which are counted first, and every file takes the cells that begin in its equal share of the rows: files exceed
+    their share by less than a cell, well within that tenth, so the number of files does not hang on how the hash falls.
+    Rows that are equal in all columns stay together; only where these outgrow the tenth a file is cut in two."""
+    sizes = df.groupBy(F.col(column).alias("_value")).agg(F.count("*").alias("_n"))
+    files = F.when(F.col("_n") > rows_per_file, F.expr(f"(_n * 11 + {10 * rows_per_file - 1}) div {10 * rows_per_file}")).otherwise(F.lit(1).cast("long"))
+    sizes = sizes.withColumn("_files", files)
+    first = F.sum("_files").over(Window.orderBy("_value")) - F.col("_files")  # as many rows as partitions
+    sizes = sizes.withColumn("_first", first)
+    known = sizes.collect()
     total = sum(r["_files"] for r in known)
-    plan = df.sparkSession.createDataFrame(known, plan.schema)
+    spark, hashed = df.sparkSession, F.xxhash64(*df.columns)
+    plan = spark.createDataFrame(known, sizes.schema)
     met = df.join(F.broadcast(plan) if len(known) <= PLANNED else plan, F.col(column).eqNullSafe(F.col("_value")))
-    placed = met.withColumn("_file", F.col("_first") + F.pmod(F.xxhash64(*df.columns), F.col("_files")))
+    placed = met.withColumn("_file", F.col("_first"))
+    if total > len(known):
+        met = met.withColumn("_cell", F.when(F.col("_files") > 1, F.pmod(hashed, F.col("_files") * CELLS)))
+        cells = met.where("_cell is not null").groupBy("_first", "_files", "_n", "_cell").agg(F.count("*").alias("_rows"))
+        before = F.sum("_rows").over(Window.partitionBy("_first").orderBy("_cell")) - F.col("_rows")
+        cells = cells.withColumn("_before", before).withColumn("_to", F.col("_first") + F.expr("_before * _files div _n"))
+        grouped = cells.groupBy("_first", F.expr(f"_cell div {CELLS}").alias("_group")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("_cell") % CELLS, "_to"))).alias("_at"))
+        dealt = spark.createDataFrame(grouped.collect(), grouped.schema)  # as many rows as files
+        met = met.withColumn("_group", F.expr(f"_cell div {CELLS}")).join(F.broadcast(dealt) if total <= PLANNED else dealt, ["_first", "_group"], "left")
+        placed = met.withColumn("_file", F.coalesce(F.element_at("_at", F.col("_cell") % CELLS), F.col("_first")))
     _written(placed.select(*df.columns, "_file"), total, path, column, mode, fmt, rows_per_file)
 
 
