@@ -203,3 +203,30 @@ def test_file_stats_sql_counts_files_beyond_a_million_rows():
     con = duckdb.connect()
     con.execute("create table orders as select case when i < 2000000 then 'F' when i < 3000000 then 'O' end o_orderstatus from range(3000007) t(i)")
     assert dict(con.execute(SQL["file_stats"]).fetchall()) == {"F": 3, "O": 1, None: 1}
+
+
+def test_snapshot_is_written_by_loans(spark):
+    raw, path = fixtures.loan_raw(spark, SF), scratch(spark, "by-loans")
+    want = layers.month_end_snapshot(raw, END)
+    loans = layers.snapshot_loans(raw)
+    dealt = layers.deal_by_issue(loans, 100)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert dealt.rdd.getNumPartitions() == 15 and max(sizes) < 160 and sum(sizes) == loans.count()
+    layers.build_snapshot(raw, END, path, rows_per_file=40, loans_per_task=100)
+    got = spark.read.schema(want.schema).parquet(path)
+    assert got.count() == want.count() and got.select(want.columns).exceptAll(want).count() == 0
+    assert max(r["count"] for r in got.groupBy(F.col("_metadata.file_path")).count().collect()) <= 40
+
+
+def test_buckets_of_the_snapshot_follow_its_rows(spark):
+    raw = fixtures.loan_raw(spark, SF)
+    want, path = layers.month_end_snapshot(raw, END), scratch(spark, "bucketed")
+    table = layers.save_snapshot_bucketed(raw, END, "tranchery_test_by_rows", path, rows_per_bucket=1000)
+    assert len(on_disk(path)) == -(-want.count() // 1000) > 16
+    assert table.count() == want.count() and table.select(want.columns).exceptAll(want).count() == 0
+
+
+def test_loan_run_reads_what_raw_is_made_of_once(spark):
+    run = LoanRun(fixtures.loan_raw(spark, SF), scratch(spark, "run"), END)
+    run.land()
+    assert run.raw.inputFiles() and all(run.path.split("/")[-1] + "/landed/" in f for f in run.raw.inputFiles())

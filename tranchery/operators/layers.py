@@ -12,6 +12,8 @@ from tranchery.sources.layout import write_bounded
 NUMERIC = ["loan_amnt", "funded_amnt", "int_rate", "installment", "annual_inc", "dti", "delinq_2yrs", "fico_range_low", "fico_range_high", "inq_last_6mths", "open_acc", "pub_rec", "revol_bal", "revol_util", "total_acc", "mort_acc", "pub_rec_bankruptcies", "total_rec_prncp", "total_rec_int", "recoveries", "out_prncp", "total_pymnt", "last_pymnt_amnt"]
 TEXT = ["id", "term", "grade", "sub_grade", "emp_length", "home_ownership", "verification_status", "issue_d", "loan_status", "purpose", "title", "addr_state", "zip_code", "earliest_cr_line", "application_type", "last_pymnt_d"]
 MOB_MAX = 24
+#: loans that one task of a snapshot's write expands, and months whose files it holds open at once
+LOANS_PER_TASK, OPEN_FILES = 250_000, 64
 
 
 def landing_cast(raw: DataFrame, load_time: bool = True) -> DataFrame:
@@ -123,16 +125,26 @@ def month_end_snapshot(raw: DataFrame, end: str, mob_max: int = MOB_MAX, never_p
     paid loan goes on.  ``never_paid_from_issue`` counts its gap from the issue month instead, ``stop_at_payoff``
     ends a fully paid loan's delinquency at its last payment.
     """
+    return expand_months(snapshot_loans(raw), end, mob_max, never_paid_from_issue, stop_at_payoff)
+
+
+def snapshot_loans(raw: DataFrame) -> DataFrame:
+    """What the snapshot takes of each loan with an issue month: one narrow row, moved in place of its months."""
     c = F.col
     issue, last = L.parse_month(c("issue_d")), L.parse_month(c("last_pymnt_d"))
     status = F.trim("loan_status")
-    given = raw.select(
+    return raw.select(
         c("id").cast("string").alias("loan_id"), issue.alias("issue_date"), L.month_index(issue).alias("i"), L.month_index(last).alias("p"), L.is_bad(status).alias("bad"), F.coalesce(L.dpd_bucket(status) == "PAID", F.lit(False)).alias("paid"),
         F.coalesce("out_prncp", F.lit(0).cast("decimal(14,2)")).alias("out_prncp"), F.coalesce("total_rec_prncp", F.lit(0).cast("decimal(14,2)")).alias("total_rec_prncp"), "loan_amnt", F.trim("grade").alias("grade"),
     ).where("issue_date is not null")
+
+
+def expand_months(loans: DataFrame, end: str, mob_max: int = MOB_MAX, never_paid_from_issue: bool = False, stop_at_payoff: bool = False) -> DataFrame:
+    """``snapshot_loans`` as months, each loan's where the loan is; rules as in ``month_end_snapshot``."""
+    c = F.col
     off = F.when(c("bad"), F.coalesce(c("p"), c("i") + 12) + 6)
     last_mob = F.least(F.lit(mob_max), L.month_index(F.lit(end).cast("date")) - c("i"))
-    rows = given.withColumn("off", off).withColumn("mob", F.explode(F.sequence(F.lit(1), F.lit(mob_max)))).where(c("mob") <= last_mob)
+    rows = loans.withColumn("off", off).withColumn("mob", F.explode(F.sequence(F.lit(1), F.lit(mob_max)))).where(c("mob") <= last_mob)
     rows = rows.withColumn("m", c("i") + c("mob"))
     since = c("i") if never_paid_from_issue else F.lit(None).cast("int")
     gap = F.coalesce(c("m") - F.coalesce(c("p"), since), F.lit(-1))
@@ -161,6 +173,49 @@ def write_snapshot(snapshot: DataFrame, path: str, fmt: str = "parquet", rows_pe
     write_bounded(snapshot, path, "snapshot_month", rows_per_file, "overwrite", fmt)
 
 
+def deal_by_issue(loans: DataFrame, per_task: int) -> DataFrame:
+    """``snapshot_loans`` dealt out over tasks of about ``per_task`` rows, each of neighbouring issue months: a loan's
+    place is drawn by hash within its month's share of all loans, so large months get several tasks and small ones share
+    one."""
+    sizes = loans.groupBy(F.col("i").alias("_i")).agg(F.count("*").alias("_n"))
+    known, rows, before = sorted(sizes.collect()), [], 0  # one row per issue month
+    for i, n in known:
+        rows.append((i, n, before))
+        before += n
+    plan = loans.sparkSession.createDataFrame(rows, "_i int, _n long, _before long")
+    place = F.col("_before") + F.expr("(_u * _n) div 1048576")
+    met = loans.join(F.broadcast(plan), F.col("i") == F.col("_i")).withColumn("_u", F.pmod(F.xxhash64(*loans.columns), F.lit(1 << 20)))
+    tasks = max(-(-before // per_task), 1)
+    return met.withColumn("_task", (place / F.lit(per_task)).cast("int")).repartitionById(tasks, F.col("_task")).select(*loans.columns)
+
+
+def build_snapshot(raw: DataFrame, end: str, path: str, fmt: str = "parquet", rows_per_file: int = 1_000_000, loans_per_task: int | None = None, **rules) -> None:
+    """``month_end_snapshot`` written as by ``write_snapshot``, but loans move instead of their months: dealt out by issue
+    month, they are expanded in the task that writes them, with a file per month open (beyond ``OPEN_FILES`` months the
+    rest is sorted).  A task has 250,000 loans at most, whatever the input; small inputs are spread over the cores."""
+    spark, loans = raw.sparkSession, snapshot_loans(raw)
+    if not loans_per_task:
+        loans_per_task = min(rows_per_file, LOANS_PER_TASK, max(LOANS_PER_TASK // 10, -(-loans.count() // spark.sparkContext.defaultParallelism)))
+    rows = expand_months(deal_by_issue(loans, loans_per_task), end, **rules)
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    had = spark.conf.get(key)
+    spark.conf.set(key, OPEN_FILES)
+    try:
+        rows.write.format(fmt).mode("overwrite").option("maxRecordsPerFile", rows_per_file).option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_month").save(path)
+    finally:
+        spark.conf.set(key, had)
+
+
+def save_snapshot_bucketed(raw: DataFrame, end: str, name: str, path: str, rows_per_bucket: int = 1_000_000, least: int = 16) -> DataFrame:
+    """The snapshot bucketed by loan, with as many buckets as its rows call for: their number comes from the closed form,
+    and loans are put into their bucket before they are expanded there."""
+    rows = expected_snapshot_rows(raw, end).first()[0]
+    buckets, by = max(least, -(-rows // rows_per_bucket)), ["loan_id", "snapshot_month"]
+    placed = expand_months(snapshot_loans(raw).repartition(buckets, "loan_id"), end)
+    placed.sortWithinPartitions(*by).write.mode("overwrite").bucketBy(buckets, "loan_id").sortBy(*by).option("path", path).format("parquet").saveAsTable(name)
+    return raw.sparkSession.table(name)
+
+
 def save_bucketed(df: DataFrame, name: str, path: str, key: str = "loan_id", buckets: int = 16, order: str | None = "snapshot_month") -> DataFrame:
     """A table bucketed by ``key``, one file per bucket: joins and windows by that key read it without a shuffle."""
     by = [key, order] if order else [key]

@@ -218,7 +218,7 @@ def snapshot_rowcount(spark, sf_dir):
 @query("snapshot_partitioned_write", S.with_parts("select snapshot_month, count(*) cnt from snap group by 1", "snap"))
 def snapshot_partitioned_write(spark, sf_dir):
     path = scratch(spark, "snapshot")
-    layers.write_snapshot(_snapshot(spark, sf_dir), path)
+    layers.build_snapshot(loan_raw(spark, sf_dir), SNAPSHOT_END, path)
     return spark.read.schema(_snapshot(spark, sf_dir).schema).parquet(path).groupBy("snapshot_month").agg(F.count("*").alias("cnt"))
 
 
