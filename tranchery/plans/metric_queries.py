@@ -12,7 +12,7 @@ from tranchery.plans import check_sql as S
 from tranchery.plans.catalog import query
 from tranchery.plans.layer_queries import _facts, _perf, _snapshot, terminal_loans
 from tranchery.plans.scratch import scratch
-from tranchery.sources.fixtures import LOAN_NUMBERS, LOAN_TEXTS, loan_raw
+from tranchery.sources.fixtures import LOAN_NUMBERS, LOAN_TEXTS, SNAPSHOT_END, loan_raw
 from tranchery.sources.tables import read_table
 
 C = F.col
@@ -75,7 +75,7 @@ def roll_rate(spark, sf_dir):
 @query("roll_rate_bucketed", S.with_parts("select * from roll", "roll"))
 def roll_rate_bucketed(spark, sf_dir):
     """The same from a snapshot that is kept bucketed by loan."""
-    return metrics.roll_rates(layers.save_bucketed(_snapshot(spark, sf_dir), f"tranchery_snapshot_{uuid.uuid4().hex}", scratch(spark, "bucketed")))
+    return metrics.roll_rates(layers.save_snapshot_bucketed(loan_raw(spark, sf_dir), SNAPSHOT_END, f"tranchery_snapshot_{uuid.uuid4().hex}", scratch(spark, "bucketed")))
 
 
 @query("ever_bad_flag", S.with_parts("select issue_month, mob, cast(sum(ever_bad) as bigint) ever_bad from flagged group by 1, 2", "flagged"))
