@@ -126,3 +126,31 @@ def test_dropped_windows_are_counted(spark):
     assert dropped == [0, 2, 0]
     got = {x["window_start"]: x["cnt"] for x in spark.read.parquet(out).collect()}
     assert got == {at(0): 1, at(9): 1, at(10): 1, at(20): 1}
+
+
+@pytest.mark.parametrize("seed", range(1))
+def test_current_windows_by_mirror_for_any_split(spark, seed):
+    r, log, now = random.Random(seed + 7), [], {}
+    for seq in range(120):
+        pk, at = r.randrange(8), START + datetime.timedelta(seconds=r.randrange(1800))
+        op = r.choice("ccud")
+        log.append((seq, pk, at, op, None, None if op == "d" else ("g", r.randint(1, 9))))
+    for x in log:
+        now[x[1]] = max(now.get(x[1], x), x, key=lambda y: (y[2], y[0]))
+    want = collections.Counter()
+    for x in now.values():
+        if x[5]:
+            want[x[2].replace(second=0)] += 1
+    r.shuffle(log)  # changes come in any order and any files
+    source, out, checkpoint, left = scratch(spark, "source"), scratch(spark, "out"), scratch(spark, "cp"), list(log)
+    writer = st.merge_current_windows(scratch(spark, "state"), out)
+    while left:
+        n = r.choice([1, 10, 50])
+        part, left = left[:n], left[n:]
+        spark.createDataFrame([(*x[:5], x[5] and (x[5][0], __import__("decimal").Decimal(x[5][1]))) for x in part], st.CHANGE).write.mode("append").json(source)
+        st.run_available(st.file_source(spark, source, None), writer, checkpoint)
+    last = spark.createDataFrame([(*x[:5], x[5] and (x[5][0], __import__("decimal").Decimal(x[5][1]))) for x in part], st.CHANGE)
+    writer(last, len(st.windows_table(spark, out).versions()) - 1)  # the last batch is run again
+    got = st.read_version(spark, out, st.WINDOWS).where("cnt != 0").collect()
+    assert {x["window_start"]: x["cnt"] for x in got} == dict(want)
+    assert sum(x["total"] for x in got) == sum(x[5][1] for x in now.values() if x[5])

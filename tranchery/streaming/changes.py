@@ -151,6 +151,30 @@ def merge_windows(path: str, width: str = "1 minute", **options):
     return write
 
 
+def merge_current_windows(state: str, windows: str, width: str = "1 minute", **options):
+    """The same as ``current_windows`` with ``merge_windows``, as a batch writer on the changes themselves: each key's
+    last change is kept in a mirror table (``state``), and a batch's last changes are joined with the version before it.
+    A batch that is run again finds that version as it was."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        c, spark = F.col, batch.sparkSession
+        kept = mirror_table(spark, state, **options)
+        alive = F.when(c("after").isNull(), "d").otherwise("u")
+        given = batch.where("pk is not null and op_ts is not null").select("seq", "pk", "op_ts", alive.alias("op"), "after.grp", "after.amt", F.lit(None).cast("timestamp").alias("sink_ts"))
+        last = kept.merge(given).persist()
+        try:
+            was = kept.read(batch_id - 1).select("pk", *[c(x).alias(f"was_{x}") for x in ("op_ts", "seq", "op", "amt")])
+            newer = c("was_op_ts").isNull() | (c("op_ts") > c("was_op_ts")) | ((c("op_ts") == c("was_op_ts")) & (c("seq") > c("was_seq")))
+            row = lambda sign, x: F.struct(F.lit(sign).alias("sign"), c(f"{x}op_ts").alias("ts"), c(f"{x}amt").alias("amt"), c(f"{x}op").alias("op"))
+            moves = last.join(was, "pk", "left").where(newer).select(F.inline(F.array(row(-1, "was_"), row(1, "")))).where("op != 'd'")
+            merge_windows(windows, width, **options)(moves, batch_id)
+            kept.add(last, batch_id)
+        finally:
+            last.unpersist()
+
+    return write
+
+
 def append_batch(path: str):
     """A batch writer that keeps every change with its batch id (the versions of ``as_of``)."""
     return lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
