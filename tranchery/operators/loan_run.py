@@ -49,6 +49,12 @@ class LoanRun:
     def report(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/checks")
 
+    def land(self) -> None:
+        """Raw loans as they are, once: every layer reads this copy, and not what ``raw`` is made of."""
+        at = f"{self.path}/landed"
+        self.raw.write.mode("overwrite").parquet(at)
+        self.raw = self.spark.read.schema(self.raw.schema).parquet(at)
+
     def detail(self) -> None:
         facts, rejects = layers.split_rejects(layers.application_facts(self.raw))
         facts, rejects = self._keep("facts", facts, "issue_month"), self._keep("rejects", rejects)
@@ -72,7 +78,9 @@ class LoanRun:
             self._keep("calendar", layers.calendar(self.spark, str(edges[0]), str(edges[1])))
 
     def snapshot(self) -> None:
-        self._keep("snapshot", layers.month_end_snapshot(self.raw, self.end), "snapshot_month")
+        at, schema = f"{self.path}/snapshot", layers.month_end_snapshot(self.raw, self.end).schema
+        layers.build_snapshot(self.raw, self.end, at, rows_per_file=self.rows_per_file)
+        self.tables["snapshot"] = self.spark.read.schema(schema).parquet(at)
         counted = layers.expected_snapshot_rows(self.raw, self.end).crossJoin(self.tables["snapshot"].agg(F.count("*").alias("n")))
         self._check(quality.check_row(counted, "snapshot_rows", "ERROR", "snapshot", F.first("n"), F.first("expected_rows")))
 
@@ -92,6 +100,6 @@ class LoanRun:
 
     def all(self) -> dict[str, DataFrame]:
         """Every layer by name; raises :class:`StoppedByChecks` before building on a layer that failed."""
-        for step in (self.detail, self.dimensions, self.snapshot, self.results):
+        for step in (self.land, self.detail, self.dimensions, self.snapshot, self.results):
             step()
         return self.tables
