@@ -230,6 +230,29 @@ def test_lattice_totals():
     assert math.isclose(got[4], lattice.log_marginals(vocab, [units[4]], longest=200)[0], rel_tol=1e-9)
 
 
+def test_lattice_looks_up_only_what_a_piece_may_continue(monkeypatch):
+    vocab = lattice.vocabulary(MODEL)
+    units = ["▁understanding", "▁the", "▁日本", "▁x\n", "😀", "▁zqxjkvwzqxjkv", "▁" + "onés" * 20]
+    codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+    size = np.array([len(u) for u in units])
+    start = np.cumsum(size) - size
+    asked, look_up = collections.defaultdict(list), vocab.lookup
+    monkeypatch.setattr(vocab, "lookup", lambda total, k, place: asked[k].extend(place.tolist()) or look_up(total, k, place))
+    x = lattice.Lattice(vocab, codes, start, size)
+    pieces, begun = set(vocab.pieces), {p[:k] for p in vocab.pieces for k in range(1, len(p))}
+    may = [(k, s + i) for u, s in zip(units, start.tolist(), strict=True) for i in range(len(u)) for k in range(2, len(u) - i + 1) if u[i : i + k - 1] in begun]
+    looked = {(k, p) for k, places in asked.items() if k > 1 for p in places}
+    assert looked >= set(may)  # and next to no others, which only the filter's chance hits may add
+    assert len(looked) < 1.3 * len(may) < 0.5 * sum(min(len(u) - i, vocab.longest) for u in units for i in range(len(u)))
+    for u, node in zip(units, x.node.tolist(), strict=True):
+        for j in range(1, len(u) + 1):
+            a, b = x.first[node + j : node + j + 2]
+            assert x.length[a:b].tolist() == [k for k in range(1, j + 1) if k == 1 or u[j - k : j] in pieces]
+            for k, p, w in zip(x.length[a:b].tolist(), x.piece[a:b].tolist(), x.weight[a:b].tolist(), strict=True):
+                assert (vocab.pieces[p] if p >= 0 else u[j - 1]) == u[j - k : j]
+                assert w == (vocab.logp[p] if p >= 0 else len(u[j - 1].encode()) * vocab.byte_logp)
+
+
 def test_samples_follow_the_lattice():
     vocab, text, n = lattice.vocabulary(MODEL), "ée of", 3000
     every = segmentations(vocab, "▁" + text.replace(" ", "▁"))

@@ -1,8 +1,8 @@
 """Subword lattices of many short strings at once, by numpy.
 
-A vocabulary gives each piece a log probability.  Strings ("units") are handled in groups of equal length: all pieces
-at all positions are looked up by rolling hashes, and the forward recursion in log space runs over positions for the
-whole group.  A character without a piece is spelled by byte pieces.
+A vocabulary gives each piece a log probability.  Strings ("units") are handled together: all pieces at all positions
+are looked up by rolling hashes, longer ones only where a piece begins like that, and the forward recursion in log
+space runs over positions for all units at once.  A character without a piece is spelled by byte pieces.
 """
 
 from __future__ import annotations
@@ -96,28 +96,44 @@ class Vocabulary:
         joined = {c for p in pieces if len(p) > 1 for c in p}
         self.joined = np.zeros(0x110000, bool)
         self.joined[[ord(c) for c in joined]] = True
-        self.tables = {}
-        self.filter = np.zeros(1 << 20, bool)
+        #: by the low bits of a hash: 1 where a piece has it, 2 where the beginning of a longer piece has it
+        self.filter = np.zeros(1 << 20, np.uint8)
+        known, index = [np.full(1, np.iinfo(np.uint64).max)], [np.full(1, -1, np.int32)]
         for size in range(1, self.longest + 1):
             at = [k for k, p in enumerate(pieces) if len(p) == size]
             if at:
-                codes = np.frombuffer("".join(pieces[k] for k in at).encode("utf-32-le"), np.uint32)
-                h = slices(rolling(codes), np.arange(len(at)) * size, size)
-                order = np.argsort(h)
-                self.tables[size] = (h[order], np.array(at, np.int32)[order])
-                self.filter[(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def lookup(self, total: np.ndarray, size: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The starts at which a piece of that size stands, and the indexes of these pieces."""
-        if size not in self.tables or not len(start):
-            return start[:0], np.zeros(0, np.int32)
-        known, at = self.tables[size]
+                total = rolling(np.frombuffer("".join(pieces[k] for k in at).encode("utf-32-le"), np.uint32))
+                first = np.arange(len(at)) * size
+                for part in range(1, size):
+                    self.filter[self._low(slices(total, first, part))] |= 2
+                known.append(slices(total, first, size))
+                index.append(np.array(at, np.int32))
+                self.filter[self._low(known[-1])] |= 1
+        known = np.concatenate(known)
+        order = np.argsort(known, kind="stable")
+        #: the hashes of all pieces in order, the pieces, and the first hash of each value of the high bits
+        self.known, self.index = known[order], np.concatenate(index)[order]
+        self.bucket = np.searchsorted(self.known, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48))
+
+    @staticmethod
+    def _low(h: np.ndarray) -> np.ndarray:
+        return (h & np.uint64((1 << 20) - 1)).astype(np.int64)
+
+    def lookup(self, total: np.ndarray, size: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The starts at which a piece of that size stands, the indexes of these pieces, and the starts at which a
+        longer one may stand."""
         h = slices(total, start, size)
-        maybe = np.flatnonzero(self.filter[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        flag = self.filter[self._low(h)]
+        maybe = np.flatnonzero(flag & 1)
         h = h[maybe]
-        place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        hit = known[place] == h
-        return start[maybe[hit]], at[place[hit]]
+        place = self.bucket[(h >> np.uint64(48)).astype(np.int64)]
+        less = np.flatnonzero(self.known[place] < h)
+        while len(less):
+            place[less] += 1
+            less = less[self.known[place[less]] < h[less]]
+        piece = self.index[place]
+        hit = np.flatnonzero((self.known[place] == h) & (piece >= 0))
+        return start[maybe[hit]], piece[hit], start[flag > 1]
 
 
 @lru_cache(maxsize=2)
@@ -128,95 +144,104 @@ def vocabulary(model_file: str) -> Vocabulary:
 class Lattice:
     """The lattices of the units ``codes[start:start+size]``: pieces at every position and forward log sums.
 
-    ``pid[k, p]`` is the piece of k characters at position p; ``forward[p + u]`` (one more node than characters per
-    unit u) is the log sum over all segmentations of the unit up to there.
+    A unit has one node more than characters, ``node[u]`` is its first.  The arcs that end at node x are those from
+    ``first[x]`` to ``first[x+1]``, short ones first: ``length``, ``piece`` (-1: a character spelled by bytes) and
+    ``weight``, its log probability.  ``forward[x]`` is the log sum over all segmentations of the unit up to there.
     """
 
     def __init__(self, vocab: Vocabulary, codes: np.ndarray, start: np.ndarray, size: np.ndarray):
         self.vocab, self.codes, self.start, self.size = vocab, codes, start, size
-        n = len(codes)
+        n, units = len(codes), np.arange(len(start))
         total = rolling(codes)
-        self.longest = int(min(vocab.longest, size.max(initial=1)))
-        self.pid = np.full((self.longest + 1, n), -1, np.int32)
+        self.node = start + units
+        unit = np.repeat(units, size)
+        before = np.arange(n) + unit  # node before each character
+        inside = np.arange(n) - start[unit]
         # characters from each place to the end of its unit: longer pieces need not be looked up
-        room = np.repeat(start + size, size) - np.arange(n)
-        place = np.arange(n)
-        for k in range(1, self.longest + 1):
-            place = place[room[place] >= k]
-            where, piece = vocab.lookup(total, k, place)
-            self.pid[k, where] = piece
+        room = size[unit] - inside
         width = np.where(codes < 0x80, 1, np.where(codes < 0x800, 2, np.where(codes < 0x10000, 3, 4)))
-        self.single = np.where(self.pid[1] >= 0, vocab.logp[self.pid[1]], width * vocab.byte_logp)
-        self.node = start + np.arange(len(start))
+        where, piece, place = vocab.lookup(total, 1, np.arange(n))
+        one = np.full(n, -1, np.int32)
+        one[where] = piece
+        places, pieces, weights = [np.arange(n)], [one], [np.where(one >= 0, vocab.logp[one], width * vocab.byte_logp)]
+        k = 1
+        while len(place):
+            k += 1
+            where, piece, place = vocab.lookup(total, k, place[room[place] >= k])
+            places.append(where)
+            pieces.append(piece)
+            weights.append(vocab.logp[piece])
+        ends = [before[where] + k for k, where in enumerate(places, 1)]
+        count = np.zeros(n + len(start), np.int64)
+        for end in ends:
+            count[end] += 1
+        self.count, self.first = count, np.concatenate([[0], np.cumsum(count)])
+        self.length, self.piece, self.weight = (np.empty(self.first[-1], t) for t in (np.int32, np.int32, np.float64))
+        free = self.first[:-1].copy()
+        for k, (end, piece, weight) in enumerate(zip(ends, pieces, weights, strict=True), 1):
+            at = free[end]
+            free[end] += 1
+            self.length[at], self.piece[at], self.weight[at] = k, piece, weight
         self.forward = np.zeros(n + len(start))
-        for length in np.unique(size[size <= LONG]):
-            self._group(int(length), np.flatnonzero(size == length))
+        if size.max(initial=0) > LONG:
+            short = [(size <= LONG)[unit[where]] for where in places]
+            places, ends, weights = ([v[s] for v, s in zip(x, short, strict=True)] for x in (places, ends, weights))
+        self._forward(ends, weights, [(inside[where] + k).astype(np.uint8) for k, where in enumerate(places, 1)])
         for u in np.flatnonzero(size > LONG).tolist():
             self._alone(u)
 
-    def _group(self, length: int, who: np.ndarray) -> None:
-        at, node = self.start[who], self.node[who]
-        alpha = np.full((length + 1, len(who)), -np.inf)
-        alpha[0] = 0
-        for j in range(1, length + 1):
-            acc = alpha[j - 1] + self.single[at + j - 1]
-            for k in range(2, min(j, self.longest) + 1):
-                piece = self.pid[k, at + j - k]
-                some = np.flatnonzero(piece >= 0)
-                if len(some):
-                    acc[some] = np.logaddexp(acc[some], alpha[j - k, some] + self.vocab.logp[piece[some]])
-            alpha[j] = acc
-        for j in range(length + 1):
-            self.forward[node + j] = alpha[j]
+    def _forward(self, ends: list, weights: list, places: list) -> None:
+        """The recursion for all units of at most ``LONG`` characters, given the arcs of each length: by the place in
+        the unit they end at, then length."""
+        number = np.stack([np.bincount(place, minlength=LONG + 1) for place in places], 1)
+        order = np.argsort(np.concatenate(places), kind="stable")
+        end, weight = np.concatenate(ends)[order], np.concatenate(weights)[order]
+        a = 0
+        for (_, k), m in np.ndenumerate(number):
+            if m:
+                e = end[a : a + m]
+                to = self.forward[e - k - 1] + weight[a : a + m]
+                self.forward[e] = to if k == 0 else np.logaddexp(self.forward[e], to)
+                a += m
 
     def _alone(self, unit: int) -> None:
         """The same recursion for one long unit, in time linear in its length."""
-        a, n = int(self.start[unit]), int(self.size[unit])
-        size, begin = np.nonzero(self.pid[2:, a : a + n] >= 0)
-        order = np.argsort(begin + size, kind="stable")
-        size, begin = size[order] + 2, begin[order]
-        logp = self.vocab.logp[self.pid[size, a + begin]].tolist()
-        first = np.searchsorted(begin + size, np.arange(n + 2)).tolist()
-        begin, single = begin.tolist(), self.single[a : a + n].tolist()
+        at, n = int(self.node[unit]), int(self.size[unit])
+        first = self.first[at : at + n + 2]
+        length, weight = self.length[first[0] : first[-1]].tolist(), self.weight[first[0] : first[-1]].tolist()
+        first = (first - first[0]).tolist()
         alpha = [0.0]
         for j in range(1, n + 1):
-            every = [alpha[-1] + single[j - 1], *(alpha[begin[i]] + logp[i] for i in range(first[j], first[j + 1]))]
+            every = [alpha[j - length[i]] + weight[i] for i in range(first[j], first[j + 1])]
             top = max(every)
             alpha.append(top + math.log(sum(math.exp(x - top) for x in every)) if len(every) > 1 else top)
-        at = int(self.node[unit])
         self.forward[at : at + n + 1] = alpha
 
     def totals(self) -> np.ndarray:
         return self.forward[self.node + self.size]
 
-    def arcs(self) -> np.ndarray:
-        """For each node (row) the cumulative probabilities of the last piece's length 1, 2, ... given all segmentations,
-        filled up with ones to a multiple of eight columns."""
-        nodes = len(self.forward)
-        out = np.zeros((nodes, -(-self.longest // 8) * 8), np.float32)
-        unit = np.repeat(np.arange(len(self.start)), self.size)
-        inside = np.arange(len(self.codes)) - self.start[unit]  # 0-based place in the unit
-        here = self.node[unit] + inside + 1  # node behind each character
-        pos = np.arange(len(self.codes))
-        out[here, 0] = np.exp(self.forward[here - 1] + self.single - self.forward[here])
-        for k in range(2, self.longest + 1):
-            ok = np.flatnonzero(inside >= k - 1)
-            piece = self.pid[k, pos[ok] - k + 1]
-            ok, piece = ok[piece >= 0], piece[piece >= 0]
-            h = here[ok]
-            out[h, k - 1] = np.exp(self.forward[h - k] + self.vocab.logp[piece] - self.forward[h])
-        np.cumsum(out, axis=1, out=out)
-        out /= np.maximum(out[:, -1:], np.float32(1e-30))
+    def shares_below(self) -> np.ndarray:
+        """For each arc the share of all segmentations up to its end whose last arc is a shorter one; -1 for the
+        shortest."""
+        end = np.repeat(np.arange(len(self.forward)), self.count)
+        out = np.exp(self.forward[end - self.length] + self.weight - self.forward[end]).astype(np.float32)
+        some, step = np.flatnonzero(self.count > 1), 1
+        while len(some):
+            at = self.first[some] + step
+            out[at] += out[at - 1]
+            step += 1
+            some = some[self.count[some] > step]
+        some = np.flatnonzero(self.count)
+        out /= np.repeat(np.maximum(out[self.first[some + 1] - 1], np.float32(1e-30)), self.count[some])
+        out[1:] = out[:-1].copy()
+        out[self.first[some]] = -1
         return out
 
-    def arc_probabilities(self, unit: int, end: int) -> list[float]:
-        """The probabilities of the last piece's length 1, 2, ... at one node."""
-        a, node = int(self.start[unit]), int(self.node[unit]) + end
-        out = [math.exp(self.forward[node - 1] + self.single[a + end - 1] - self.forward[node])]
-        for k in range(2, min(end, self.longest) + 1):
-            piece = self.pid[k, a + end - k]
-            out.append(math.exp(self.forward[node - k] + self.vocab.logp[piece] - self.forward[node]) if piece >= 0 else 0.0)
-        return out
+    def arc_probabilities(self, node: int) -> tuple[list[int], list[float]]:
+        """The lengths of the arcs that end at a node and their probabilities."""
+        some = slice(int(self.first[node]), int(self.first[node + 1]))
+        length = self.length[some]
+        return length.tolist(), [math.exp(x) for x in (self.forward[node - length] + self.weight[some] - self.forward[node]).tolist()]
 
 
 def log_marginals(vocab: Vocabulary, units: list[str], longest: int = 64) -> np.ndarray:
@@ -240,7 +265,7 @@ def _one(vocab: Vocabulary, unit: str) -> float:
     total, n = rolling(codes), len(codes)
     pid = np.full((vocab.longest + 1, n), -1, np.int32)
     for k in range(1, min(vocab.longest, n) + 1):
-        where, piece = vocab.lookup(total, k, np.arange(n - k + 1))
+        where, piece, _ = vocab.lookup(total, k, np.arange(n - k + 1))
         pid[k, where] = piece
     alpha = np.full(n + 1, -np.inf)
     alpha[0] = 0

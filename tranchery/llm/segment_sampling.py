@@ -39,6 +39,8 @@ from tranchery.llm.shared import in_batches
 from tranchery.llm.text import mix, pieces_of
 
 _LEAST_MASS = 1e-12
+#: units sampled at once, so that what is drawn for them stays in a core's cache
+_BLOCK = 1 << 15
 
 
 _STEP, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -116,18 +118,14 @@ class Sampler:
         begin = np.concatenate([[0], np.cumsum(length)[:-1]]).astype(np.int64)
         from_ = np.repeat(self.at[first] - begin, length) + np.arange(int(length.sum()))
         self.lattice = Lattice(vocab, self.codes[from_], begin, length)
-        self.cdf = self.lattice.arcs()
+        self.below = self.lattice.shares_below()
+        self.total = self.lattice.totals()
         self.unit_first = np.searchsorted(self.at, self.text_start)
         self.unit_after = np.append(self.unit_first[1:], len(self.at))
         self.text_of = np.repeat(np.arange(len(texts)), self.unit_after - self.unit_first)
         unit_in_text = np.arange(len(self.at)) - self.unit_first[self.text_of]
         self.unit_key = mix(keys[self.text_of] + mix(unit_in_text.astype(np.uint64) + np.uint64(1)))
 
-    def _arc_logp(self, begin: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Log weight of the piece of k characters at a position of the distinct units."""
-        x = self.lattice
-        return np.where(k == 1, x.single[begin], self.vocab.logp[x.pid[k, begin]])
-
     def words_of(self, units: np.ndarray) -> np.ndarray:
         """Places of the mask words of these units, one unit after the other."""
         n = self.n_words[units]
@@ -135,26 +133,37 @@ class Sampler:
 
     def sample(self, which: int, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Masks (words, one unit after the other) and log probabilities of free samples of the units ``who``."""
-        x, kind = self.lattice, self.kind[who]
-        n = self.n_words[who]
+        x, n = self.lattice, self.n_words[who]
         word = np.cumsum(n) - n
-        mask, logp = np.zeros(int(n.sum()), np.uint64), -x.totals()[kind]
-        live, step = np.arange(len(who)), 0
-        end, key, node, begin = x.size[kind], self.unit_key[who], x.node[kind], x.start[kind]
-        while len(live):
-            mask[word + (end >> 6)] |= np.uint64(1) << (end & 63).astype(np.uint64)
-            u = uniforms(key, _tag(which, 0, step)).astype(np.float32)
-            below = self.cdf[node + end] < u[:, None]
-            k = np.minimum(np.bitwise_count(below.view(np.uint64)).sum(1, dtype=np.int64) + 1, end)  # eight flags a word
-            end = end - k
-            logp[live] += self._arc_logp(begin + end, k)
-            more = np.flatnonzero(end)
-            live, end, key, node, begin, word = (v[more] for v in (live, end, key, node, begin, word))
-            step += 1
+        mask, logp = np.zeros(int(n.sum()), np.uint64), -self.total[self.kind[who]]
+        for a in range(0, len(who), _BLOCK):
+            some = who[a : a + _BLOCK]
+            kind, live, step = self.kind[some], np.arange(a, a + len(some)), 0
+            end, key, node = x.size[kind], self.unit_key[some], x.node[kind] + x.size[kind]
+            while len(live):
+                mask[word[live] + (end >> 6)] |= np.uint64(1) << (end & 63).astype(np.uint64)
+                u = uniforms(key, _tag(which, 0, step)).astype(np.float32)
+                arc = x.first[node + 1] - 1
+                shorter = np.flatnonzero(self.below[arc] >= u)
+                while len(shorter):
+                    arc[shorter] -= 1
+                    shorter = shorter[self.below[arc[shorter]] >= u[shorter]]
+                k = x.length[arc]
+                logp[live] += x.weight[arc]
+                end = end - k
+                more = np.flatnonzero(end)
+                live, end, key, node = live[more], end[more], key[more], (node - k)[more]
+                step += 1
         return mask, logp
 
     def ends_of(self, mask: np.ndarray) -> list[int]:
         """The places where the pieces of one unit end, last first, with 0 behind them."""
+        if len(mask) == 1:
+            left, out = int(mask[0]), []
+            while left:
+                out.append(left.bit_length() - 1)
+                left ^= 1 << out[-1]
+            return [*out, 0]
         return [*np.flatnonzero(np.unpackbits(mask.astype("<u8").view(np.uint8), bitorder="little"))[::-1].tolist(), 0]
 
     def sample_other(self, which: int, unit: int, excluded: list[tuple[list[int], float]]) -> tuple[np.ndarray, float]:
@@ -165,17 +174,19 @@ class Sampler:
         step, key = 0, int(self.unit_key[unit])
         while end:
             ends.append(end)
-            row = x.arc_probabilities(kind, end)
+            lengths, row = x.arc_probabilities(int(x.node[kind]) + end)
             p = list(row)
             by_length: dict[int, list] = {}
             # those that agree so far have taken as many steps
             for m, lp in agree:
                 by_length.setdefault(end - m[step + 1], []).append((m, lp))
             for k, ones in by_length.items():
-                p[k - 1] = max(p[k - 1] - sum(math.exp(lp - logp) for _, lp in ones), 0.0)
+                i = lengths.index(k)
+                p[i] = max(p[i] - sum(math.exp(lp - logp) for _, lp in ones), 0.0)
             sums = list(accumulate(p))
-            k = min(bisect_right(sums, uniform(key, _tag(which, 1, step)) * sums[-1]) + 1, len(p))
-            logp += math.log(max(row[k - 1], 1e-300))
+            i = min(bisect_right(sums, uniform(key, _tag(which, 1, step)) * sums[-1]), len(p) - 1)
+            k = lengths[i]
+            logp += math.log(max(row[i], 1e-300))
             agree = by_length.get(k, [])
             end -= k
             step += 1
@@ -250,39 +261,52 @@ class Sampler:
         return leaves, kappa
 
     def _characters(self, unit: np.ndarray):
-        """For the characters of these units: the place of the unit, mask word and bit of the node behind, and the
-        place among the distinct units.  The last answer is kept, as the samples of a chunk mostly ask for the same."""
-        if self._last is None or len(self._last[0]) != len(unit) or not np.array_equal(self._last[0], unit):
-            size = self.size[unit]
-            which = np.repeat(np.arange(len(unit)), size)
-            inside = np.arange(1, len(which) + 1) - np.repeat(np.cumsum(size) - size, size)
+        """For the characters of these units: the place of the unit, mask word and bit of the node behind, and that
+        node among the distinct units; then the number of characters before each unit.  The last answer is kept, as
+        the samples of a chunk mostly ask for the same."""
+        if self._last is None or self._last[0] is not unit and not np.array_equal(self._last[0], unit):
+            before = np.concatenate([[0], np.cumsum(self.size[unit])])
+            which = np.repeat(np.arange(len(unit), dtype=np.int32), self.size[unit])
+            inside = np.arange(1, len(which) + 1) - before[which]
             n = self.n_words[unit]
-            word = (np.cumsum(n) - n)[which] + (inside >> 6)
-            place = np.repeat(self.lattice.start[self.kind[unit]], size) + inside - 1
-            self._last = unit, which, word, np.uint64(1) << (inside & 63).astype(np.uint64), place
+            word = ((np.cumsum(n) - n)[which] + (inside >> 6)).astype(np.int32)
+            node = (self.lattice.node[self.kind[unit]][which] + inside).astype(np.int32)
+            self._last = unit, which, word, np.uint64(1) << (inside & 63).astype(np.uint64), node, before
         return self._last[1:]
 
     def ids(self, unit: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of the segmentations of these units, one after the other, and their number per unit."""
-        which, word, bit, places = self._characters(unit)
-        ends = np.flatnonzero(mask[word] & bit)
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        place = places[starts]
-        out = self.vocab.ids[self.lattice.pid[ends - starts + 1, place]]
+        some = [self._ids_of(unit, mask, a, min(a + _BLOCK, len(unit))) for a in range(0, len(unit), _BLOCK)]
+        return np.concatenate([out for out, _ in some]), np.concatenate([number for _, number in some])
+
+    def _ids_of(self, unit: np.ndarray, mask: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the units from place ``a`` up to place ``b``."""
+        x = self.lattice
+        *every, before = self._characters(unit)
+        which, word, bit, nodes = (v[before[a] : before[b]] for v in every)
+        ends = np.flatnonzero((mask[word] & bit) != 0)
+        which, node, length = which[ends] - a, nodes[ends].astype(np.int64), np.diff(ends, prepend=-1)
+        arc = x.first[node + 1] - 1
+        shorter = np.flatnonzero(x.length[arc] > length)
+        while len(shorter):
+            arc[shorter] -= 1
+            shorter = shorter[x.length[arc[shorter]] > length[shorter]]
+        out = self.vocab.ids[x.piece[arc]]
         spelled = np.flatnonzero(out < 0)
-        times = np.ones(len(out), np.int64)
-        if len(spelled):
-            chars = self.lattice.codes[place[spelled]]
-            width = utf8_width(chars)
-            times[spelled] = width
-            at = (np.cumsum(times) - times)[spelled]
-            out = np.repeat(out, times)
-            raw = np.frombuffer(chars.tobytes().decode("utf-32-le").encode(), np.uint8)
-            first = np.cumsum(width) - width
-            for i in range(4):
-                on = width > i
-                out[at[on] + i] = self.vocab.byte_ids[raw[first[on] + i]]
-        return out, np.bincount(which[starts], times, len(unit)).astype(np.int64)
+        if not len(spelled):
+            return out, np.bincount(which, minlength=b - a)
+        # a unit has a node more than characters
+        chars = x.codes[node[spelled] - 1 - self.kind[unit[a + which[spelled]]]]
+        times, width = np.ones(len(out), np.int64), utf8_width(chars)
+        times[spelled] = width
+        at = (np.cumsum(times) - times)[spelled]
+        out = np.repeat(out, times)
+        raw = np.frombuffer(chars.tobytes().decode("utf-32-le").encode(), np.uint8)
+        first = np.cumsum(width) - width
+        for i in range(4):
+            on = width > i
+            out[at[on] + i] = self.vocab.byte_ids[raw[first[on] + i]]
+        return out, np.bincount(which, times, b - a).astype(np.int64)
 
     def samples(self, k: int):
         """(text, sample number, token ids, log probability, perturbed value, inclusion score) of each sample."""
@@ -320,7 +344,11 @@ def decode_bytes(vocab: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.nda
     flat, at = vocab.id_bytes
     size = (at[1:] - at[:-1])[ids]
     ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    return flat[np.repeat(at[ids] - ends[:-1], size) + np.arange(ends[-1])], ends
+    out = np.empty(ends[-1], np.uint8)
+    for a in range(0, len(ids), _BLOCK):
+        end = ends[a : a + _BLOCK + 1]
+        out[end[0] : end[-1]] = flat[np.repeat(at[ids[a : a + _BLOCK]] - end[:-1], size[a : a + _BLOCK]) + np.arange(end[0], end[-1])]
+    return out, ends
 
 
 def decode(vocab: Vocabulary, ids) -> str:
