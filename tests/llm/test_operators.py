@@ -253,6 +253,31 @@ def test_lattice_looks_up_only_what_a_piece_may_continue(monkeypatch):
                 assert w == (vocab.logp[p] if p >= 0 else len(u[j - 1].encode()) * vocab.byte_logp)
 
 
+def test_lattices_and_samples_are_worked_on_in_blocks(monkeypatch):
+    vocab = lattice.vocabulary(MODEL)
+    texts = ["the understanding of the thing", "ça été 日本 😀 the", "x" * 90 + " understanding", "a"] * 3
+    keys = segment_sampling.row_keys(range(len(texts)), 5)
+
+    def run():
+        sampler = segment_sampling.Sampler(vocab, texts, keys)
+        x = sampler.lattice
+        arrays = [x.first, x.length, x.piece, x.weight, x.forward, x.shares_below()]
+        return arrays, [(d, s, out.tolist(), phi, g, q, same) for d, s, out, phi, g, q, same in sampler.decoded(3)]
+
+    whole, samples = run()
+    asked, look_up = [], vocab.lookup
+    monkeypatch.setattr(vocab, "lookup", lambda total, k, place: asked.append((k, len(place))) or look_up(total, k, place))
+    monkeypatch.setattr(lattice, "_BLOCK", 16)
+    monkeypatch.setattr(segment_sampling, "_BLOCK", 4)
+    blocks, same = run()
+    assert all(np.array_equal(a, b) for a, b in zip(whole, blocks, strict=True))
+    assert same == samples and {r[0] for r in same} == set(range(len(texts)))
+    # single characters are no lookup, and a block has at most its characters and one unit more
+    assert min(k for k, _ in asked) == 2 and max(n for _, n in asked) <= 16 + 91
+    for d, _, out, *_, ok in samples:
+        assert ok and segment_sampling.decode(vocab, out) == texts[d]
+
+
 def test_samples_follow_the_lattice():
     vocab, text, n = lattice.vocabulary(MODEL), "ée of", 3000
     every = segmentations(vocab, "▁" + text.replace(" ", "▁"))

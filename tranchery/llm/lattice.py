@@ -9,14 +9,18 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 
 from tranchery.llm.text import mix
 
 MARK = 0x2581
 #: units over this length are worked on one by one
 LONG = 64
+#: characters whose lattices are built at once, so that they stay in a core's cache
+_BLOCK = 1 << 15
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -35,10 +39,19 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(max(1 << 20, 1 << max(n, 1).bit_length()))
 
 
+@lru_cache(maxsize=1)
+def _of_code() -> np.ndarray:
+    """A number for each character, which its places in texts are hashed by."""
+    return mix(np.arange(0x110000, dtype=np.uint64) + np.uint64(0x51ED27))
+
+
 def rolling(codes: np.ndarray) -> np.ndarray:
     """Prefix sums from which any slice's hash follows."""
-    total = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(mix(codes.astype(np.uint64) + np.uint64(0x51ED27)) * powers(len(codes))[0][: len(codes)], out=total[1:])
+    total, power, of_code = np.zeros(len(codes) + 1, np.uint64), powers(len(codes))[0], _of_code()
+    for a in range(0, len(codes), _BLOCK):
+        b = min(a + _BLOCK, len(codes))
+        np.cumsum(of_code[codes[a:b]] * power[a:b], out=total[a + 1 : b + 1])
+        total[a + 1 : b + 1] += total[a]
     return total
 
 
@@ -47,6 +60,10 @@ def slices(total: np.ndarray, start: np.ndarray, size) -> np.ndarray:
     return mix((total[start + size] - total[start]) * powers(len(total))[1][start] + np.asarray(size, np.uint64))
 
 
+def utf8_width(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes < 0x80, 1, np.where(codes < 0x800, 2, np.where(codes < 0x10000, 3, 4)))
+
+
 class Vocabulary:
     """Pieces, ids and log probabilities of a SentencePiece model.
 
@@ -88,14 +105,22 @@ class Vocabulary:
         for b, i in enumerate(self.byte_ids):
             if i >= 0:
                 raw[i] = bytes([b])
-        #: the bytes of all ids, one after the other, and where those of an id begin (one more than ids)
-        self.id_bytes = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+        #: by id: its bytes, and its characters
+        self.id_bytes = pa.array(raw, pa.large_binary())
+        self.id_chars = np.array([len(sp.id_to_piece(i)) for i in ids], np.int32)
         self.longest = max(map(len, pieces))
         # marks only at the start of pieces: a mark after another character is a sure boundary
         self.mark_cuts = all("▁" not in p.lstrip("▁") for p in pieces)
         joined = {c for p in pieces if len(p) > 1 for c in p}
         self.joined = np.zeros(0x110000, bool)
         self.joined[[ord(c) for c in joined]] = True
+        #: by character: the piece that it is (-1: none), and whether a longer one begins with it
+        self.one, self.begins = np.full(0x110000, -1, np.int32), np.zeros(0x110000, bool)
+        for i, p in enumerate(pieces):
+            if len(p) == 1:
+                self.one[ord(p)] = i
+            else:
+                self.begins[ord(p[0])] = True
         #: by the low bits of a hash: 1 where a piece has it, 2 where the beginning of a longer piece has it
         self.filter = np.zeros(1 << 20, np.uint8)
         known, index = [np.full(1, np.iinfo(np.uint64).max)], [np.full(1, -1, np.int32)]
@@ -151,58 +176,67 @@ class Lattice:
 
     def __init__(self, vocab: Vocabulary, codes: np.ndarray, start: np.ndarray, size: np.ndarray):
         self.vocab, self.codes, self.start, self.size = vocab, codes, start, size
-        n, units = len(codes), np.arange(len(start))
+        self.node = start + np.arange(len(start))
         total = rolling(codes)
-        self.node = start + units
-        unit = np.repeat(units, size)
+        #: units between which blocks end
+        self.cuts = np.unique(np.append(np.searchsorted(start, np.arange(0, len(codes), _BLOCK)), len(start))).tolist()
+        parts = [self._part(total, a, b) for a, b in pairwise(self.cuts)]
+        self.count, self.length, self.piece, self.weight, self.forward = map(np.concatenate, zip(*parts, strict=True))
+        self.first = np.concatenate([[0], np.cumsum(self.count)])
+        for u in np.flatnonzero(size > LONG).tolist():
+            self._alone(u)
+
+    def _part(self, total: np.ndarray, a: int, b: int) -> tuple[np.ndarray, ...]:
+        """Arcs per node, lengths, pieces and weights of the arcs and forward sums of the units ``a`` to ``b``; the
+        sums of long units are left out."""
+        vocab, size, low = self.vocab, self.size[a:b], int(self.start[a])
+        unit = np.repeat(np.arange(b - a), size)
+        n = len(unit)
+        codes = self.codes[low : low + n]
         before = np.arange(n) + unit  # node before each character
-        inside = np.arange(n) - start[unit]
         # characters from each place to the end of its unit: longer pieces need not be looked up
-        room = size[unit] - inside
-        width = np.where(codes < 0x80, 1, np.where(codes < 0x800, 2, np.where(codes < 0x10000, 3, 4)))
-        where, piece, place = vocab.lookup(total, 1, np.arange(n))
-        one = np.full(n, -1, np.int32)
-        one[where] = piece
-        places, pieces, weights = [np.arange(n)], [one], [np.where(one >= 0, vocab.logp[one], width * vocab.byte_logp)]
-        k = 1
+        room = (self.start[a:b] + size - low)[unit] - np.arange(n)
+        one = vocab.one[codes]
+        spelled, weight = np.flatnonzero(one < 0), vocab.logp[one]
+        weight[spelled] = utf8_width(codes[spelled]) * vocab.byte_logp
+        places, pieces, weights = [np.arange(n)], [one], [weight]
+        place, k = np.flatnonzero(vocab.begins[codes]), 1
         while len(place):
             k += 1
-            where, piece, place = vocab.lookup(total, k, place[room[place] >= k])
-            places.append(where)
+            where, piece, place = vocab.lookup(total, k, place[room[place] >= k] + low)
+            place -= low
+            places.append(where - low)
             pieces.append(piece)
             weights.append(vocab.logp[piece])
-        ends = [before[where] + k for k, where in enumerate(places, 1)]
-        count = np.zeros(n + len(start), np.int64)
-        for end in ends:
-            count[end] += 1
-        self.count, self.first = count, np.concatenate([[0], np.cumsum(count)])
-        self.length, self.piece, self.weight = (np.empty(self.first[-1], t) for t in (np.int32, np.int32, np.float64))
-        free = self.first[:-1].copy()
-        for k, (end, piece, weight) in enumerate(zip(ends, pieces, weights, strict=True), 1):
-            at = free[end]
-            free[end] += 1
-            self.length[at], self.piece[at], self.weight[at] = k, piece, weight
-        self.forward = np.zeros(n + len(start))
+        ends, nodes = [before[where] + k for k, where in enumerate(places, 1)], n + b - a
+        end = np.concatenate(ends)
+        order = np.argsort(end.astype(np.uint16 if nodes <= 1 << 16 else np.int64), kind="stable")
+        count = np.bincount(end, minlength=nodes)
+        length, piece, weight = np.repeat(np.arange(1, len(ends) + 1, dtype=np.int32), [len(e) for e in ends]), np.concatenate(pieces), np.concatenate(weights)
         if size.max(initial=0) > LONG:
             short = [(size <= LONG)[unit[where]] for where in places]
             places, ends, weights = ([v[s] for v, s in zip(x, short, strict=True)] for x in (places, ends, weights))
-        self._forward(ends, weights, [(inside[where] + k).astype(np.uint8) for k, where in enumerate(places, 1)])
-        for u in np.flatnonzero(size > LONG).tolist():
-            self._alone(u)
+        inside = np.arange(n) - (self.start[a:b] - low)[unit]
+        forward = self._forward(nodes, ends, weights, [(inside[where] + k).astype(np.uint8) for k, where in enumerate(places, 1)])
+        return count, length[order], piece[order], weight[order], forward
 
-    def _forward(self, ends: list, weights: list, places: list) -> None:
+    @staticmethod
+    def _forward(nodes: int, ends: list, weights: list, places: list) -> np.ndarray:
         """The recursion for all units of at most ``LONG`` characters, given the arcs of each length: by the place in
         the unit they end at, then length."""
+        forward = np.zeros(nodes)
         number = np.stack([np.bincount(place, minlength=LONG + 1) for place in places], 1)
         order = np.argsort(np.concatenate(places), kind="stable")
         end, weight = np.concatenate(ends)[order], np.concatenate(weights)[order]
         a = 0
-        for (_, k), m in np.ndenumerate(number):
-            if m:
-                e = end[a : a + m]
-                to = self.forward[e - k - 1] + weight[a : a + m]
-                self.forward[e] = to if k == 0 else np.logaddexp(self.forward[e], to)
-                a += m
+        for row in number[: int(np.max(np.flatnonzero(number.any(1)), initial=-1)) + 1].tolist():
+            for k, m in enumerate(row):
+                if m:
+                    e = end[a : a + m]
+                    to = forward[e - k - 1] + weight[a : a + m]
+                    forward[e] = to if k == 0 else np.logaddexp(forward[e], to)
+                    a += m
+        return forward
 
     def _alone(self, unit: int) -> None:
         """The same recursion for one long unit, in time linear in its length."""
@@ -223,25 +257,35 @@ class Lattice:
     def shares_below(self) -> np.ndarray:
         """For each arc the share of all segmentations up to its end whose last arc is a shorter one; -1 for the
         shortest."""
-        end = np.repeat(np.arange(len(self.forward)), self.count)
-        out = np.exp(self.forward[end - self.length] + self.weight - self.forward[end]).astype(np.float32)
-        some, step = np.flatnonzero(self.count > 1), 1
+        out = np.empty(len(self.length), np.float32)
+        bounds = [*self.node[self.cuts[:-1]].tolist(), len(self.count)]
+        for a, b in pairwise(bounds):
+            out[self.first[a] : self.first[b]] = self._shares_below(a, b)
+        return out
+
+    def _shares_below(self, a: int, b: int) -> np.ndarray:
+        """The same for the arcs that end at the nodes ``a`` to ``b``."""
+        count, first = self.count[a:b], self.first[a : b + 1] - self.first[a]
+        every, end = slice(int(self.first[a]), int(self.first[b])), np.repeat(np.arange(a, b), count)
+        out = np.exp(self.forward[end - self.length[every]] + self.weight[every] - self.forward[end]).astype(np.float32)
+        some, step = np.flatnonzero(count > 1), 1
         while len(some):
-            at = self.first[some] + step
+            at = first[some] + step
             out[at] += out[at - 1]
             step += 1
-            some = some[self.count[some] > step]
-        some = np.flatnonzero(self.count)
-        out /= np.repeat(np.maximum(out[self.first[some + 1] - 1], np.float32(1e-30)), self.count[some])
+            some = some[count[some] > step]
+        some = np.flatnonzero(count)
+        out /= np.repeat(np.maximum(out[first[some + 1] - 1], np.float32(1e-30)), count[some])
         out[1:] = out[:-1].copy()
-        out[self.first[some]] = -1
+        out[first[some]] = -1
         return out
 
     def arc_probabilities(self, node: int) -> tuple[list[int], list[float]]:
         """The lengths of the arcs that end at a node and their probabilities."""
-        some = slice(int(self.first[node]), int(self.first[node + 1]))
-        length = self.length[some]
-        return length.tolist(), [math.exp(x) for x in (self.forward[node - length] + self.weight[some] - self.forward[node]).tolist()]
+        length, weight, forward = self.length.item, self.weight.item, self.forward.item
+        some, end = range(self.first.item(node), self.first.item(node + 1)), forward(node)
+        lengths = [length(i) for i in some]
+        return lengths, [math.exp(forward(node - k) + weight(i) - end) for i, k in zip(some, lengths, strict=True)]
 
 
 def log_marginals(vocab: Vocabulary, units: list[str], longest: int = 64) -> np.ndarray:

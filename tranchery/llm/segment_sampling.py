@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tranchery.llm.lattice import MARK, Lattice, Vocabulary, rolling, slices, vocabulary
+from tranchery.llm.lattice import MARK, Lattice, Vocabulary, rolling, slices, utf8_width, vocabulary
 from tranchery.llm.shared import in_batches
 from tranchery.llm.text import mix, pieces_of
 
@@ -96,85 +96,91 @@ def cut_units(vocab: Vocabulary, codes: np.ndarray, text_start: np.ndarray) -> n
 class Sampler:
     """The lattices of a chunk of texts and their sampled segmentations.
 
-    A unit's segmentation is a mask of the places (1-based) where pieces end, in as many 64-bit words as it takes."""
+    A segmentation is a row of symbols: the id of a piece, or ``~c`` for a character ``c`` that is spelled by bytes."""
 
     def __init__(self, vocab: Vocabulary, texts: list[str], keys: np.ndarray):
-        self.vocab, self.keys, self._last = vocab, keys, None
+        self.vocab, self.keys = vocab, keys
         marked = ["▁" + t.replace(" ", "▁") for t in texts]
-        #: a mark in the text itself is decoded as a space
-        self.has_mark = ["▁" in t for t in texts]
+        #: what samples are decoded to; a mark in the text itself is decoded as a space
+        self.raw, self.has_mark = [t.encode() for t in marked], ["▁" in t for t in texts]
         self.codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
         sizes = np.array([len(t) for t in marked])
         self.text_start = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
         self.at = cut_units(vocab, self.codes, self.text_start)
         self.size = np.diff(np.append(self.at, len(self.codes)))
-        self.n_words = (self.size >> 6) + 1
-        #: places of the words of a unit's mask, one more than units
-        self.word = np.concatenate([[0], np.cumsum(self.n_words)]).astype(np.int64)
         h = slices(rolling(self.codes), self.at, self.size)
-        _, first, self.kind = np.unique(h, return_index=True, return_inverse=True)
+        #: the units, equal ones together, and numbers of the distinct units in that order and by unit
+        self.by_kind = np.argsort(h, kind="stable")
+        h = h[self.by_kind]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        self.kinds, self.kind, first = np.cumsum(new) - 1, np.empty(len(h), np.int64), self.by_kind[new]
+        self.kind[self.by_kind] = self.kinds
         # distinct units, one after the other
         length = self.size[first]
         begin = np.concatenate([[0], np.cumsum(length)[:-1]]).astype(np.int64)
-        from_ = np.repeat(self.at[first] - begin, length) + np.arange(int(length.sum()))
-        self.lattice = Lattice(vocab, self.codes[from_], begin, length)
-        self.below = self.lattice.shares_below()
-        self.total = self.lattice.totals()
+        codes = self.codes[np.repeat(self.at[first] - begin, length) + np.arange(int(length.sum()))]
+        x = self.lattice = Lattice(vocab, codes, begin, length)
+        self.below = x.shares_below()
+        self.total = x.totals()
+        #: the longest arc that ends at each node; -1: a unit's first
+        self.last = x.first[1:] - 1
+        self.last[x.node] = -1
+        #: the symbol of each arc
+        self.symbol = vocab.ids[x.piece]
+        spelled = np.flatnonzero(x.piece < 0)
+        if len(spelled):
+            # the shortest arc of a node is its character; a unit has a node more than characters
+            shortest = x.first[np.arange(len(codes)) + np.repeat(np.arange(len(first)), length) + 1]
+            self.symbol[spelled] = ~codes[np.searchsorted(shortest, spelled)].astype(np.int32)
         self.unit_first = np.searchsorted(self.at, self.text_start)
         self.unit_after = np.append(self.unit_first[1:], len(self.at))
         self.text_of = np.repeat(np.arange(len(texts)), self.unit_after - self.unit_first)
         unit_in_text = np.arange(len(self.at)) - self.unit_first[self.text_of]
         self.unit_key = mix(keys[self.text_of] + mix(unit_in_text.astype(np.uint64) + np.uint64(1)))
-
-    def words_of(self, units: np.ndarray) -> np.ndarray:
-        """Places of the mask words of these units, one unit after the other."""
-        n = self.n_words[units]
-        return np.repeat(self.word[units] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-
-    def sample(self, which: int, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Masks (words, one unit after the other) and log probabilities of free samples of the units ``who``."""
-        x, n = self.lattice, self.n_words[who]
-        word = np.cumsum(n) - n
-        mask, logp = np.zeros(int(n.sum()), np.uint64), -self.total[self.kind[who]]
-        for a in range(0, len(who), _BLOCK):
-            some = who[a : a + _BLOCK]
-            kind, live, step = self.kind[some], np.arange(a, a + len(some)), 0
-            end, key, node = x.size[kind], self.unit_key[some], x.node[kind] + x.size[kind]
-            while len(live):
-                mask[word[live] + (end >> 6)] |= np.uint64(1) << (end & 63).astype(np.uint64)
+        self.key_by_kind = self.unit_key[self.by_kind]
+
+    def sample(self, which: int, drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Free samples of the units that are ``drawn``: symbols, one unit after the other, and for every unit their
+        number and log probability.  Equal units are drawn together, so that their lattices stay in a core's cache."""
+        x, below, after, steps = self.lattice, self.below, self.last, []
+        number, logp = np.zeros(len(self.at), np.int32), np.zeros(len(self.at))
+        for a in range(0, len(self.at), _BLOCK):
+            some = np.flatnonzero(drawn[self.by_kind[a : a + _BLOCK]]) + a
+            kind, unit, key, step = self.kinds[some], self.by_kind[some], self.key_by_kind[some], 0
+            node, lp = x.node[kind] + x.size[kind], -self.total[kind]
+            arc = after[node]
+            while len(unit):
                 u = uniforms(key, _tag(which, 0, step)).astype(np.float32)
-                arc = x.first[node + 1] - 1
-                shorter = np.flatnonzero(self.below[arc] >= u)
+                shorter = np.flatnonzero(below[arc] >= u)
                 while len(shorter):
                     arc[shorter] -= 1
-                    shorter = shorter[self.below[arc[shorter]] >= u[shorter]]
-                k = x.length[arc]
-                logp[live] += x.weight[arc]
-                end = end - k
-                more = np.flatnonzero(end)
-                live, end, key, node = live[more], end[more], key[more], (node - k)[more]
-                step += 1
-        return mask, logp
-
-    def ends_of(self, mask: np.ndarray) -> list[int]:
+                    shorter = shorter[below[arc[shorter]] >= u[shorter]]
+                steps.append((step, unit, self.symbol[arc]))
+                node = node - x.length[arc]
+                lp = lp + x.weight[arc]
+                arc, step = after[node], step + 1
+                done = arc < 0
+                more, done = np.flatnonzero(~done), np.flatnonzero(done)
+                number[unit[done]], logp[unit[done]] = step, lp[done]
+                unit, key, node, arc, lp = unit[more], key[more], node[more], arc[more], lp[more]
+        ends = np.cumsum(number, dtype=np.int32 if len(self.codes) < 1 << 31 else np.int64)
+        out = np.empty(int(ends[-1]), np.int32)
+        for step, unit, symbol in steps:
+            out[ends[unit] - (step + 1)] = symbol
+        return out, number, logp
+
+    def ends_of(self, symbols: np.ndarray) -> list[int]:
         """The places where the pieces of one unit end, last first, with 0 behind them."""
-        if len(mask) == 1:
-            left, out = int(mask[0]), []
-            while left:
-                out.append(left.bit_length() - 1)
-                left ^= 1 << out[-1]
-            return [*out, 0]
-        return [*np.flatnonzero(np.unpackbits(mask.astype("<u8").view(np.uint8), bitorder="little"))[::-1].tolist(), 0]
+        return [*accumulate(1 if i < 0 else self.vocab.id_chars.item(i) for i in symbols.tolist())][::-1] + [0]
 
     def sample_other(self, which: int, unit: int, excluded: list[tuple[list[int], float]]) -> tuple[np.ndarray, float]:
         """One segmentation of a unit that is not among the excluded (ends, log probability): exact, by walking back
         with each step's probability less that of the excluded segmentations which agree so far."""
         x, kind = self.lattice, int(self.kind[unit])
-        end, ends, logp, agree = int(x.size[kind]), [], 0.0, list(excluded)
-        step, key = 0, int(self.unit_key[unit])
+        end, symbols, logp, agree = int(x.size[kind]), [], 0.0, list(excluded)
+        step, key, first = 0, int(self.unit_key[unit]), int(x.node[kind])
         while end:
-            ends.append(end)
-            lengths, row = x.arc_probabilities(int(x.node[kind]) + end)
+            lengths, row = x.arc_probabilities(first + end)
             p = list(row)
             by_length: dict[int, list] = {}
             # those that agree so far have taken as many steps
@@ -185,21 +191,21 @@ class Sampler:
                 p[i] = max(p[i] - sum(math.exp(lp - logp) for _, lp in ones), 0.0)
             sums = list(accumulate(p))
             i = min(bisect_right(sums, uniform(key, _tag(which, 1, step)) * sums[-1]), len(p) - 1)
+            symbols.append(self.symbol.item(x.first.item(first + end) + i))
             k = lengths[i]
             logp += math.log(max(row[i], 1e-300))
             agree = by_length.get(k, [])
             end -= k
             step += 1
-        mask, ends = np.zeros(int(self.n_words[unit]), np.uint64), np.array(ends)
-        np.bitwise_or.at(mask, ends >> 6, np.uint64(1) << (ends & 63).astype(np.uint64))
-        return mask, logp
+        return np.array(symbols[::-1], np.int32), logp
 
     def top_k(self, k: int):
-        """For each text a list of (mask array, log probability, perturbed value), best first, and kappa."""
+        """For each text a list of (symbols, log probability, perturbed value, log probabilities and numbers of symbols
+        by unit), best first, and kappa."""
         n = len(self.text_start)
         every = np.arange(len(self.at))
         leaves: list[list] = [[] for _ in range(n)]
-        queues: list[list] = [[] for _ in range(n)]  # (priority, leaf, unit, excluded)
+        queues: list[list] = [[] for _ in range(n)]  # (priority, leaf, unit, excluded; None: the leaf's own)
         root = -np.log(-np.log(uniforms(self.keys, _tag(0, 4))))
         branch = [(float(root[d]), None, int(self.unit_first[d]), []) for d in range(n)]
         kappa = np.full(n, -np.inf)
@@ -209,18 +215,20 @@ class Sampler:
                 break
             # only the units behind a branch are drawn anew
             from_unit = np.array([len(every) if b is None else b[2] + (b[1] is not None) for b in branch])
-            who = every if not which else np.flatnonzero(every >= from_unit[self.text_of])
-            mask = np.zeros(int(self.word[-1]), np.uint64)
-            logp = np.zeros(len(every))
-            mask[self.words_of(who)], logp[who] = self.sample(which, who)
+            drawn = every >= from_unit[self.text_of] if which else np.ones(len(every), bool)
+            who = np.flatnonzero(drawn)
+            out, number, logp = self.sample(which, drawn)
+            before = np.concatenate([[0], np.cumsum(number)])
+            begin, after = before[self.unit_first].tolist(), before[self.unit_after].tolist()
+            symbols = [out[a:b] for a, b in zip(begin, after, strict=True)]
             for d in open_:
                 _, leaf, unit, excluded = branch[d]
-                a = self.unit_first[d]
                 if leaf is not None:
-                    old_mask, old_logp = leaves[d][leaf][0], leaves[d][leaf][3]
-                    w, v = self.word[a], self.word[unit]
-                    mask[w:v], logp[a:unit] = old_mask[: v - w], old_logp[: unit - a]
-                    mask[v : self.word[unit + 1]], logp[unit] = self.sample_other(which, unit, excluded)
+                    a = self.unit_first[d]
+                    old, _, _, old_logp, old_number = leaves[d][leaf]
+                    other, logp[unit] = self.sample_other(which, unit, excluded)
+                    logp[a:unit], number[a:unit], number[unit] = old_logp[: unit - a], old_number[: unit - a], len(other)
+                    symbols[d] = np.concatenate([old[: int(number[a:unit].sum())], other, symbols[d]])
             # masses of what is left of each popped region, unit by unit
             before = np.cumsum(logp) - logp
             before -= before[self.unit_first[self.text_of]]
@@ -233,10 +241,10 @@ class Sampler:
             for d in open_:
                 g, leaf, unit, excluded = branch[d]
                 a, b = self.unit_first[d], self.unit_after[d]
-                leaves[d].append((mask[self.word[a] : self.word[b]].copy(), float(logp[a:b].sum()), g, logp[a:b].copy()))
+                leaves[d].append((symbols[d], float(logp[a:b].sum()), g, logp[a:b], number[a:b]))
                 mine, me = queues[d], len(leaves[d]) - 1
                 if excluded:
-                    out = [*excluded, (self.ends_of(mask[self.word[unit] : self.word[unit + 1]]), float(logp[unit]))]
+                    out = [*excluded, self._drawn(leaves[d][me], unit - a)]
                     left = 1.0 - sum(math.exp(lp) for _, lp in out)
                     if left > _LEAST_MASS:
                         u = uniform(int(self.unit_key[unit]), _tag(which, 3))
@@ -250,63 +258,41 @@ class Sampler:
                 for i in pick.tolist():
                     if np.isfinite(some[i]):
                         t = int(first + i)
-                        mine.append((float(some[i]), me, t, [(mask[self.word[t] : self.word[t + 1]], float(logp[t]))]))
+                        mine.append((float(some[i]), me, t, None))
                 mine.sort(key=lambda r: -r[0])
                 del mine[need:]
                 kappa[d] = mine[0][0] if mine else -np.inf
                 branch[d] = mine.pop(0) if mine and which + 1 < k else None
-                if branch[d] is not None:
-                    # masks become lists of ends for the few regions that are sampled again
-                    branch[d] = (*branch[d][:3], [(self.ends_of(m) if isinstance(m, np.ndarray) else m, lp) for m, lp in branch[d][3]])
+                if branch[d] is not None and branch[d][3] is None:
+                    # looked up for the few regions that are sampled again
+                    g, me, t, _ = branch[d]
+                    branch[d] = g, me, t, [self._drawn(leaves[d][me], t - a)]
         return leaves, kappa
 
-    def _characters(self, unit: np.ndarray):
-        """For the characters of these units: the place of the unit, mask word and bit of the node behind, and that
-        node among the distinct units; then the number of characters before each unit.  The last answer is kept, as
-        the samples of a chunk mostly ask for the same."""
-        if self._last is None or self._last[0] is not unit and not np.array_equal(self._last[0], unit):
-            before = np.concatenate([[0], np.cumsum(self.size[unit])])
-            which = np.repeat(np.arange(len(unit), dtype=np.int32), self.size[unit])
-            inside = np.arange(1, len(which) + 1) - before[which]
-            n = self.n_words[unit]
-            word = ((np.cumsum(n) - n)[which] + (inside >> 6)).astype(np.int32)
-            node = (self.lattice.node[self.kind[unit]][which] + inside).astype(np.int32)
-            self._last = unit, which, word, np.uint64(1) << (inside & 63).astype(np.uint64), node, before
-        return self._last[1:]
-
-    def ids(self, unit: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of the segmentations of these units, one after the other, and their number per unit."""
-        some = [self._ids_of(unit, mask, a, min(a + _BLOCK, len(unit))) for a in range(0, len(unit), _BLOCK)]
-        return np.concatenate([out for out, _ in some]), np.concatenate([number for _, number in some])
-
-    def _ids_of(self, unit: np.ndarray, mask: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """The same for the units from place ``a`` up to place ``b``."""
-        x = self.lattice
-        *every, before = self._characters(unit)
-        which, word, bit, nodes = (v[before[a] : before[b]] for v in every)
-        ends = np.flatnonzero((mask[word] & bit) != 0)
-        which, node, length = which[ends] - a, nodes[ends].astype(np.int64), np.diff(ends, prepend=-1)
-        arc = x.first[node + 1] - 1
-        shorter = np.flatnonzero(x.length[arc] > length)
-        while len(shorter):
-            arc[shorter] -= 1
-            shorter = shorter[x.length[arc[shorter]] > length[shorter]]
-        out = self.vocab.ids[x.piece[arc]]
-        spelled = np.flatnonzero(out < 0)
+    def _drawn(self, leaf: tuple, i: int) -> tuple[list[int], float]:
+        """The segmentation of unit ``i`` of a sampled text: (ends, log probability)."""
+        symbols, _, _, logp, number = leaf
+        a = int(number[:i].sum())
+        return self.ends_of(symbols[a : a + int(number[i])]), float(logp[i])
+
+    def ids(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of symbols, and where those of each symbol begin (one more than symbols)."""
+        times = np.ones(len(symbols), np.int64)
+        spelled = np.flatnonzero(symbols < 0)
         if not len(spelled):
-            return out, np.bincount(which, minlength=b - a)
-        # a unit has a node more than characters
-        chars = x.codes[node[spelled] - 1 - self.kind[unit[a + which[spelled]]]]
-        times, width = np.ones(len(out), np.int64), utf8_width(chars)
+            return symbols, np.arange(len(symbols) + 1)
+        chars = (~symbols[spelled]).astype(np.uint32)
+        width = utf8_width(chars)
         times[spelled] = width
-        at = (np.cumsum(times) - times)[spelled]
-        out = np.repeat(out, times)
+        begin = np.concatenate([[0], np.cumsum(times)])
+        at = begin[spelled]
+        out = np.repeat(symbols, times)
         raw = np.frombuffer(chars.tobytes().decode("utf-32-le").encode(), np.uint8)
         first = np.cumsum(width) - width
         for i in range(4):
             on = width > i
             out[at[on] + i] = self.vocab.byte_ids[raw[first[on] + i]]
-        return out, np.bincount(which, times, b - a).astype(np.int64)
+        return out, begin
 
     def samples(self, k: int):
         """(text, sample number, token ids, log probability, perturbed value, inclusion score) of each sample."""
@@ -314,41 +300,26 @@ class Sampler:
 
     def decoded(self, k: int):
         """The same with whether the sample decodes to its text."""
-        raw = np.frombuffer(self.codes.tobytes().decode("utf-32-le").encode(), np.uint8)
-        byte_end = np.concatenate([[0], np.cumsum(utf8_width(self.codes))])
-        text_byte = byte_end[np.append(self.text_start, len(self.codes))]
         leaves, kappa = self.top_k(k)
         for s in range(k):
             some = [d for d in range(len(leaves)) if len(leaves[d]) > s]
             if not some:
                 break
-            every = len(some) == len(leaves)
-            unit = np.arange(len(self.at)) if every else np.concatenate([np.arange(self.unit_first[d], self.unit_after[d]) for d in some])
-            out, number = self.ids(unit, np.concatenate([leaves[d][s][0] for d in some]))
-            ends = np.cumsum(np.bincount(self.text_of[unit], number, len(leaves)).astype(np.int64))
+            parts = [leaves[d][s][0] for d in some]
+            out, begin = self.ids(np.concatenate(parts))
+            ends = begin[np.cumsum([len(x) for x in parts])].tolist()
             back, token_byte = decode_bytes(self.vocab, out)
-            for d in some:
-                _, phi, g, _ = leaves[d][s]
+            last_byte = token_byte[ends].tolist()
+            for d, first, end, a, b in zip(some, [0, *ends], ends, [0, *last_byte], last_byte, strict=False):
+                _, phi, g, *_ = leaves[d][s]
                 q = -math.expm1(-math.exp(min(phi - kappa[d], 700.0))) if np.isfinite(kappa[d]) else 1.0
-                first = ends[d - 1] if d else 0
-                same = np.array_equal(back[token_byte[first] : token_byte[ends[d]]], raw[text_byte[d] : text_byte[d + 1]])
-                yield d, s + 1, out[first : ends[d]], phi, g, q, same and not self.has_mark[d]
-
-
-def utf8_width(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes < 0x80, 1, np.where(codes < 0x800, 2, np.where(codes < 0x10000, 3, 4)))
+                yield d, s + 1, out[first:end], phi, g, q, back[a:b] == self.raw[d] and not self.has_mark[d]
 
 
-def decode_bytes(vocab: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def decode_bytes(vocab: Vocabulary, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The bytes of token ids, marks still in them, and where each id's bytes begin (one more than ids)."""
-    flat, at = vocab.id_bytes
-    size = (at[1:] - at[:-1])[ids]
-    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    out = np.empty(ends[-1], np.uint8)
-    for a in range(0, len(ids), _BLOCK):
-        end = ends[a : a + _BLOCK + 1]
-        out[end[0] : end[-1]] = flat[np.repeat(at[ids[a : a + _BLOCK]] - end[:-1], size[a : a + _BLOCK]) + np.arange(end[0], end[-1])]
-    return out, ends
+    _, at, raw = vocab.id_bytes.take(pa.array(ids)).buffers()
+    return raw.to_pybytes(), np.frombuffer(at, np.int64, len(ids) + 1)
 
 
 def decode(vocab: Vocabulary, ids) -> str:
